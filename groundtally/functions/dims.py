@@ -37,12 +37,20 @@ CLASS_SCHEMA = (
 )
 
 
+def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small constant table as an inline relation, so its size is known to the planner."""
+    names = [c.split()[0] for c in schema.split(",")]
+    body = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
+    casts = [f"CAST({n} AS {c.split()[1]}) AS {n}" for n, c in zip(names, schema.split(","))]
+    return spark.sql(f"SELECT {', '.join(casts)} FROM VALUES {body} AS t({', '.join(names)})")
+
+
 def class_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(class_rows()), CLASS_SCHEMA)
+    return literal_table(spark, class_rows(), CLASS_SCHEMA)
 
 
 def c19_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, n) for i, n in enumerate(C19_NAMES)], "cls int, class_name string")
+    return literal_table(spark, list(enumerate(C19_NAMES)), "cls int, class_name string")
 
 
 def normal_form(text: str) -> str:
@@ -78,9 +86,22 @@ def mention_pattern(mode: str = "whole_word") -> str:
     raise ValueError("mode must be whole_word or substring")
 
 
+def _sql(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def literal_array(items) -> Column:
+    """A constant array column, folded once per plan."""
+    return F.expr("array(" + ", ".join(map(_sql, items)) + ")")
+
+
 def literal_map(pairs: dict) -> Column:
     """A constant map column, folded once per plan."""
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.expr("map(" + ", ".join(_sql(x) for kv in pairs.items() for x in kv) + ")")
 
 
 def form_to_class() -> Column:

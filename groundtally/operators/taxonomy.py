@@ -16,21 +16,22 @@ def _with_class(px: DataFrame) -> DataFrame:
     return px.join(F.broadcast(dim), F.col("code") == F.col("_code"), "left").drop("_code")
 
 
-def _checked(value: Column) -> Column:
-    return (
-        F.when(F.col("code") == V.UNCLASSIFIED_CODE, F.lit(V.UNCLASSIFIED_ID))
-        .when(value.isNull(), F.raise_error(F.concat(F.lit("code outside the nomenclature: "),
-                                                     F.col("code").cast("string"))).cast("int"))
-        .otherwise(value)
-    )
+def level_lookup(code: Column, level: str) -> Column:
+    """Class id of a code at ``level`` by position in a constant array; null for unknown codes."""
+    at = {r[0]: r[("code idx name l2 l1 c19 c19_id coarse7 coarse7_id".split()).index(LEVEL_COLUMN[level])]
+          for r in dims.class_rows()}
+    first, last = min(at), max(at)
+    return F.get(dims.literal_array([at.get(c) for c in range(first, last + 1)]), code - first)
 
 
 def to_level(px: DataFrame, level: str) -> DataFrame:
     """Adds `cls`, the class id at ``level``; -1 has no equivalent there, -2 is unclassified."""
     if level not in LEVEL_COLUMN:
         raise ValueError(f"unknown level {level}")
-    joined = _with_class(px)
-    return joined.select(*px.columns, _checked(F.col(LEVEL_COLUMN[level])).alias("cls"))
+    code = F.col("code")
+    unknown = F.raise_error(F.concat(F.lit("code outside the nomenclature: "), code.cast("string"))).cast("int")
+    known = F.coalesce(level_lookup(code, level), unknown)
+    return px.select(*px.columns, F.when(code == V.UNCLASSIFIED_CODE, F.lit(V.UNCLASSIFIED_ID)).otherwise(known).alias("cls"))
 
 
 def classified(px: DataFrame, level: str) -> DataFrame:
@@ -49,7 +50,7 @@ def codes_to_indices(px: DataFrame) -> DataFrame:
 
 
 def indices_to_codes(df: DataFrame) -> DataFrame:
-    codes = F.array(*[F.lit(r[0]) for r in dims.class_rows()])
+    codes = dims.literal_array([r[0] for r in dims.class_rows()])
     code = F.when(F.col("idx") < 0, F.lit(V.UNCLASSIFIED_CODE)).otherwise(F.element_at(codes, F.col("idx") + 1))
     return df.withColumn("code", code)
 
@@ -79,7 +80,7 @@ def resolution_rows() -> list[tuple[str, str, int]]:
 
 def resolve_queries(asked: DataFrame) -> DataFrame:
     """(level, query) -> adds `target`, null where the query names nothing at that level."""
-    table = asked.sparkSession.createDataFrame(resolution_rows(), "level string, _key string, target int")
+    table = dims.literal_table(asked.sparkSession, resolution_rows(), "level string, _key string, target int")
     key = F.when(F.col("level").isin("c19", "coarse7"), F.trim("query")).otherwise(F.lower(F.trim("query")))
     return asked.withColumn("_key", key).join(F.broadcast(table), ["level", "_key"], "left").drop("_key")
 
@@ -132,7 +133,7 @@ def confusion_cost(pairs: DataFrame) -> DataFrame:
 def coarse_comparison(px: DataFrame, foreign: DataFrame) -> DataFrame:
     """Coarse-7 pixel counts of our nomenclature beside a foreign scheme (patch_id, row, col, value)."""
     ours = _with_class(px).filter("coarse7 is not null").groupBy("coarse7").agg(F.count("*").alias("corine_px"))
-    scheme = px.sparkSession.createDataFrame(list(V.WORLDCOVER_COARSE7.items()), "value int, coarse7 string")
+    scheme = dims.literal_table(px.sparkSession, list(V.WORLDCOVER_COARSE7.items()), "value int, coarse7 string")
     theirs = foreign.join(F.broadcast(scheme), "value").groupBy("coarse7").agg(F.count("*").alias("foreign_px"))
     return ours.join(theirs, "coarse7", "full").select(
         "coarse7", F.coalesce("corine_px", F.lit(0)).alias("corine_px"),
@@ -143,8 +144,8 @@ def resolve_forms(df: DataFrame, form: str = "form") -> DataFrame:
     """Adds canonical, observed, approximate for a surface-form column; null when unresolved."""
     from groundtally.functions.text import normal_form
 
-    table = df.sparkSession.createDataFrame(
-        list(dims.surface_forms()), "_norm string, canonical string, observed boolean, approximate boolean")
+    table = dims.literal_table(
+        df.sparkSession, list(dims.surface_forms()), "_norm string, canonical string, observed boolean, approximate boolean")
     return df.withColumn("_norm", normal_form(F.col(form))).join(F.broadcast(table), "_norm", "left").drop("_norm")
 
 

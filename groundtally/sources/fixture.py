@@ -31,7 +31,7 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
         ((F.floor(F.col("row") / 5) * 3 + F.floor(F.col("col") / 8) * 5 + F.col("patch_id") * 7
           + F.when(F.col("p_size") % 10 == 0, 1).otherwise(0)) % 44).cast("int")
     )
-    codes = F.array(*[F.lit(r[0]) for r in dims.class_rows()])
+    codes = dims.literal_array([r[0] for r in dims.class_rows()])
     return cell.withColumn("idx", idx).select(
         "patch_id", "row", "col",
         F.when(F.col("idx") < 0, F.lit(V.UNCLASSIFIED_CODE))
@@ -153,7 +153,7 @@ JOIN {cls} e ON e.k = (o.o_orderkey + 1 + (o.o_custkey + 9) % 18) % 19
 
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     """Questions over the patches: the 13 columns of the annotation table, one row per order."""
-    cls = spark.createDataFrame([(i, n) for i, n in enumerate(dims.C19_NAMES)], "k bigint, name string")
+    cls = dims.literal_table(spark, list(enumerate(dims.C19_NAMES)), "k bigint, name string")
     return spark.sql(ANNOTATION_SELECT, orders=table(spark, sf, "orders"), cls=F.broadcast(cls))
 
 
