@@ -35,6 +35,15 @@ def _group(text: Column, pattern: str, i: int) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, i))
 
 
+def _one_row(df: DataFrame, keep: list[str], fields: dict[str, Column]) -> DataFrame:
+    """Emits the fields through a one-row generator.
+
+    A later filter on a field then stays above the generator; pushed into it, the optimizer would
+    copy the whole chain of patterns into the predicate. Filters on kept columns still reach the scan.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))))
+
+
 # ------------------------------------------------------------------------------ stem, options, classes
 def stem(question: Column) -> Column:
     return F.when(question.rlike(V.FIRST_OPTION), F.get(F.split(question, V.FIRST_OPTION, 2), F.lit(0))).otherwise(
@@ -202,7 +211,7 @@ def parse(df: DataFrame, question: str = "input", level: str = "c19") -> DataFra
         .when(k == "no_class", "no class name resolved in the stem")
         .when(k == "one_class", F.concat(intent, F.lit(" needs two classes, found "), F.size("_classes").cast("string"))),
     }
-    return d.withColumns(fields).select(*df.columns, *SPEC)
+    return _one_row(d, df.columns, fields)
 
 
 # ------------------------------------------------------------------------------ task-labelled reading
@@ -216,17 +225,17 @@ def parse_for_task(df: DataFrame, question: str = "input") -> DataFrame:
         F.when(cat.isin("country", "season", "climate zone"), "metadata task: not geometry-derived")
         .when((kind == "mcq") & (F.size("_o") != 4), F.concat(F.lit("expected 4 options, parsed "), F.size("_o").cast("string")))
         .when(~kind.isin("mcq", "binary"), F.concat(F.lit("unsupported task kind: "), kind)))
-    d = d.withColumn("reason", reason)
-    binary, mcq = F.col("reason").isNull() & (kind == "binary"), F.col("reason").isNull() & (kind == "mcq")
-    return d.withColumns({
-        "options": F.when(mcq, F.col("_o")),
+    d = d.withColumn("_why", reason)
+    binary, mcq = F.col("_why").isNull() & (kind == "binary"), F.col("_why").isNull() & (kind == "mcq")
+    return _one_row(d, df.columns, {
+        "classes": F.col("classes"), "reason": F.col("_why"), "options": F.when(mcq, F.col("_o")),
         "comparator": F.when(binary, comparator(c, V.TASK_COMPARATORS)),
         "range_lo": F.when(binary, _number(_group(c, V.TASK_BETWEEN, 1))), "range_hi": F.when(binary, _number(_group(c, V.TASK_BETWEEN, 2))),
         "threshold_pct": F.when(binary, F.when(c.rlike(V.TASK_PERCENT), pct).otherwise(m2)),
         "threshold_n": F.when(binary, stated_count(c, V.TASK_NUMBER_WORDS)["value"]),
         "complement": F.when(binary, c.rlike(V.TASK_COMPLEMENT)), "only_one": F.when(binary, c.rlike(V.TASK_ONLY_ONE)),
         "multiple": F.when(binary, c.rlike(V.TASK_MULTIPLE)), "is_m2_unit": F.when(binary, c.rlike(V.TASK_SQUARE_METRE)),
-    }).drop("_o")
+    })
 
 
 def option_direction(text: Column) -> Column:

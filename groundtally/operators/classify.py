@@ -12,7 +12,7 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 MAX_TERMS = 200_000
 
 
-def fit(train: DataFrame, text: str, label: str, max_terms: int = MAX_TERMS, iterations: int = 15) -> PipelineModel:
+def fit(train: DataFrame, text: str, label: str, max_terms: int = MAX_TERMS, iterations: int = 10) -> PipelineModel:
     """Word 1-2-gram TF-IDF and one linear SVM per label."""
     grams = [
         RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN, gaps=False),
@@ -22,7 +22,7 @@ def fit(train: DataFrame, text: str, label: str, max_terms: int = MAX_TERMS, ite
         IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_features"),
     ]
     index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep").fit(train)
-    svm = OneVsRest(classifier=LinearSVC(maxIter=iterations), featuresCol="_features", labelCol="_label", predictionCol="_prediction")
+    svm = OneVsRest(classifier=LinearSVC(maxIter=iterations), featuresCol="_features", labelCol="_label", predictionCol="_prediction", parallelism=8)
     back = IndexToString(inputCol="_prediction", outputCol="predicted", labels=index.labels)
     return Pipeline(stages=[*grams, index, svm, back]).fit(train)
 
