@@ -91,6 +91,8 @@ def _sql(value) -> str:
         return "NULL"
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"{value!r}D"
     return str(value).lower() if isinstance(value, bool) else str(value)
 
 
