@@ -57,13 +57,23 @@ def option_text(question: Column) -> Column:
             .when(F.contains(question, F.lit("?")), F.substr(question, F.length(head) + 2)).otherwise(F.lit("")))
 
 
+def let(value: Column, use) -> Column:
+    """Evaluates ``value`` once and hands it to ``use``; nested patterns are not run again per reference."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def options_of(segment: Column) -> Column:
     """Options as array<struct<letter, text>> in order of appearance; a repeated letter keeps its last text."""
-    letters = F.regexp_extract_all(segment, F.lit(V.OPTION_ITEM), F.lit(1))
-    texts = F.transform(F.regexp_extract_all(segment, F.lit(V.OPTION_ITEM), F.lit(2)), lambda t: F.regexp_replace(F.trim(t), r"\.+$", ""))
-    pairs = F.arrays_zip(letters.alias("letter"), texts.alias("text"))
-    return F.transform(F.array_distinct(letters), lambda x: F.struct(
-        x.alias("letter"), F.element_at(F.filter(pairs, lambda p: p["letter"] == x), -1)["text"].alias("text")))
+    letters = F.regexp_extract_all(segment, F.lit(V.OPTION_LETTER), F.lit(1))
+    parts = F.split(segment, V.OPTION_MARK)
+    texts = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda t: F.regexp_replace(F.trim(t), r"\.+$", ""))
+    zipped = F.filter(F.arrays_zip(letters.alias("letter"), texts.alias("text")), lambda p: p["text"] != "")
+
+    def last_of_each(z):
+        return F.transform(F.array_distinct(F.transform(z, lambda p: p["letter"])), lambda x: F.element_at(F.filter(z, lambda p: p["letter"] == x), -1))
+
+    none = F.array().cast("array<struct<letter:string,text:string>>")
+    return F.when(F.contains(segment, F.lit(")")), let(zipped, last_of_each)).otherwise(none)
 
 
 def task_segment(question: Column) -> Column:
@@ -81,9 +91,8 @@ def mentions(text: Column, mode: str = "whole_word") -> Column:
 def contained_classes(text: Column) -> Column:
     """Classes of every form contained in the text, longest form first; used for option texts."""
     rows = ", ".join(f"named_struct('form', {dims._sql(f)}, 'name', {dims._sql(c)})" for f, c, *_ in dims.surface_forms())
-    low = F.lower(text)
-    hit = F.filter(F.expr(f"array({rows})"), lambda s: F.contains(low, s["form"]))
-    return F.array_distinct(F.transform(hit, lambda s: s["name"]))
+    return let(F.lower(text), lambda low: F.array_distinct(F.transform(
+        F.filter(F.expr(f"array({rows})"), lambda s: F.contains(low, s["form"])), lambda s: s["name"])))
 
 
 def mask_classes(text: Column) -> Column:
@@ -103,7 +112,9 @@ def stated_area(text: Column) -> Column:
 
 def stated_count(text: Column, words=V.NUMBER_WORDS) -> Column:
     """struct<raw, unit, value, as_percent>; number words in list order, then digits."""
-    word = first_match(F.lower(text), [(w, rf"\b{w}\b") for w, _ in words])
+    any_word = r"\b(?:" + "|".join(w for w, _ in words) + r")\b"
+    low = F.lower(text)
+    word = F.when(low.rlike(any_word), first_match(low, [(w, rf"\b{w}\b") for w, _ in words]))
     raw = F.coalesce(word, _group(text, r"\b(\d+)\b", 1))
     value = F.coalesce(F.element_at(dims.literal_map(dict(words)), raw).cast("double"), raw.try_cast("double"))
     return F.when(raw.isNotNull(), F.struct(raw.alias("raw"), F.lit("count").alias("unit"), value.alias("value"),
@@ -141,12 +152,15 @@ def intent_rule(cue: Column, is_mcq: Column) -> Column:
 def _steps(df: DataFrame, question: str) -> DataFrame:
     """The intermediate columns every part of the free reading draws on, computed once."""
     c = F.col(question)
-    d = df.withColumns({"_stem": stem(c), "_opt": options_of(option_text(c)),
-                        "_px": F.regexp_extract(c, V.POINT_TAG, 1).try_cast("double"),
-                        "_py": F.regexp_extract(c, V.POINT_TAG, 2).try_cast("double"),
-                        "_is_point": c.rlike(V.POINT_TAG), "_is_ref": c.rlike(V.REF_TAG), "_ref": F.regexp_extract(c, V.REF_TAG, 1)})
-    d = d.withColumns({"_mcq": F.size("_opt") == 4, "_cue": mask_classes(F.col("_stem")), "_classes": mentions(F.col("_stem")),
-                       "_all": mentions(c), "_inner": mentions(F.col("_ref"))})
+    tagged = F.contains(c, F.lit("<"))
+    d = df.withColumns({"_stem": stem(c), "_opt": options_of(option_text(c)), "_is_point": tagged & c.rlike(V.POINT_TAG),
+                        "_is_ref": tagged & c.rlike(V.REF_TAG)})
+    d = d.withColumns({"_px": F.when(F.col("_is_point"), F.regexp_extract(c, V.POINT_TAG, 1).try_cast("double")),
+                       "_py": F.when(F.col("_is_point"), F.regexp_extract(c, V.POINT_TAG, 2).try_cast("double")),
+                       "_ref": F.when(F.col("_is_ref"), F.regexp_extract(c, V.REF_TAG, 1)).otherwise(F.lit("")),
+                       "_mcq": F.size("_opt") == 4, "_cue": mask_classes(F.col("_stem")), "_classes": mentions(F.col("_stem")),
+                       "_all": F.when(F.col("_is_point") | F.col("_is_ref"), mentions(c))})
+    d = d.withColumn("_inner", F.when(F.col("_is_ref"), mentions(F.col("_ref"))))
     d = d.withColumns({"_hit": intent_rule(F.col("_cue"), F.col("_mcq")),
                        "_caption": F.col("_cue").rlike(V.CAPTION_CUE) & ~F.col("_mcq")})
     two = F.col("_hit.intent").isin("adjacency", "relative_position")
@@ -174,9 +188,10 @@ def parse(df: DataFrame, question: str = "input", level: str = "c19") -> DataFra
         .when((F.col("_need") == 2) & (F.size("_classes") < 2), "one_class").otherwise("full"))
     d = d.withColumn("_kind", kind)
     k = F.col("_kind")
-    has_range = F.col("_cue").rlike(V.BETWEEN_RANGE) & intent.isin("area", "count")
-    m2 = F.col("_cue").rlike(V.SQUARE_METRE_VALUE) & (intent == "area")
-    free = (k == "full") & ~F.col("_mcq")
+    d = d.withColumn("_free", (k == "full") & ~F.col("_mcq") & intent.isin("area", "count"))
+    free = F.col("_free")
+    d = d.withColumns({"_ranged": free & F.col("_cue").rlike(V.BETWEEN_RANGE), "_m2": free & (intent == "area") & F.col("_cue").rlike(V.SQUARE_METRE_VALUE)})
+    has_range, m2 = F.col("_ranged"), F.col("_m2")
 
     def bound(i):
         v = _number(_group(F.col("_cue"), V.BETWEEN_RANGE, i))
@@ -196,10 +211,10 @@ def parse(df: DataFrame, question: str = "input", level: str = "c19") -> DataFra
         .when(k == "full", F.get("_classes", F.lit(1))),
         "qualifier": F.when(k == "point", qualifier(c)).when(k == "ref", qualifier(F.col("_ref")))
         .when(k.isin("option_classes", "full"), qualifier(F.col("_cue"))),
-        "comparator": F.when(free & has_range, "between").when(free & intent.isin("area", "count"), comparator(F.col("_cue"))),
-        "stated_value": F.when(free & has_range, bound(1)).when(free & (intent == "area"), stated_area(F.col("_cue")))
+        "comparator": F.when(has_range, "between").when(free, comparator(F.col("_cue"))),
+        "stated_value": F.when(has_range, bound(1)).when(free & (intent == "area"), stated_area(F.col("_cue")))
         .when(free & (intent == "count"), stated_count(F.col("_cue"))),
-        "stated_upper": F.when(free & has_range, bound(2)),
+        "stated_upper": F.when(has_range, bound(2)),
         "negated": F.when(k.isin("point", "ref", "caption", "metadata", "option_classes"), F.lit(False))
         .when(k == "full", F.col("_cue").rlike(V.NEGATION_CUE)),
         "point_x": F.when(k == "point", F.col("_px")), "point_y": F.when(k == "point", F.col("_py")),

@@ -16,9 +16,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistributes a scan that arrives in fewer pieces than there are cores (one small file, say).
+
+    A large input already has more pieces than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
     """One row per pixel: (patch_id, row, col, code); a patch is one nation's copy of the part grid."""
-    part = table(spark, sf, "part").select("p_partkey", "p_size")
+    part = spread(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("patch_id"))
     row = F.floor(F.col("p_partkey") / 40).cast("int")
     col = (F.col("p_partkey") % 40).cast("int")
@@ -154,7 +163,9 @@ JOIN {cls} e ON e.k = (o.o_orderkey + 1 + (o.o_custkey + 9) % 18) % 19
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     """Questions over the patches: the 13 columns of the annotation table, one row per order."""
     cls = dims.literal_table(spark, list(enumerate(dims.C19_NAMES)), "k bigint, name string")
-    return spark.sql(ANNOTATION_SELECT, orders=table(spark, sf, "orders"), cls=F.broadcast(cls))
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"]
+    orders = spread(table(spark, sf, "orders").select(*columns), "o_orderkey")
+    return spark.sql(ANNOTATION_SELECT, orders=orders, cls=F.broadcast(cls))
 
 
 def open_annotations(spark: SparkSession, sf: str) -> DataFrame:
