@@ -145,43 +145,69 @@ def same_block_rate(assigned: DataFrame) -> DataFrame:
     return b.join(F.broadcast(f)).select("same", (sq("n") - F.col("sf")).cast("double").alias("cross")).withColumn("rate", ratio(F.col("same"), F.col("cross")))
 
 
-LEVELS = 21  # cells from 1 degree down to 2^-20 degree (about 0.1 m)
+LEVELS = 26            # cube sides from the whole globe (4 Earth radii) down to about 0.8 m
+MAX_POINT_PAIRS = 20_000_000
+
+
+def _cube(side: float) -> list[Column]:
+    return [F.floor((F.col(c) + 1.0) / side).alias("c" + c) for c in ("x", "y", "z")]
+
+
+def _bounds(side: float) -> tuple[Column, Column]:
+    """Squared chord bounds between two cubes: nearest and farthest corners."""
+    gap = [F.abs(F.col(f"c{c}1") - F.col(f"c{c}2")) for c in ("x", "y", "z")]
+    near = sum((F.pow(F.greatest(g - 1, F.lit(0)) * side, 2) for g in gap), F.lit(0.0))
+    far = sum((F.pow((g + 1) * side, 2) for g in gap), F.lit(0.0))
+    return near, far
 
 
 def min_fold_distance(assigned: DataFrame) -> DataFrame:
     """Exact smallest great-circle distance between patches of different folds, in kilometres.
 
-    A hierarchy of grid cells is summarised in one pass; the finest cell that still holds two folds
-    bounds the distance from above. Distinct positions are then compared only between neighbouring
-    cells of that size.
+    Points sit on the unit sphere, where chord and arc order pairs alike and no pole or date line
+    needs care. One pass over nested cubes finds the finest that still holds two folds, which bounds
+    the chord. Neighbouring cubes of that size are the candidates; while they would compare too many
+    points, cubes are split in four and every pair whose nearest corners are farther apart than the
+    best farthest corners is dropped. Only then do points meet.
     """
-    import math
-
-    pts = cut_lineage(assigned.filter("lat is not null and lon is not null").select("lat", "lon", "fold").distinct())
-    side = F.pow(F.lit(2.0), -F.col("level"))
-    cells = pts.select(F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"), "lat", "lon", "fold").groupBy(
-        "level", F.floor(F.col("lat") / side).alias("y"), F.floor(F.col("lon") / side).alias("x")).agg(F.min("fold").alias("a"), F.max("fold").alias("b"))
+    lat, lon = F.radians("lat"), F.radians("lon")
+    pts = cut_lineage(assigned.filter("lat is not null and lon is not null").select("lat", "lon", "fold").distinct().select(
+        "lat", "lon", "fold", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z")))
+    at = F.pow(F.lit(2.0), F.lit(2) - F.col("level"))
+    cells = pts.select(F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"), "x", "y", "z", "fold").groupBy(
+        "level", *[F.floor((F.col(c) + 1.0) / at).alias("c" + c) for c in ("x", "y", "z")]).agg(F.min("fold").alias("a"), F.max("fold").alias("b"))
     finest = cells.filter("a <> b").agg(F.max("level")).first()[0]
-    if finest is None:  # no 1-degree cell holds two folds: fall back to the coarsest grid that does
-        step = 360.0
-    else:
-        # Any pair within the bound differs by at most the cell diagonal in latitude.
-        step = 2.0 ** -finest * math.sqrt(2.0) * 1.01
-    # A degree of longitude shrinks with latitude, so longitude cells widen with the band's own latitude.
-    y = F.floor(F.col("lat") / step)
-    band = F.least(F.abs(F.col("y")), F.abs(F.col("y") + 1)) * step
-    far = F.greatest(F.abs(F.col("y") - 1), F.abs(F.col("y") + 2)) * step
-    width = F.lit(step) / F.greatest(F.cos(F.radians(F.least(far, F.lit(89.9)))), F.lit(0.001))
-    a = pts.withColumn("y", y).withColumn("x", F.floor(F.col("lon") / width))
-    # The reference cell row decides the width, so neighbours are looked up in that row's own grid.
-    near = F.expr("array(-1, 0, 1)")
-    left = a.select(F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("fold").alias("fold1"), "y", "x")
-    right = pts.withColumn("y0", y).select("lat", "lon", "fold", F.explode(F.transform(near, lambda d: F.col("y0") + d)).alias("y"))
-    right = right.withColumn("x0", F.floor(F.col("lon") / width)).select(
-        F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("fold").alias("fold2"), "y", F.explode(F.transform(near, lambda d: F.col("x0") + d)).alias("x"))
-    j = left.join(right, ["y", "x"]).filter("fold1 < fold2")
-    del band
-    return j.agg(F.min(geometry.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))).alias("min_km"))
+    if finest is None:  # one fold only
+        return pts.limit(0).agg(F.min("lat").alias("min_km"))
+    side = 2.0 ** (2 - finest) * 3.0 ** 0.5
+
+    def counted(s, n):
+        return pts.groupBy(*[c.alias(f"{name}{n}") for c, name in zip(_cube(s), ("cx", "cy", "cz"))], F.col("fold").alias(f"f{n}")).agg(F.count("*").alias(f"n{n}"))
+
+    keys1, keys2 = ["cx1", "cy1", "cz1", "f1"], ["cx2", "cy2", "cz2", "f2"]
+    steps = F.expr("flatten(transform(array(-1, 0, 1), i -> flatten(transform(array(-1, 0, 1), j -> transform(array(-1, 0, 1), k -> named_struct('i', i, 'j', j, 'k', k))))))")
+    left = counted(side, 1).select("*", F.explode(steps).alias("s"))
+    pairs = left.withColumns({"cx2": F.col("cx1") + F.col("s.i"), "cy2": F.col("cy1") + F.col("s.j"), "cz2": F.col("cz1") + F.col("s.k")}).drop("s").join(
+        counted(side, 2), ["cx2", "cy2", "cz2"]).filter("f1 < f2")
+    while True:
+        near, far = _bounds(side)
+        pairs = cut_lineage(pairs.withColumns({"near": near, "far": far}))
+        best = pairs.agg(F.min("far")).first()[0]
+        pairs = pairs.filter(F.col("near") <= best)
+        work = pairs.agg(F.sum(F.col("n1").cast("double") * F.col("n2"))).first()[0]
+        if work <= MAX_POINT_PAIRS or side < 1e-8:
+            break
+        side /= 4.0
+        parents = pairs.select(*[F.col(c).alias("p" + c) for c in (*keys1[:3], *keys2[:3])], "f1", "f2")
+        for n in (1, 2):
+            child = counted(side, n).select("*", *[F.floor(F.col(f"c{c}{n}") / 4).alias(f"pc{c}{n}") for c in "xyz"])
+            parents = parents.join(child, [f"pcx{n}", f"pcy{n}", f"pcz{n}", f"f{n}"])
+        pairs = parents.select(*keys1, "n1", *keys2, "n2")
+
+    def placed(n):
+        return pts.select(*[c.alias(f"{name}{n}") for c, name in zip(_cube(side), ("cx", "cy", "cz"))], F.col("fold").alias(f"f{n}"), F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}"))
+    met = pairs.select(*keys1, *keys2).join(placed(1), keys1).join(placed(2), keys2)
+    return met.agg(F.min(geometry.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))).alias("min_km"))
 
 
 def repeat_acquisitions(assigned: DataFrame) -> DataFrame:
