@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundtally.functions import dims, geometry, questions
 from groundtally.functions import fixed_values as V
+from groundtally.session import cut_lineage
 
 OUT = ["id", "patch_id", "task", "answer", "computed", "reason"]
 
@@ -179,8 +180,13 @@ def mcq_relative(parsed: DataFrame, facts: DataFrame, band: float = V.DIAGONAL_B
 
 
 def answer_all(ann: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every question answered or declined with a reason, by task."""
-    p, f, a = parsed_questions(ann), named_facts(facts), named_pairs(pairs)
+    """Every question answered or declined with a reason, by task.
+
+    Questions are read once and written; eight branches then filter and join the small specifications.
+    """
+    fields = ["id", "patch_id", "input", "task", "category", "classes", "reason", "options", "comparator", "range_lo", "range_hi",
+              "threshold_pct", "threshold_n", "complement", "only_one", "multiple", "is_m2_unit"]
+    p, f, a = cut_lineage(parsed_questions(ann).select(*fields)), named_facts(facts), named_pairs(pairs)
     parts = [declined(p), binary_measures(p, f), binary_adjacency(p, a), mcq_presence(p, f), mcq_count(p, f), mcq_area(p, f),
              mcq_adjacency(p, a), mcq_relative(p, f).select(*OUT)]
     out = parts[0].select(*OUT)

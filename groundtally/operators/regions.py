@@ -138,6 +138,7 @@ def gap_runs(runs: DataFrame) -> DataFrame:
 
 def fill_holes(runs: DataFrame, block: int = BLOCK, max_side: int | None = None) -> DataFrame:
     """Adds every background region that no 4-neighbour path connects to the border."""
+    runs = cut_lineage(runs)  # read four times below; run-length encoding the pixels again would cost more
     side = max_side if max_side is not None else longest_side(runs)
     gaps = components(gap_runs(runs), 4, block, flag="rim", max_side=side)
     holes = gaps.filter(~F.col("rim")).select(*RUN_KEYS, "row", "c0", "c1")
