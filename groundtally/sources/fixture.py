@@ -85,7 +85,9 @@ SELECT o_orderkey AS id,
   CONCAT('S1_', CAST(o_custkey % 25 AS STRING)) AS s1_name,
   CAST(o_custkey % 25 AS INT) AS patch_id,
   CASE o_orderkey % 24
-    WHEN 0 THEN CONCAT('Is there any ', LOWER(a.name), ' in the image?')
+    WHEN 0 THEN CASE o_custkey % 7 WHEN 0 THEN CONCAT('Is any part of the scene covered by ', LOWER(a.name), '?')
+                WHEN 1 THEN CONCAT('Are there distinct parcels of ', LOWER(a.name), '?')
+                ELSE CONCAT('Is there any ', LOWER(a.name), ' in the image?') END
     WHEN 1 THEN CONCAT('Does ', LOWER(a.name), ' cover at least ', n10, '% of the image?')
     WHEN 2 THEN CONCAT('Are there exactly ', cnt, ' connected regions of ', LOWER(a.name), '?')
     WHEN 3 THEN CONCAT('Is any ', LOWER(a.name), ' and ', LOWER(b.name), ' side by side in the image?')
