@@ -29,13 +29,19 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_round_trip(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundtally.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from groundtally.llm.packing import cut_pieces, pack_pieces
 
     return pack_pieces(cut_pieces(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_token_store, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_token_store, op4_ngram_jaccard_join, op8_best_fit_packing)}
 
 SMALLS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANKS = r"[^\x20\x09-\x0D]+"
