@@ -35,13 +35,49 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundtally.llm.page_diff import extract_main_text
+
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from groundtally.llm.bpe_transducer import code_digests
+
+    found = code_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundtally.llm.chat_rotation import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from groundtally.llm.packing import cut_pieces, pack_pieces
 
     return pack_pieces(cut_pieces(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_token_store, op4_ngram_jaccard_join, op8_best_fit_packing)}
+def op9_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundtally.llm.credential_links import scan_secrets, span_digests
+
+    return span_digests(scan_secrets(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundtally.llm.cotraining import narrow, train
+
+    docs = table(spark, sf_dir, "documents")
+    return train(docs, table(spark, sf_dir, "labels")).score(narrow(docs)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_token_store, op4_ngram_jaccard_join, op5_page_diff,
+                                     op6_bpe_transducer, op7_chat_rotation, op8_best_fit_packing, op9_credential_links, op10_cotraining)}
 
 SMALLS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANKS = r"[^\x20\x09-\x0D]+"
@@ -69,4 +105,17 @@ ORACLES = {
                 + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 16 ELSE 0 END + CASE WHEN 100 * n_exclaims > 20 * n_words THEN 32 ELSE 0 END
                 + CASE WHEN 100 * n_capitals > 30 * n_chars THEN 64 ELSE 0 END AS INT) AS failures FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) > 0 AS base_failed, failures = 0 AS kept, failures FROM f""",
+    "op7_chat_rotation": r"""
+        WITH t AS (SELECT conv_id, turn, CASE WHEN regexp_replace(coalesce(role, ''), '\s+', ' ', 'g') = '' THEN 'unknown'
+                     ELSE regexp_replace(replace(coalesce(role, ''), '<|im_', '<| im_'), '\s+', ' ', 'g') END AS role,
+                     replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
+        s AS (SELECT DISTINCT conv_id AS of, role AS speaker FROM t WHERE role <> 'system'),
+        p AS (SELECT conv_id, speaker, turn >> 6 AS part, turn, role, text, role = speaker AS own, '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant'
+                WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) || text || '<|im_end|>' || chr(10) AS piece
+              FROM t JOIN s ON conv_id IS NOT DISTINCT FROM of),
+        q AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM p),
+        r AS (SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(piece, '' ORDER BY turn, role, text) AS rendered, CAST(sum(length(piece)) AS BIGINT) AS n_chars,
+                coalesce(string_agg(CASE WHEN own THEN (upto - length(piece) + 22) || ':' || (upto - 1) END, ',' ORDER BY turn, role, text), '') AS targets
+              FROM q GROUP BY ALL)
+        SELECT *, CAST(coalesce(sum(n_chars) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM r""",
 }
