@@ -7,22 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundtally.llm.common import written
+from groundtally.llm.credential_links import mask_secrets
 from groundtally.llm.exact_dedup import drop_copies
+from groundtally.llm.jaccard_join import one_of_each
 from groundtally.llm.packing import cut_pieces, pack_pieces
+from groundtally.llm.quality_rules import keep_passing
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no rule of the current policy."""
+    return keep_passing(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts the document with the largest id."""
     return drop_copies(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id."""
+    return one_of_each(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret found masked and ``n_chars`` set anew where that changes it."""
+    return mask_secrets(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document, with its sequence and place."""
     return pack_pieces(cut_pieces(docs)).withColumnRenamed("id", "doc_id")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup), ("best_fit_packing", best_fit_packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: The stages encode tokens, which SQL can't; tests/llm holds them against plain Python.
 ORACLE_SQL = None

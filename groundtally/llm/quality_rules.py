@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ POLICIES = {p.version: p for p in (Policy("v1", mask_of(*BASE)), Policy("v2", ma
 CURRENT = POLICIES["v3"]
 
 
-def _measure():
+def _measure_one():
     blanks, symbols, capitals = "\x20\x09\x0a\x0b\x0c\x0d", "#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
     def one(text: str | None) -> tuple[int, ...]:
@@ -61,6 +62,12 @@ def _measure():
         return (len(words), len(text) - sum(map(text.count, blanks)), sum(map(text.count, symbols)), len(lines) - len(set(lines)),
                 repeated, len(lines), text.count("!"), len(raw) - len(raw.translate(None, capitals)), len(text))
 
+    return one
+
+
+def _measure():
+    one = _measure_one()
+
     def batch(rows: dict) -> dict:
         made = [one(t) for t in rows["text"]]
         return {"id": rows["id"], **{name: [m[i] for m in made] for i, name in enumerate(MEASURES)}}
@@ -68,6 +75,14 @@ def _measure():
     return batch
 
 
+def _failures() -> Column:
+    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
+    mask = bits[0]
+    for b in bits[1:]:
+        mask = mask.bitwiseOR(b)
+    return mask
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, measures, failures): every measurement and one bit per failed rule.
 
@@ -77,17 +92,25 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     measured = map_rows(rows, "id long, " + ", ".join(f"{m} long" for m in MEASURES), _measure)
-    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
-    failures: Column = bits[0]
-    for b in bits[1:]:
-        failures = failures.bitwiseOR(b)
-    return measured.withColumn("failures", failures)
+    return measured.withColumn("failures", _failures())
 
 
 def passes(policy: Policy, failures: str = "failures") -> Column:
     return F.col(failures).bitwiseAND(F.lit(policy.mask)) == 0
 
 
+def keep_passing(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass ``policy``, with their columns, measured where they lie."""
+    one = _measure_one()
+
+    @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=list(MEASURES))
+
+    rows = docs.select(F.struct("*").alias("doc"), measured(docs[text_col]).alias("m")).select("doc", "m.*")
+    return rows.withColumn("failures", _failures()).filter(passes(policy)).select("doc.*")
+
+
 def ablations(entries: DataFrame, policies: dict[str, Policy] | None = None) -> DataFrame:
     """(version, rule, failed, rejected, rejected_without): how many documents a rule fails under a policy, how many
     the policy rejects, and how many it would reject without the rule.
