@@ -29,37 +29,53 @@ SLOTS = 1 << 20
 
 
 class Shingler:
-    """Texts to sorted arrays of distinct 64-bit shingle hashes."""
+    """Texts to sorted arrays of distinct 64-bit shingle hashes.
+
+    A shingle's hash is a sum over its bytes, blanks made single: a random number for the byte times
+    a power of an odd number for its place. Running sums over the text give all shingles at once.
+    """
+
+    _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
 
     def __init__(self, words: int):
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
-
-        class Known(dict):
-            def __missing__(self, word):
-                if len(self) > 1_000_000:
-                    self.clear()
-                self[word] = value = digest(word)
-                return value
+        self.words, self.digest = words, xxhash.xxh3_64_intdigest
+        self.of_byte = np.array([self.digest(b"byte %d" % i) for i in range(256)], np.uint64)
+        self.factor = self.digest(b"place") | 1
+        self._powers(1 << 14)
 
-        self.known, self.words, self.digest = Known(), words, digest
-        self.factors = [np.uint64(digest(str(i).encode()) | 1) for i in range(words)]
+    def _powers(self, size: int) -> None:
+        up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
+        up[0] = down[0] = 1
+        up[1:], down[1:] = self.factor, pow(self.factor, -1, 1 << 64)
+        self.up, self.down = np.cumprod(up), np.cumprod(down)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and blanks 20, 09-0D alone
-        if not tokens:
+        raw = (text or "").encode("utf-8", "surrogatepass").translate(self._LOWER)
+        if b"  " in raw or raw[:1] == b" " or raw[-1:] == b" ":
+            raw = b" ".join(raw.split())
+        if not raw:
             return np.zeros(0, np.uint64)
-        known, k = self.known, min(self.words, len(tokens))
-        hashes = np.array([known[t] for t in tokens], np.uint64)
-        n = len(tokens) - k + 1
-        mixed = np.full(n, k, np.uint64)
-        for i in range(k):
-            mixed += hashes[i:i + n] * self.factors[i]
+        data = np.frombuffer(raw, np.uint8)
+        if data.size >= self.up.size:
+            self._powers(2 * data.size)
+        sums = np.empty(data.size + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(self.of_byte[data] * self.up[:data.size], out=sums[1:])
+        blanks = np.flatnonzero(data == 32)
+        n = max(blanks.size + 2 - self.words, 1)
+        starts, ends = np.zeros(n, np.int64), np.full(n, data.size)
+        starts[1:] = blanks[:n - 1] + 1
+        ends[:-1] = blanks[self.words - 1:self.words + n - 2]
+        mixed = (sums[ends] - sums[starts]) * self.down[starts]
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-        return np.unique(mixed)
+        mixed.sort()
+        first = np.ones(n, bool)
+        np.not_equal(mixed[1:], mixed[:-1], out=first[1:])
+        return mixed[first]
 
     def name(self, shingles: np.ndarray) -> int:
         """A 63-bit name of a set; with the set's size it stands for the set."""
@@ -114,11 +130,14 @@ def least_overlap(a: Column, b: Column, per_cent: int) -> Column:
     return F.ceil(F.lit(per_cent) * (a + b) / F.lit(100 + per_cent))
 
 
-def prefix_postings(docs: DataFrame, words: int, per_cent: int, frequent: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """(token, set_name, n, pos, common): the index prefix of every set, once a task for equal sets."""
-    sc = docs.sparkSession.sparkContext
-    order = sc.broadcast((frequent, classes))  # FREQUENT entries at most
-    types = {"token": pa.int64(), "set_name": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "common": pa.bool_()}
+def prefix_postings(docs: DataFrame, words: int, per_cent: int, frequent: np.ndarray, classes: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, common, size, packed): the index prefix of every set, once a task for equal sets, in columns of bytes.
+
+    Postings are packed by the bucket they belong to before they move, many to a row. Those of frequent
+    tokens are dealt by set, so that no list of them meets in one task; the others by token.
+    """
+    order = docs.sparkSession.sparkContext.broadcast((frequent, classes))  # FREQUENT entries at most
+    types = {"bucket": pa.int32(), "common": pa.bool_(), "size": pa.int32(), "packed": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = order.value
@@ -129,8 +148,15 @@ def prefix_postings(docs: DataFrame, words: int, per_cent: int, frequent: np.nda
         held = 0
 
         def out() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*parts)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+            token, name, n, pos, common = (np.concatenate(c) for c in zip(*parts))
+            bucket = (np.where(common, name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), token) >> np.uint64(32)) % np.uint64(buckets)
+            key = bucket * np.uint64(2) + common
+            by_key = np.argsort(key, kind="stable")
+            key = key[by_key]
+            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            columns = [c[by_key] for c in (token, name, n, pos)]
+            rows = [(int(key[a]) >> 1, bool(key[a] & np.uint64(1)), b - a, b"".join(c[a:b].tobytes() for c in columns)) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+            return _batches(rows, types)
 
         for make, _, shingles in _sets(batches, words):
             n = shingles.size
@@ -149,40 +175,46 @@ def prefix_postings(docs: DataFrame, words: int, per_cent: int, frequent: np.nda
                 same = often[found] == shingles[at]
                 cls[at[same]] = rank[found[same]]
             pick = np.argsort(cls, kind="stable")[:take] if cls.any() else np.arange(take)
-            parts.append((shingles[pick].view(np.int64), np.full(take, name, np.int64), np.full(take, n, np.int32), np.arange(take, dtype=np.int32), cls[pick] > 0))
+            parts.append((shingles[pick], np.full(take, name, np.int64), np.full(take, n, np.uint32), np.arange(take, dtype=np.uint32), cls[pick] > 0))
             held += take
-            if held >= 100_000:
+            if held >= 300_000:
                 yield out()
                 parts, held = [], 0
         if parts:
             yield out()
 
-    return docs.mapInArrow(run, "token long, set_name long, n int, pos int, common boolean")
+    return docs.mapInArrow(run, "bucket int, common boolean, size int, packed binary")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings whose token is in two sets or more. Frequent tokens are known to be and stay where they are,
-    so that no list of them meets in one task; the others are sorted by token and dropped when alone."""
+def _shared(postings: DataFrame, partitions: int) -> DataFrame:
+    """(token, set_name, n, pos) of tokens in two sets or more, each once; frequent tokens are known to be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, False  # the end of the batch before, and whether it is known to be shared
+        read: dict[bool, list] = {False: [], True: []}
         for batch in batches:
-            if not batch.num_rows:
+            for common, size, packed in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                read[common].append((np.frombuffer(packed, np.uint64, size), np.frombuffer(packed, np.int64, size, 8 * size),
+                                     np.frombuffer(packed, np.uint32, size, 16 * size), np.frombuffer(packed, np.uint32, size, 20 * size)))
+        for common, parts in read.items():
+            if not parts:
                 continue
-            table = pa.Table.from_batches([batch] if last is None else [last, batch])
-            token = table.column("token").to_numpy()
-            same = token[1:] == token[:-1]
-            keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            keep[0] |= held
-            held, keep[-1] = bool(keep[-1]), False  # the last row waits for the next batch
-            last = table.slice(table.num_rows - 1).combine_chunks().to_batches()[0]
-            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
-        if held:
-            yield last
-
-    columns = ["token", "set_name", "n", "pos"]
-    rare = postings.filter("not common").select(*columns).repartition("token").sortWithinPartitions("token")
-    return rare.mapInArrow(run, "token long, set_name long, n int, pos int").unionByName(postings.filter("common").select(*columns))
+            token, name, n, pos = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(token, kind="stable")
+            same = token[order[1:]] == token[order[:-1]]
+            order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if not common else order
+            order = order[np.lexsort((name[order], token[order]))]
+            token, name, n, pos = token[order], name[order], n[order], pos[order]
+            first = np.ones(token.size, bool)
+            first[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1]) | (n[1:] != n[:-1])
+            token, name, n, pos = token[first], name[first], n[first], pos[first]
+            if not common:
+                same = token[1:] == token[:-1]
+                many = np.concatenate(([False], same)) | np.concatenate((same, [False])) if token.size else np.zeros(0, bool)
+                token, name, n, pos = token[many], name[many], n[many], pos[many]
+            out = pa.table({"token": token.view(np.int64), "set_name": name, "n": n.astype(np.int32), "pos": pos.astype(np.int32)})
+            yield from out.to_batches(max_chunksize=50_000)
+
+    return postings.repartition(partitions, "bucket").mapInArrow(run, "token long, set_name long, n int, pos int")
 
 
 def _slots_of(names: DataFrame) -> np.ndarray:
@@ -263,14 +295,14 @@ def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     by_token = np.argsort(frequent)
     classes = np.array([int(c).bit_length() for c in top["c"]], np.uint8)
 
-    lists = written(_shared(prefix_postings(docs, words, per_cent, frequent[by_token], classes[by_token])).distinct())
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists = written(_shared(prefix_postings(docs, words, per_cent, frequent[by_token], classes[by_token], 4 * partitions), partitions))
     pivots = lists.groupBy("token").agg(F.min(F.struct("set_name", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     starred = lists.alias("x").join(pivots.select("token", "p.*").alias("y"), "token")
     pairs = written(starred.filter(F.col("x.set_name") != F.col("y.set_name")).filter(_may_link("x", "y", per_cent))
                     .select(F.col("y.set_name").alias("a"), F.col("y.n").alias("na"), F.col("x.set_name").alias("b"), F.col("x.n").alias("nb")).distinct())
-    named_sets = lists.select("set_name")
-    sets = written(read_sets(docs, words, named_sets))
-    first = written(_verified(pairs, sets))
+    sides = lambda p: p.select(F.col("a").alias("set_name")).unionByName(p.select(F.col("b").alias("set_name")))
+    first = written(_verified(pairs, read_sets(docs, words, sides(pairs))))
     links = lambda v: v.filter(F.col("overlap") >= least_overlap(F.col("na"), F.col("nb"), per_cent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = contract(links(first))
 
@@ -300,7 +332,7 @@ def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     swap = c("x", "set_name") > c("y", "set_name")
     more = rest.select(*(F.when(swap, c(s, k)).otherwise(c(t, k)).alias(o) for o, s, t, k in (("a", "y", "x", "set_name"), ("na", "y", "x", "n"), ("b", "x", "y", "set_name"), ("nb", "x", "y", "n")))).distinct()
     more = written(more.join(pairs, ["a", "na", "b", "nb"], "left_anti"))
-    second = _verified(more, sets)
+    second = written(_verified(more, read_sets(docs, words, sides(more))))
     return named, contract(links(first).unionByName(links(second)))
 
 
