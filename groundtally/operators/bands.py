@@ -112,8 +112,26 @@ def spectral_index(bands: DataFrame, kind: str) -> DataFrame:
                     F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit("index_bands")).alias("reason"))
 
 
-def stack_channels(bands: DataFrame) -> DataFrame:
-    """Twelve values per pixel in the frozen order; an absent band is zero-filled."""
+def checked_grids(bands: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """Bands whose scenes are sound: each band that a scene has covers the scene's whole grid, once.
+
+    ``target`` gives (scene, out_h, out_w); without it the largest extent of the scene's bands is its grid.
+    """
+    per = bands.groupBy("scene", "band").agg(F.count("*").alias("n"), (F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+    if target is None:
+        sizes = per.groupBy("scene").agg(F.max("h").alias("out_h"), F.max("w").alias("out_w"))
+    else:
+        sizes = target.select("scene", "out_h", "out_w")
+    bad = (F.col("h") != F.col("out_h")) | (F.col("w") != F.col("out_w")) | (F.col("n") != F.col("out_h").cast("long") * F.col("out_w"))
+    told = F.concat(F.lit("band "), F.col("band"), F.lit(" does not cover the grid of scene "), F.col("scene").cast("string"))
+    sound = per.join(sizes, "scene").groupBy("scene").agg(F.max(F.when(bad, told)).alias("fault"))
+    joined = bands.join(sound, "scene")
+    return joined.filter(F.when(F.col("fault").isNull(), F.lit(True)).otherwise(F.raise_error("fault").cast("boolean"))).drop("fault")
+
+
+def stack_channels(bands: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """Twelve values per pixel in the frozen order; a band that a scene lacks is zero-filled, one of another shape refused."""
+    bands = checked_grids(bands, target)
     cols = [F.coalesce(F.max(F.when(F.col("band") == b, F.col("value"))), F.lit(0.0)).alias(b) for b in CHANNELS]
     return bands.groupBy("scene", "row", "col").agg(*cols).select("scene", "row", "col", F.array(*CHANNELS).alias("channels"))
 
@@ -123,4 +141,4 @@ def preprocess(bands: DataFrame, src20: DataFrame, target: DataFrame, dropped: t
     usable = bands.filter(~F.col("band").isin(*dropped)) if dropped else bands
     low = F.col("band").isin(*V.S2_NATIVE_20M)
     full = usable.filter(~low).unionByName(resample(usable.filter(low), src20, target).select(*bands.columns))
-    return stack_channels(full), band_presence(bands, dropped)
+    return stack_channels(full, target), band_presence(bands, dropped)

@@ -47,17 +47,13 @@ def _terms(text: Column) -> Column:
     return F.concat(t, pairs)
 
 
-def term_weights(df: DataFrame, key: str, text: str, min_df: int = 2, max_terms: int = MAX_TERMS) -> DataFrame:
-    """Sublinear TF-IDF, L2-normalised per document, summarised per term.
-
-    The vocabulary is capped at ``max_terms`` by definition, which also bounds what is broadcast.
-    """
+def term_weights(df: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
+    """Sublinear TF-IDF over the whole vocabulary, L2-normalised per document, summarised per term."""
     n_docs = df.select(key).distinct().agg(F.count("*").alias("n_docs"))
     tf = df.select(key, F.explode(_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    vocab = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total")).filter(F.col("df") >= min_df).orderBy(
-        F.desc("total"), "term").limit(max_terms).select("term", "df")
+    vocab = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     w = (1 + F.log("n")) * (F.log((1 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1)
-    weighted = tf.join(F.broadcast(vocab), "term").join(F.broadcast(n_docs)).select(key, "term", "df", w.alias("w"))
+    weighted = tf.join(vocab, "term").join(F.broadcast(n_docs)).select(key, "term", "df", w.alias("w"))
     norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     scaled = weighted.join(norm, key).withColumn("x", F.col("w") / F.col("norm"))
     return scaled.groupBy("term").agg(F.first("df").alias("df"), F.round(F.sum("x"), 6).alias("weight_sum"), F.round(F.max("x"), 6).alias("weight_max"))

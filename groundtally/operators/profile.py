@@ -38,13 +38,20 @@ def top(df: DataFrame, keys: list[str], value: str, keep: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep).join(total, keys).withColumn("share", F.col("n") / F.col("rows"))
 
 
-def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows, nulls, cardinality and the extreme values of every column, by one grouping of (column, value)."""
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+def column_profile(df: DataFrame, columns: list[str], examples: int = 3) -> DataFrame:
+    """Rows, nulls, cardinality, extremes and the first ``examples`` values of every column, by one grouping of (column, value).
+
+    Doubles are told to six digits, so that their text doesn't depend on who prints it.
+    """
+    kinds = dict(df.dtypes)
+    shown = lambda c: F.col(c).cast("decimal(18,6)") if kinds[c] == "double" else F.col(c)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), shown(c).cast("string").alias("value")) for c in columns])
     per = df.select(F.explode(rows).alias("r")).groupBy("r.column", "r.value").agg(F.count("*").alias("n"))
     out = per.groupBy("column").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
                                     F.count("value").alias("cardinality"), F.min("value").alias("first_value"), F.max("value").alias("last_value"))
-    return out.withColumn("null_pct", 100.0 * F.col("nulls") / F.col("n_rows"))
+    first = per.filter("value is not null").withColumn("k", F.row_number().over(Window.partitionBy("column").orderBy("value"))).filter(F.col("k") <= examples)
+    shown_first = first.groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), " | ").alias("examples"))
+    return out.withColumn("null_pct", 100.0 * F.col("nulls") / F.col("n_rows")).join(shown_first, "column", "left")
 
 
 def length_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -21,7 +21,7 @@ from groundtally.operators import taxonomy
 from groundtally.session import cut_lineage
 
 BLOCK = 512
-ROW_SHIFT = 1 << 20  # a label is the first pixel of its region: row * 2^20 + column
+ROW_SHIFT = 1 << 32  # a label is the first pixel of its region: row * 2^32 + column, both of them ints
 
 RUN_KEYS = ["patch_id", "cls"]
 

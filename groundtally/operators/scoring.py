@@ -24,8 +24,8 @@ def score_tasks(scored: DataFrame, *keys: str) -> DataFrame:
                           "abstain_rate": ratio(F.col("n_abstained"), F.col("n"))})
 
 
-def top_reasons(scored: DataFrame, keep: int = 8, width: int = 60) -> DataFrame:
-    n = scored.filter("abstained").groupBy("task", F.substring("reason", 1, width).alias("reason")).agg(F.count("*").alias("n"))
+def top_reasons(scored: DataFrame, keep: int = 8) -> DataFrame:
+    n = scored.filter("abstained").groupBy("task", "reason").agg(F.count("*").alias("n"))
     w = Window.partitionBy("task").orderBy(F.desc("n"), "reason")
     return n.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
 
@@ -53,13 +53,13 @@ def bootstrap_ci(scored: DataFrame, resamples: int = 1000, seed: int = 1337, lev
     ranked = spread_rank(per, ["task"], "patch_id")
     sizes = per.groupBy("task").agg(F.count("*").alias("p"))
     # The draws depend on P only, so tasks with equal P share them.
-    slots = ranked.join(F.broadcast(sizes), "task").select("p", F.col("rank").alias("i")).distinct()
+    slots = ranked.join(sizes, "task").select("p", F.col("rank").alias("i")).distinct()
     draws = slots.select("p", "i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
     key = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))
     pick = (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % F.col("p")).alias("rank")
     times = draws.select("p", "b", pick).groupBy("p", "b", "rank").agg(F.count("*").alias("times"))
     acc = (
-        ranked.join(F.broadcast(sizes), "task").join(times, ["p", "rank"]).groupBy("task", "b")
+        ranked.join(sizes, "task").join(times, ["p", "rank"]).groupBy("task", "b")
         .agg((F.sum(F.col("hits") * F.col("times")) / F.sum(F.col("total") * F.col("times"))).alias("acc")))
     pos = acc.withColumn("k", F.row_number().over(Window.partitionBy("task").orderBy("acc")) - 1)  # `resamples` rows per task
     lo, hi = int((1 - level) / 2 * resamples), min(int((1 + level) / 2 * resamples), resamples - 1)
@@ -109,12 +109,15 @@ def mcnemar(pairs: DataFrame, *keys: str) -> DataFrame:
 
 
 def coverage_precision(parsed: DataFrame) -> DataFrame:
-    """(type, category, parsed, right) -> per task and pooled coverage, precision, end-to-end."""
+    """(type, category, parsed, right) -> coverage, precision and end-to-end per task, pooled, and as the mean over tasks."""
     g = parsed.rollup(F.struct("type", "category").alias("t")).agg(
         F.count("*").alias("n"), F.count_if("parsed").alias("n_parsed"), F.count_if("right").alias("n_right"))
-    return g.select(F.coalesce("t.type", F.lit("POOLED")).alias("type"), F.coalesce("t.category", F.lit("POOLED")).alias("category"), "n", "n_parsed", "n_right",
+    told = g.select(F.coalesce("t.type", F.lit("POOLED")).alias("type"), F.coalesce("t.category", F.lit("POOLED")).alias("category"), "n", "n_parsed", "n_right",
                     ratio(F.col("n_parsed"), F.col("n")).alias("coverage"), ratio(F.col("n_right"), F.col("n_parsed")).alias("precision"),
                     ratio(F.col("n_right"), F.col("n")).alias("end_to_end"))
+    counts, rates = ("n", "n_parsed", "n_right"), ("coverage", "precision", "end_to_end")
+    macro = told.filter("type <> 'POOLED'").agg(*[F.sum(c).alias(c) for c in counts], *[F.round(F.avg(c), 9).alias(c) for c in rates])
+    return told.unionByName(macro.filter("n is not null").select(F.lit("MACRO").alias("type"), F.lit("MACRO").alias("category"), *counts, *rates))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -164,7 +167,7 @@ def abstention_gap(scored: DataFrame, specs: DataFrame) -> DataFrame:
            .when(f == "stated_value", F.col("stated_value").isNotNull()).when(f == "comparator", F.col("comparator").isNotNull())
            .when(f == "options", F.size("options") > 0).otherwise(F.lit(False)))
     supplied = F.coalesce(F.col("_declined").isNull() & F.col("need.fixable") & has, F.lit(False))
-    return need.groupBy("task", F.substring("reason", 1, 52).alias("reason")).agg(
+    return need.groupBy("task", "reason").agg(
         F.count("*").alias("abstained"), F.count_if(supplied).alias("supplied"), F.count_if(~F.col("need.fixable")).alias("unfixable")).withColumn(
         "fix_rate", ratio(F.col("supplied"), F.col("abstained")))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +13,6 @@ from groundtally.operators.scoring import ratio
 from groundtally.session import cut_lineage
 
 STRATEGIES = ("country", "grid_1deg", "s2_tile")
-# Countries, one-degree cells (64,800) and Sentinel-2 tiles (about 57,000) all stay below this.
-MAX_BLOCKS = 100_000
 
 
 def block_key(strategy: str) -> Column:
@@ -30,68 +31,79 @@ def with_blocks(patches: DataFrame, strategy: str) -> DataFrame:
     return patches.withColumn("block", block_key(strategy))
 
 
-def _checked_list(packed: Column, k: int) -> Column:
-    """The block list, refused when there are fewer blocks than folds or more than a plan row may hold."""
-    few = F.size(packed) < k
-    return F.when(few, F.raise_error(F.lit("fewer blocks than folds")).cast("string")).when(
-        F.size(packed) > MAX_BLOCKS, F.raise_error(F.lit("too many blocks for one ordered pass")).cast("string")).otherwise(F.lit(""))
+def _in_turn(blocks: DataFrame, schema: str, k: int, place: Callable[[dict], int]) -> DataFrame:
+    """(block, fold): ``place`` sees one block after another, in the order of ``blocks``.
 
+    The pass is sequential by definition. It streams through the sorted block table in one task and keeps
+    nothing but what ``place`` does, so neither memory nor a plan row grows with the number of blocks.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = 0
+        for batch in batches:
+            folds = [place(row) for row in batch.to_dict("records")]
+            seen += len(folds)
+            yield pd.DataFrame({"block": batch["block"], "fold": folds})
+        if 0 < seen < k:
+            raise ValueError("fewer blocks than folds")
 
-def _unpack(row: DataFrame) -> DataFrame:
-    return row.select(F.explode(F.arrays_zip("blocks", "folds")).alias("z")).select(
-        F.col("z.blocks.block").alias("block"), F.col("z.folds").alias("fold"))
+    return blocks.mapInPandas(run, schema)
 
 
-def pack_folds(sizes: DataFrame, k: int = 5) -> DataFrame:
-    """(block, n) -> (block, fold): largest block first into the least-loaded fold, ties to the lowest fold.
+def _least_loaded(k: int) -> Callable[[dict], int]:
+    load = [0] * k
 
-    The pass is sequential by definition; it runs over the bounded block list only.
-    """
-    if k < 2:
-        raise ValueError("k must be at least 2")
-    blocks = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("block")))), lambda b: F.struct(b["block"].alias("block"), (-b["neg"]).alias("n")))
-    one = sizes.agg(blocks.alias("blocks"))
-    one = one.withColumn("_ok", _checked_list(F.col("blocks"), k)).filter(F.col("_ok") == "")
+    def place(row: dict) -> int:
+        at = load.index(min(load))
+        load[at] += row["n"]
+        return at
+
+    return place
 
-    def step(s, b):
-        at = F.array_position(s["load"], F.array_min(s["load"])).cast("int") - 1
-        load = F.transform(s["load"], lambda x, i: F.when(i == at, x + b["n"]).otherwise(x))
-        return F.struct(load.alias("load"), F.concat(s["folds"], F.array(at)).alias("folds"))
 
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("load"), F.expr("cast(array() as array<int>)").alias("folds"))
-    return _unpack(one.withColumn("folds", F.aggregate("blocks", start, step)["folds"]))
+def _most_gain(k: int, size_weight: float) -> Callable[[dict], int]:
+    load, covered = [0] * k, [set() for _ in range(k)]
+
+    def place(row: dict) -> int:
+        scores = []
+        for f in range(k):
+            gain = 0.0
+            for cls, w in zip(row["classes"], row["weights"]):  # in class order, so that ties fall the same way everywhere
+                gain += 0.0 if cls in covered[f] else w
+            scores.append(gain - size_weight * max((load[f] + row["n"] - row["mean"]) / row["mean"], 0.0))
+        at = scores.index(max(scores))
+        load[at] += row["n"]
+        covered[at].update(row["classes"])
+        return at
+
+    return place
+
+
+def pack_folds(sizes: DataFrame, k: int = 5) -> DataFrame:
+    """(block, n) -> (block, fold): largest block first into the least-loaded fold, ties to the lowest fold."""
+    if k < 2:
+        raise ValueError("k must be at least 2")
+    ordered = sizes.select("block", "n").repartition(1).sortWithinPartitions(F.desc("n"), "block")
+    return _in_turn(ordered, "block string, fold int", k, _least_loaded(k))
 
 
 def pack_folds_stratified(sizes: DataFrame, contents: DataFrame, k: int = 5, size_weight: float = 0.15) -> DataFrame:
     """(block, n), (block, cls) -> (block, fold): rarest contents first, to the fold that gains most new classes.
 
     A class weighs one over the number of blocks that hold it; imbalance above the mean costs ``size_weight``.
+    A block's row holds its classes, of which a nomenclature has a few dozen.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
     c = contents.select("block", "cls").distinct()
     weight = c.groupBy("cls").agg((1.0 / F.count("*")).alias("w"))
-    packed = c.join(F.broadcast(weight), "cls").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("cls", "w"))).alias("has"))  # 44 classes at most
+    packed = c.join(weight, "cls").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("cls", "w"))).alias("has"))
     total = F.aggregate("has", F.lit(0.0), lambda acc, x: acc + x["w"])
-    rows = sizes.join(packed, "block", "left").withColumn("has", F.coalesce("has", F.expr("cast(array() as array<struct<cls:int,w:double>>)")))
-    item = F.struct((-total).alias("rare"), (-F.col("n")).alias("neg"), F.col("block"), F.col("n"), F.col("has"))
-    one = rows.agg(F.array_sort(F.collect_list(item)).alias("blocks"), F.sum("n").alias("all_n"))
-    one = one.withColumn("mean", F.col("all_n") / k).withColumn("_ok", _checked_list(F.col("blocks"), k)).filter(F.col("_ok") == "")
-
-    def step(s, b):
-        def score(f):
-            gain = F.aggregate(b["has"], F.lit(0.0), lambda acc, x: acc + F.when(F.array_contains(F.get(s["covered"], f), x["cls"]), F.lit(0.0)).otherwise(x["w"]))
-            over = (F.get(s["load"], f) + b["n"] - F.col("mean")) / F.col("mean")
-            return gain - size_weight * F.greatest(over, F.lit(0.0))
-        scores = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), score)
-        at = F.array_position(scores, F.array_max(scores)).cast("int") - 1
-        load = F.transform(s["load"], lambda x, i: F.when(i == at, x + b["n"]).otherwise(x))
-        covered = F.transform(s["covered"], lambda x, i: F.when(i == at, F.array_union(x, F.transform(b["has"], lambda h: h["cls"]))).otherwise(x))
-        return F.struct(load.alias("load"), covered.alias("covered"), F.concat(s["folds"], F.array(at)).alias("folds"))
-
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("load"),
-                     F.array_repeat(F.expr("cast(array() as array<int>)"), k).alias("covered"), F.expr("cast(array() as array<int>)").alias("folds"))
-    return _unpack(one.withColumn("folds", F.aggregate("blocks", start, step)["folds"]))
+    mean = sizes.agg((F.sum("n") / k).alias("mean"))
+    rows = (sizes.join(packed, "block", "left").withColumn("has", F.coalesce("has", F.expr("cast(array() as array<struct<cls:int,w:double>>)")))
+            .withColumn("rare", total).join(F.broadcast(mean)))  # one row
+    ordered = (rows.select("block", "n", "mean", "rare", F.transform("has", lambda x: x["cls"]).alias("classes"), F.transform("has", lambda x: x["w"]).alias("weights"))
+               .repartition(1).sortWithinPartitions(F.desc("rare"), F.desc("n"), "block"))
+    return _in_turn(ordered, "block string, fold int", k, _most_gain(k, size_weight))
 
 
 def assign_folds(patches: DataFrame, strategy: str, k: int = 5, contents: DataFrame | None = None) -> DataFrame:
@@ -99,7 +111,7 @@ def assign_folds(patches: DataFrame, strategy: str, k: int = 5, contents: DataFr
     d = with_blocks(patches, strategy)
     sizes = d.groupBy("block").agg(F.count("*").alias("n"))
     folds = pack_folds(sizes, k) if contents is None else pack_folds_stratified(sizes, contents, k)
-    return d.join(F.broadcast(folds), "block")  # at most MAX_BLOCKS rows
+    return d.join(folds, "block")
 
 
 def random_folds(patches: DataFrame, k: int = 5, seed: int = 1337) -> DataFrame:

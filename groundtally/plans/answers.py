@@ -72,14 +72,14 @@ def with_task(spark, sf):
 def f12(spark, sf):
     d = with_task(spark, sf)
     best = A.majority_answers(d.filter(F.col("split") == "train"))
-    test = d.filter(F.col("split") == "validation").join(F.broadcast(best), "task", "left")  # one row per task
+    test = d.filter(F.col("split") == "validation").join(best, "task", "left")  # one row per task
     return test.groupBy("task", "majority", "n_top").agg(F.count("*").alias("n"), F.count_if(F.col("output") == F.col("majority")).alias("n_correct"))
 
 
 def f13(spark, sf):
     d = with_task(spark, sf)
     best = A.majority_answers(d.filter(F.col("split") == "train")).select("task", "majority")
-    test = d.filter(F.col("split") == "validation").join(F.broadcast(best), "task", "left")
+    test = d.filter(F.col("split") == "validation").join(best, "task", "left")
     said = F.when(F.col("type") == "mcq", F.lit("a")).otherwise(F.col("majority"))
     return test.withColumn("said", said).groupBy("task", "said").agg(F.count("*").alias("n"), F.count_if(F.col("output") == F.col("said")).alias("n_correct"))
 

@@ -56,7 +56,7 @@ def j3(spark, sf):
 
 
 def j5(spark, sf):
-    p = B.band_presence(line_bands(spark, sf).filter(F.col("l_partkey") > F.col("l_quantity") * 20), ("B04",))
+    p = B.band_presence(line_bands(spark, sf), ("B04",))
     return p.select("scene", F.array_join(F.transform("presence", lambda x: x.cast("int").cast("string")), "").alias("presence"), F.array_join("not_measured", ",").alias("not_measured"))
 
 
@@ -69,14 +69,19 @@ def j6(spark, sf):
 
 
 def j7(spark, sf):
-    s = B.stack_channels(line_bands(spark, sf).withColumn("value", F.col("l_quantity")))
-    return s.select("scene", "row", F.array_join(F.transform("channels", lambda x: x.cast("int").cast("string")), ",").alias("channels"))
+    s = B.stack_channels(pixel_bands(spark, sf))
+    return s.select("scene", "row", "col", F.array_join(F.transform("channels", lambda x: x.cast("int").cast("string")), ",").alias("channels"))
 
 
-def j8(spark, sf):
+def pixel_bands(spark, sf):
+    """Three bands that cover every scene's grid."""
     px = fx.pixels(spark, sf)
     fine = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), v.cast("double").alias("value")) for b, v in (("B02", F.col("code")), ("B08", F.col("row")), ("VV", F.col("col")))])).alias("b")
-    bands = px.select(F.col("patch_id").alias("scene"), "row", "col", fine).select("scene", "b.band", "row", "col", "b.value").unionByName(low_band(spark, sf))
+    return px.select(F.col("patch_id").alias("scene"), "row", "col", fine).select("scene", "b.band", "row", "col", "b.value")
+
+
+def j8(spark, sf):
+    bands = pixel_bands(spark, sf).unionByName(low_band(spark, sf))
     tensor, presence = B.preprocess(bands, *sizes(spark, sf), ("B08",))
     t = tensor.groupBy("scene").agg(F.count("*").alias("n_px"), *[F.round(F.sum(F.get("channels", F.lit(i))), 4).alias(f"sum_{b}") for i, b in enumerate(B.CHANNELS) if b in ("VV", "B02", "B05", "B08")])
     return t.join(presence.select("scene", F.array_join(F.transform("presence", lambda x: x.cast("int").cast("string")), "").alias("presence"), F.array_join("not_measured", ",").alias("not_measured")), "scene")
@@ -122,15 +127,15 @@ def _index(kind):
             f"(SELECT scene, row, MAX(value) FILTER (band = '{a}') AS a, MAX(value) FILTER (band = '{b}') AS b FROM lb WHERE band IN ('{a}', '{b}') GROUP BY ALL)")
 
 
-_STACK = " || ',' || ".join(f"CAST(COALESCE(MAX(l_quantity) FILTER (band = '{b}'), 0) AS INT)" for b in B.CHANNELS)
+_STACK = " || ',' || ".join({"B02": "code", "B08": "row", "VV": "col"}.get(b, "0") + "::VARCHAR" for b in B.CHANNELS)
 ORACLES = {
     "J1_linear_to_db": chain(LB) + f"SELECT band, COUNT(*) AS n, COUNT(*) FILTER (value <= 0) AS floored, ROUND(AVG({_DB.format(v='value')}), 6) AS mean_db FROM lb WHERE band IN ('VV', 'VH') GROUP BY band",
     "J2_resample": chain(TAX, PIXELS, SHAPES, LOW, RES) + "SELECT scene, 'B05' AS band, row, col, ROUND(value, 6) AS value FROM res",
     "J3_zscore": chain(LB, DIM, STATS) + f"SELECT band, COUNT(*) AS n, ROUND(AVG(z), 6) AS mean_z, ROUND(MIN(z), 6) AS min_z, ROUND(MAX(z), 6) AS max_z FROM (SELECT band, ({_V} - mean) / std AS z FROM lb JOIN st USING (band) WHERE NOT missing) GROUP BY band",
     "J4_norm_stats": chain(LB, DIM, STATS) + "SELECT * FROM st",
-    "J5_band_presence": chain(LB) + _presence("(SELECT * FROM lb WHERE l_partkey > l_quantity * 20)", "B04"),
+    "J5_band_presence": chain(LB) + _presence("lb", "B04"),
     "J6_spectral_index": chain(LB) + " UNION ALL ".join(_index(k) for k in V.SPECTRAL_INDICES),
-    "J7_stack_channels": chain(LB) + f"SELECT scene, row, {_STACK} AS channels FROM lb GROUP BY scene, row",
+    "J7_stack_channels": chain(TAX, PIXELS) + f"SELECT patch_id AS scene, row, col, {_STACK} AS channels FROM pixels",
     "J8_preprocess": chain(TAX, PIXELS, SHAPES, LOW, RES) +
         "SELECT p.patch_id AS scene, COUNT(*) AS n_px, ROUND(SUM(p.col)::DOUBLE, 4) AS \"sum_VV\", ROUND(SUM(p.code)::DOUBLE, 4) AS \"sum_B02\", ROUND(SUM(r.value), 4) AS \"sum_B05\", 0.0::DOUBLE AS \"sum_B08\", "
         "'1001000000' AS presence, 'B03,B04,B06,B07,B08,B8A,B11,B12' AS not_measured FROM pixels p JOIN res r ON r.scene = p.patch_id AND r.row = p.row AND r.col = p.col GROUP BY p.patch_id",

@@ -83,7 +83,7 @@ def c10(spark, sf):
 
 def c11(spark, sf):
     px = fx.pixels(spark, sf)
-    labels = fx.open_annotations(spark, sf).filter(F.col("category") == "count").select(
+    labels = fx.open_annotations(spark, sf).select(
         "patch_id", F.explode(questions.mentions(F.col("input"))).alias("label"))
     return X.mine_mapping(px, labels)
 
@@ -133,7 +133,7 @@ ORACLES = {
         "LEFT JOIN forms f ON f.form = REGEXP_REPLACE(REPLACE(REGEXP_REPLACE(TRIM(LOWER(a.form)), '\\.+$', ''), ',', ''), '\\s+', ' ', 'g')",
     "C10_class_inventory": chain(TAX, PIXELS) + "SELECT code, COUNT(*) AS n_px, COUNT(DISTINCT patch_id) AS n_patches, COUNT(*)::DOUBLE / (SELECT COUNT(*) FROM pixels) AS px_share, "
         "COUNT(DISTINCT patch_id)::DOUBLE / (SELECT COUNT(DISTINCT patch_id) FROM pixels) AS patch_share FROM pixels GROUP BY code",
-    "C11_mined_mapping": chain(TAX, PIXELS, FORMS, ANNOTATIONS, f"lb AS (SELECT DISTINCT patch_id, UNNEST({mentions_sql('input')}) AS label FROM ann WHERE category = 'count')",
+    "C11_mined_mapping": chain(TAX, PIXELS, FORMS, ANNOTATIONS, f"lb AS (SELECT DISTINCT patch_id, UNNEST({mentions_sql('input')}) AS label FROM ann)",
         "pc AS (SELECT DISTINCT patch_id, code FROM pixels)", "sup AS (SELECT code, COUNT(*) AS support FROM pc WHERE patch_id IN (SELECT patch_id FROM lb) GROUP BY code)") +
         "SELECT code, rank, label, n, support, n::DOUBLE / support AS confidence FROM (SELECT code, label, COUNT(*) AS n, CAST(ROW_NUMBER() OVER (PARTITION BY code ORDER BY COUNT(*) DESC, label) AS INT) AS rank "
         "FROM pc JOIN lb USING (patch_id) GROUP BY code, label) JOIN sup USING (code) WHERE rank <= 3",

@@ -12,7 +12,6 @@ from groundtally.plans.sqlviews import ANNOTATIONS, chain, first_hit, q
 from groundtally.sources import fixture as fx
 
 COLUMNS = ["id", "s1_name", "patch_id", "input", "output", "type", "category", "split", "latitude", "longitude", "country", "season", "climate_zone"]
-TEXT_COLUMNS = [c for c in COLUMNS if c not in ("latitude", "longitude")]
 
 
 def on(fn, *args):
@@ -25,7 +24,7 @@ def i6(spark, sf):
 
 
 QUERIES = {
-    "I1_column_profile": on(P.column_profile, TEXT_COLUMNS), "I2_length_quantiles": on(P.length_quantiles, ["input", "output"]),
+    "I1_column_profile": on(P.column_profile, COLUMNS), "I2_length_quantiles": on(P.length_quantiles, ["input", "output"]),
     "I3_templates": on(P.templates), "I4_answer_vocabulary": on(P.answer_vocabulary), "I5_vocabulary": on(P.vocabulary), "I6_vocabulary_overlap": i6,
     "I7_term_hits": on(P.term_hits), "I8_unit_hits": on(P.unit_hits), "I9_numeric_mentions": on(P.numeric_mentions),
     "I10_granularity": lambda s, d: P.granularity(P.numeric_mentions(fx.open_annotations(s, d))),
@@ -37,6 +36,10 @@ QUERIES = {
     "I24_inclusivity": on(P.inclusivity), "I25_clean_attribution": on(P.attribution), "I26_surface_forms": on(P.surface_forms),
 }
 
+def _shown(column):
+    return f"CAST({column} AS DECIMAL(18, 6))::VARCHAR" if column in ("latitude", "longitude") else f"{column}::VARCHAR"
+
+
 A = chain(ANNOTATIONS)
 _SKEL = "REGEXP_REPLACE(input, '\\d[\\d,\\.]*', '<N>', 'g')"
 _SEG = "CASE WHEN CONTAINS(input, '?') THEN SUBSTR(input, LENGTH(SPLIT_PART(input, '?', 1)) + 2) ELSE input END"
@@ -74,8 +77,8 @@ def _union(rows):
 
 ORACLES = {
     "I1_column_profile": A + _union(
-        f"SELECT '{c}' AS \"column\", COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS nulls, COUNT(DISTINCT {c}) AS cardinality, MIN({c}::VARCHAR) AS first_value, MAX({c}::VARCHAR) AS last_value, "
-        f"100.0::DOUBLE * (COUNT(*) - COUNT({c})) / COUNT(*) AS null_pct FROM ann" for c in TEXT_COLUMNS),
+        f"SELECT '{c}' AS \"column\", COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS nulls, COUNT(DISTINCT {_shown(c)}) AS cardinality, MIN({_shown(c)}) AS first_value, MAX({_shown(c)}) AS last_value, "
+        f"100.0::DOUBLE * (COUNT(*) - COUNT({c})) / COUNT(*) AS null_pct, (SELECT STRING_AGG(v, ' | ' ORDER BY v) FROM (SELECT DISTINCT {_shown(c)} AS v FROM ann WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)) AS examples FROM ann" for c in COLUMNS),
     "I2_length_quantiles": A + _union(f"SELECT '{c}' AS \"column\", MIN(LENGTH({c})) AS min, QUANTILE_CONT(LENGTH({c}), 0.5) AS p50, QUANTILE_CONT(LENGTH({c}), 0.95) AS p95, MAX(LENGTH({c})) AS max FROM ann" for c in ("input", "output")),
     "I3_templates": A + _top(f"SELECT type || '|' || category AS task, {_SKEL} AS skeleton, COUNT(*) AS n FROM ann GROUP BY ALL", "skeleton", 8, "*"),
     "I4_answer_vocabulary": A + _top(_ANS, "answer", 25, "*"),

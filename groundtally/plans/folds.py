@@ -13,15 +13,10 @@ from groundtally.sources import fixture as fx
 K = 5
 
 
-SHARE_PCT = 3
-
-
 def contents(spark, sf):
-    """Class codes that cover at least 3% of a tile; the pixels of patch n lie in tile T(10+n)."""
-    per = fx.pixels(spark, sf).groupBy("patch_id", "code").agg(F.count("*").alias("n"))
-    total = per.groupBy("patch_id").agg(F.sum("n").alias("total"))
-    kept = per.join(total, "patch_id").filter((F.col("n") * 100 >= F.col("total") * SHARE_PCT) & (F.col("code") != V.UNCLASSIFIED_CODE))
-    return kept.select(F.concat(F.lit("T"), (10 + F.col("patch_id")).cast("string"), F.lit("ABC")).alias("block"), F.col("code").alias("cls"))
+    """Every class code that occurs in a tile; the pixels of patch n lie in tile T(10+n)."""
+    met = fx.pixels(spark, sf).filter(F.col("code") != V.UNCLASSIFIED_CODE).select("patch_id", "code").distinct()
+    return met.select(F.concat(F.lit("T"), (10 + F.col("patch_id")).cast("string"), F.lit("ABC")).alias("block"), F.col("code").alias("cls"))
 
 
 def by(spark, sf, strategy="s2_tile", stratified=False):
@@ -118,8 +113,7 @@ def greedy(name, strategy):
     ]
 
 
-CONTENTS = ("cont AS MATERIALIZED (SELECT 'T' || (10 + patch_id) || 'ABC' AS block, code AS cls FROM (SELECT patch_id, code, COUNT(*) AS n, SUM(COUNT(*)) OVER (PARTITION BY patch_id) AS total "
-            f"FROM pixels GROUP BY patch_id, code) WHERE code <> 999 AND n * 100 >= total * {SHARE_PCT})")
+CONTENTS = "cont AS MATERIALIZED (SELECT DISTINCT 'T' || (10 + patch_id) || 'ABC' AS block, code AS cls FROM pixels WHERE code <> 999)"
 STRAT = [
     TAX, PIXELS, PATCHES, CONTENTS,
     "wt AS (SELECT cls, 1.0::DOUBLE / COUNT(*) AS w FROM cont GROUP BY cls)",

@@ -116,8 +116,7 @@ def e18(spark, sf):
 
 
 def e19(spark, sf):
-    d = fx.table(spark, sf, "documents").join(fx.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    return classify.term_weights(d, "doc_id", "text")
+    return classify.term_weights(fx.table(spark, sf, "documents"), "doc_id", "text")
 
 
 QUERIES = {
@@ -154,10 +153,9 @@ ORACLES = {
         "(SELECT id, UNNEST(letters) AS letter, UNNEST(texts) AS text FROM tspec WHERE category = 'relative pos'))",
     "E17_template_family": A + f"SELECT id, REGEXP_MATCHES(SPLIT_PART(input, '?', 1), {q(V.SUBJECT_SECOND)}) AS subject_second, "
         f"{first_hit('h', V.TEMPLATE_FAMILIES, q(V.DEFAULT_FAMILY))} AS family FROM (SELECT *, SPLIT_PART(input, '?', 1) AS h FROM ann)",
-    "E19_tfidf": f"WITH d AS (SELECT doc_id, {_TOK} AS t FROM documents SEMI JOIN labels USING (doc_id)), "
+    "E19_tfidf": f"WITH d AS (SELECT doc_id, {_TOK} AS t FROM documents), "
         "g AS (SELECT doc_id, UNNEST(t) AS term FROM d UNION ALL SELECT doc_id, UNNEST(LIST_TRANSFORM(RANGE(1, LEN(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM d), "
-        "tf AS (SELECT doc_id, term, COUNT(*) AS n FROM g GROUP BY ALL), df AS (SELECT term, COUNT(*) AS df, SUM(n) AS total FROM tf GROUP BY term HAVING COUNT(*) >= 2 "
-        "ORDER BY SUM(n) DESC, term LIMIT 200000), "
+        "tf AS (SELECT doc_id, term, COUNT(*) AS n FROM g GROUP BY ALL), df AS (SELECT term, COUNT(*) AS df, SUM(n) AS total FROM tf GROUP BY term HAVING COUNT(*) >= 2), "
         "w AS (SELECT doc_id, term, df, (1 + LN(n)) * (LN((1 + (SELECT COUNT(*) FROM d)) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN df USING (term)), "
         "z AS (SELECT *, w / SQRT(SUM(w * w) OVER (PARTITION BY doc_id)) AS x FROM w) "
         "SELECT term, ANY_VALUE(df) AS df, ROUND(SUM(x), 6) AS weight_sum, ROUND(MAX(x), 6) AS weight_max FROM z GROUP BY term",

@@ -138,7 +138,11 @@ def d17(spark, sf):
 
 
 def d18(spark, sf):
-    return position.class_sets(fx.pixels(spark, sf), F.col("patch_id"))
+    """Class sets per patch, per tile (five patches each here) and per fold."""
+    px, p = fx.pixels(spark, sf), F.col("patch_id")
+    levels = {"patch": p, "tile": F.floor(p / 5).cast("int"), "fold": p % 5}
+    out = [position.class_sets(px, key).withColumn("level", F.lit(level)) for level, key in levels.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def scene_meta(spark, sf):
@@ -168,7 +172,7 @@ def _d3_sql():
     sel = []
     for k in (4, 8):
         parts += [links(f"e{k}", "run", int(k == 8)), labelling(f"cc{k}", "run", f"e{k}")]
-        sel.append(f"SELECT {k} AS connectivity, patch_id, cls, lab % 10000000000 AS label, c1 - c0 + 1 AS n FROM run JOIN cc{k} USING (id)")
+        sel.append(f"SELECT {k} AS connectivity, patch_id, cls, lab % 1000000000000000 AS label, c1 - c0 + 1 AS n FROM run JOIN cc{k} USING (id)")
     return chain(*BASE, *parts) + (
         "SELECT connectivity, patch_id, cls, label, CAST(SUM(n) AS BIGINT) AS area_px, COUNT(*) AS n_runs FROM ("
         + " UNION ALL ".join(sel) + ") GROUP BY ALL")
@@ -251,6 +255,7 @@ ORACLES = {
         "coverage_pct >= lo AND coverage_pct <= hi AS inclusive_both, (coverage_pct > lo AND coverage_pct <= hi) OR (lo <= 0 AND coverage_pct = 0) "
         f"AS exclusive_lower_inclusive_upper FROM (SELECT patch_id, cls, coverage_pct, {_DEC} AS decile, {_DEC} * 10.0::DOUBLE AS lo, {_DEC} * 10.0::DOUBLE + 10 AS hi FROM fact)",
     "D18_class_sets": chain(TAX, PIXELS) +
-        "SELECT patch_id AS grp, COUNT(DISTINCT code) AS n_codes, STRING_AGG(DISTINCT code::VARCHAR, ',' ORDER BY code::VARCHAR) AS codes FROM pixels GROUP BY patch_id",
+        " UNION ALL ".join(f"SELECT {key} AS grp, COUNT(DISTINCT code) AS n_codes, STRING_AGG(DISTINCT code::VARCHAR, ',' ORDER BY code::VARCHAR) AS codes, '{level}' AS level FROM pixels GROUP BY 1"
+                          for level, key in (("patch", "patch_id"), ("tile", "CAST(patch_id // 5 AS INT)"), ("fold", "patch_id % 5"))),
     "D19_caption": chain(*REG, fact_cte(), C19, NAMED, ANNOTATIONS, META) + CAPTION_SQL,
 }

@@ -13,7 +13,7 @@ def offsets(radius: int) -> str:
 
 def islands(name: str, cells: str) -> str:
     return (f"{name} AS MATERIALIZED (SELECT patch_id, cls, row, MIN(col) AS c0, MAX(col) AS c1, "
-            f"patch_id::BIGINT * 1000000000000 + cls * 10000000000 + row * {1 << 20} + MIN(col) AS id "
+            f"patch_id::BIGINT * 100000000000000000 + cls * 1000000000000000::BIGINT + row * {1 << 32} + MIN(col) AS id "
             f"FROM (SELECT *, col - ROW_NUMBER() OVER (PARTITION BY patch_id, cls, row ORDER BY col) AS g "
             f"FROM {cells}) GROUP BY patch_id, cls, row, g)")
 
@@ -60,7 +60,7 @@ def region_ctes(connectivity: int = 4, fill: bool = True, opening: int = 0, pref
     out.append(islands(f"{p}run", f"{p}mask"))
     out.append(links(f"{p}edge", f"{p}run", 1 if connectivity == 8 else 0))
     out.append(labelling(f"{p}cc", f"{p}run", f"{p}edge"))
-    out.append(f"{p}lrun AS MATERIALIZED (SELECT r.*, c.lab % 10000000000 AS label FROM {p}run r JOIN {p}cc c ON c.id = r.id)")
+    out.append(f"{p}lrun AS MATERIALIZED (SELECT r.*, c.lab % 1000000000000000 AS label FROM {p}run r JOIN {p}cc c ON c.id = r.id)")
     out.append(
         f"{p}reg AS MATERIALIZED (SELECT patch_id, cls, label, CAST(SUM(c1 - c0 + 1) AS BIGINT) AS area_px, MIN(row) AS r0, "
         f"MIN(c0) AS c0, MAX(row) + 1 AS r1, MAX(c1) + 1 AS c1, CAST(SUM(row * (c1 - c0 + 1)) AS BIGINT) AS sum_row, "
@@ -75,8 +75,8 @@ def fact_cte(prefix: str = "") -> str:
         f"SUM(area_px) * 100.0::DOUBLE AS area_m2, SUM(area_px)::DOUBLE / ANY_VALUE(s.h * s.w) AS coverage, "
         f"100.0::DOUBLE * SUM(area_px) / ANY_VALUE(s.h * s.w) AS coverage_pct, "
         f"SUM(sum_row)::DOUBLE / SUM(area_px) AS mask_row, SUM(sum_col2)::DOUBLE / (2 * SUM(area_px)) AS mask_col, "
-        f"ARG_MAX(sum_row::DOUBLE / area_px, area_px * 1000000000 - label) AS big_row, "
-        f"ARG_MAX(sum_col2::DOUBLE / (2 * area_px), area_px * 1000000000 - label) AS big_col, "
+        f"ARG_MAX(sum_row::DOUBLE / area_px, area_px * 100000000000000 - label) AS big_row, "
+        f"ARG_MAX(sum_col2::DOUBLE / (2 * area_px), area_px * 100000000000000 - label) AS big_col, "
         f"(MIN(r0) + MAX(r1)) / 2.0::DOUBLE AS box_row, (MIN(c0) + MAX(c1)) / 2.0::DOUBLE AS box_col, "
         f"ANY_VALUE(s.h) AS h, ANY_VALUE(s.w) AS w "
         f"FROM {p}reg r JOIN shapes s ON s.patch_id = r.patch_id WHERE area_px >= {V.MIN_MAPPING_UNIT_PX} GROUP BY r.patch_id, r.cls)")

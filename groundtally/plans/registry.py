@@ -9,12 +9,7 @@ FAMILIES = ("scans", "quality", "classes", "regions", "questions", "answers", "s
 
 
 def _modules():
-    for name in FAMILIES:
-        try:
-            yield importlib.import_module(f"groundtally.plans.{name}")
-        except ModuleNotFoundError as exc:
-            if exc.name != f"groundtally.plans.{name}":
-                raise
+    return [importlib.import_module(f"groundtally.plans.{name}") for name in FAMILIES]
 
 
 def queries():

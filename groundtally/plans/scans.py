@@ -82,14 +82,23 @@ def a10(spark, sf):
     return T.pending_ingest(incoming, p.filter(F.col("country") == "BUILDING"))
 
 
+SHARDS = 16
+
+
 def a11(spark, sf):
-    pages = fx.table(spark, sf, "pages")
-    name = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html"))
-    contents = pages.filter(~F.col("url").contains("7")).select(name.alias("name"), F.encode("html", "UTF-8").alias("content"))
-    manifest = pages.filter(~F.col("url").contains("8")).select(
-        name.alias("name"), (F.octet_length("html") + F.when(F.col("page_id") % 7 == 0, 1).otherwise(0)).cast("long").alias("size"),
-        F.when(F.col("page_id") % 11 == 0, F.md5(F.col("url"))).otherwise(F.md5("html")).alias("digest"))
-    return T.verify_contents(contents, manifest)
+    """Pages go to one text file per shard; the files are read back and held against a manifest with planted faults."""
+    pages = fx.table(spark, sf, "pages").select((F.col("page_id") % SHARDS).cast("int").alias("shard"), "page_id", F.coalesce("html", F.lit("")).alias("html"))
+    path = scratch(spark, "pages")
+    pages.repartition(SHARDS, "shard").sortWithinPartitions("shard", "page_id").select("shard", "html").write.partitionBy("shard").text(path)
+    contents = T.file_contents(spark, path)
+    line = F.concat("html", F.lit("\n"))
+    per = pages.groupBy("shard").agg(F.sum(F.octet_length(line)).cast("long").alias("size"),
+                                     F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", line.alias("t")))), lambda x: x["t"]), "")).alias("digest"))
+    named = per.withColumn("name", F.concat(F.lit("shard="), F.col("shard").cast("string")))
+    faulty = named.select("name", F.when(F.col("shard") == 2, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+                          F.when(F.col("shard") == 3, F.md5("name")).otherwise(F.col("digest")).alias("digest"), "shard").filter(F.col("shard") != 5)
+    lost = faulty.filter(F.col("shard") == 0).select(F.lit("shard=lost").alias("name"), "size", "digest")
+    return T.verify_contents(contents, faulty.drop("shard").unionByName(lost))
 
 
 def tile_folds(spark, sf):
@@ -98,7 +107,9 @@ def tile_folds(spark, sf):
 
 
 def a12(spark, sf):
-    whole = T.manifest_summary(tile_folds(spark, sf), "s2_tile", 5, 1337)
+    path = scratch(spark, "manifest")
+    T.write_manifest(tile_folds(spark, sf), path)
+    whole = T.manifest_summary(T.read_manifest(spark, path), "s2_tile", 5, 1337)
     cut = whole.select(F.substring("summary", 1, 25).alias("summary"))
     return T.read_manifest_summary(whole.unionByName(cut))
 
@@ -118,18 +129,14 @@ def a13(spark, sf):
 
 
 def a14(spark, sf):
-    return T.sample_hash(fx.patches(spark, sf), "tile", "patch_id")
-
-
-def a14_tree(spark, sf):
-    return T.sample_tree_hash(fx.patches(spark, sf), "country", "patch_id")
+    return T.sample_hash(fx.patches(spark, sf), "country", "patch_id")
 
 
 QUERIES = {
     "A1_annotation_scan": a1, "A2_sealed_guard": a2, "A3_leak_assertion": a3, "A4_full_load": a4,
     "A5_quarantine_audit": a5, "A6_quota_harvest": a6, "A7_fold_quota_harvest": a7, "A8_class_map_source": a8,
     "A9_dense_long": a9, "A10_resumable_ingest": a10, "A11_integrity_check": a11, "A12_split_manifest": a12,
-    "A13_input_fingerprint": a13, "A14_sample_hash": a14, "A14_sample_tree_hash": a14_tree,
+    "A13_input_fingerprint": a13, "A14_sample_hash": a14,
 }
 
 
@@ -158,9 +165,8 @@ ORACLES = {
     "A10_resumable_ingest": chain(PATCHES) + "SELECT patch_id, CASE WHEN country <> 'MACHINERY' THEN tile END AS tile, CASE WHEN country = 'MACHINERY' THEN 'no_tile' "
         "WHEN country = 'BUILDING' THEN 'stored' ELSE 'new' END AS status FROM (SELECT CASE WHEN country = 'MACHINERY' THEN 'X_' || patch_id || '_x' "
         "ELSE patch_id END AS patch_id, tile, country FROM patches)",
-    "A11_integrity_check": "SELECT 'page-' || page_id || '.html' AS name, CASE WHEN url LIKE '%7%' THEN 'missing' WHEN url LIKE '%8%' THEN 'unlisted' "
-        "WHEN page_id % 7 = 0 THEN 'size_mismatch' WHEN page_id % 11 = 0 THEN 'digest_mismatch' ELSE 'ok' END AS status FROM pages "
-        "WHERE NOT (url LIKE '%7%' AND url LIKE '%8%')",
+    "A11_integrity_check": f"SELECT 'shard=' || s AS name, CASE s WHEN 2 THEN 'size_mismatch' WHEN 3 THEN 'digest_mismatch' WHEN 5 THEN 'unlisted' ELSE 'ok' END AS status FROM "
+        f"(SELECT DISTINCT page_id % {SHARDS} AS s FROM pages) UNION ALL SELECT 'shard=lost', 'missing'",
     "A12_split_manifest": chain(PATCHES, "f AS (SELECT patch_id, tile, CAST(SUBSTR(tile, 2, 2) AS INT) % 5 AS fold FROM patches)") +
         "SELECT 's2_tile' AS strategy, 5 AS k, 1337 AS seed, (SELECT COUNT(DISTINCT tile) FROM f) AS block_count, COUNT(*) AS n_patches, "
         "(SELECT STRING_AGG(n::VARCHAR, ',' ORDER BY fold) FROM (SELECT fold, COUNT(*) AS n FROM f GROUP BY fold)) AS fold_sizes, '' AS error FROM f "
@@ -168,7 +174,7 @@ ORACLES = {
     "A13_input_fingerprint": " UNION ALL ".join(
         f"SELECT '{n}' AS source, (SELECT COUNT(*) FROM {n}) AS n_rows, {_fp(n, c)} AS digest_sum, "
         f"{_fp(n, c)} <> {_fp(n, c[:2] if n == 'part' else c)} AS stale" for n, c in TRACKED.items()),
-    "A14_sample_hash": chain(PATCHES) + "SELECT tile, COUNT(*) AS n_samples, SHA256(STRING_AGG(patch_id, '' ORDER BY patch_id)) AS hash FROM patches GROUP BY tile",
-    "A14_sample_tree_hash": chain(PATCHES) + "SELECT country, SHA256(STRING_AGG(h, '' ORDER BY p)) AS hash, CAST(SUM(n) AS BIGINT) AS n_samples FROM ("
-        "SELECT country, SUBSTR(MD5(patch_id), 1, 2) AS p, SHA256(STRING_AGG(patch_id, '' ORDER BY patch_id)) AS h, COUNT(*) AS n FROM patches GROUP BY ALL) GROUP BY country",
+    "A14_sample_hash": chain(PATCHES, "b0 AS (SELECT country, SUBSTR(MD5(patch_id), 1, 4) AS p, SHA256(STRING_AGG(patch_id, '' ORDER BY patch_id)) AS h, COUNT(*) AS n FROM patches GROUP BY ALL)",
+        "b1 AS (SELECT country, SUBSTR(p, 1, 2) AS q, SHA256(STRING_AGG(h, '' ORDER BY p)) AS h, SUM(n) AS n FROM b0 GROUP BY ALL)") +
+        "SELECT country, SHA256(STRING_AGG(h, '' ORDER BY q)) AS hash, CAST(SUM(n) AS BIGINT) AS n_samples FROM b1 GROUP BY country",
 }

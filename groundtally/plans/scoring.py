@@ -104,14 +104,16 @@ def g22(spark, sf):
 
 
 def g23(spark, sf):
-    d = S.coverage_precision(read(spark, sf))
+    d = S.coverage_precision(read(spark, sf)).filter("type <> 'MACRO'")
     return d.select("type", "category", S.coverage_verdict(F.col("coverage")).alias("coverage_verdict"), S.bleu_verdict(100 * F.col("precision")).alias("band"))
 
 
 def g24(spark, sf):
-    li = fx.table(spark, sf, "lineitem").select(F.concat_ws("|", "l_returnflag", "l_linenumber").alias("task"), "l_discount", "l_linenumber", "l_returnflag")
-    before = li.filter(F.col("l_linenumber") > 1).groupBy("task").agg((F.count_if(F.col("l_discount") < 0.05) / F.count("*")).alias("value"))
-    after = li.filter(F.col("l_linenumber") < 7).groupBy("task").agg(
+    li = fx.table(spark, sf, "lineitem").select("l_discount", "l_linenumber", "l_returnflag")
+    task = lambda number: F.concat_ws("|", "l_returnflag", number.cast("string")).alias("task")
+    # the tasks of the second run are numbered one higher, so each run has one that the other lacks
+    before = li.groupBy(task(F.col("l_linenumber"))).agg((F.count_if(F.col("l_discount") < 0.05) / F.count("*")).alias("value"))
+    after = li.groupBy(task(F.col("l_linenumber") + 1)).agg(
         (F.count_if(F.col("l_discount") < F.when(F.col("l_returnflag") == "A", 0.07).otherwise(0.05)) / F.count("*")).alias("value"))
     return S.metric_delta(before, after)
 
@@ -148,8 +150,8 @@ def _grams(col, name):
 
 ORACLES = {
     "G1_task_score": chain(SCORED) + f"SELECT task, {SCORE} FROM scored GROUP BY task",
-    "G2_top_reasons": chain(SCORED) + "SELECT task, reason, n, rank FROM (SELECT task, LEFT(reason, 60) AS reason, COUNT(*) AS n, CAST(ROW_NUMBER() OVER (PARTITION BY task ORDER BY COUNT(*) DESC, LEFT(reason, 60)) AS INT) AS rank "
-        "FROM scored WHERE abstained GROUP BY task, LEFT(reason, 60)) WHERE rank <= 4",
+    "G2_top_reasons": chain(SCORED) + "SELECT task, reason, n, rank FROM (SELECT task, reason, COUNT(*) AS n, CAST(ROW_NUMBER() OVER (PARTITION BY task ORDER BY COUNT(*) DESC, reason) AS INT) AS rank "
+        "FROM scored WHERE abstained GROUP BY task, reason) WHERE rank <= 4",
     "G3_bootstrap_ci": chain(SCORED, "per AS (SELECT task, patch_id, COUNT(*) AS total, COUNT(*) FILTER (correct) AS hits FROM scored GROUP BY ALL)",
         "rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY task ORDER BY SUBSTR(MD5(patch_id::VARCHAR), 1, 2), patch_id) - 1 AS rank, COUNT(*) OVER (PARTITION BY task) AS p FROM per)",
         "sl AS (SELECT DISTINCT p, rank AS i FROM rk)", "dr AS (SELECT p, b, ('0x' || SUBSTR(MD5('1337:' || b || ':' || i), 1, 8))::BIGINT % p AS rank FROM sl, RANGE(1000) t(b))",
@@ -165,7 +167,7 @@ ORACLES = {
     "G12_mcnemar": "WITH d AS (SELECT l_suppkey, COUNT(*) FILTER (l_discount < 0.05 AND NOT l_tax < 0.04) AS b, COUNT(*) FILTER (NOT l_discount < 0.05 AND l_tax < 0.04) AS c FROM lineitem GROUP BY l_suppkey), "
         "e AS (SELECT *, ROUND(CASE WHEN b + c = 0 THEN 1 ELSE LEAST(1.0, 2 * LIST_SUM(LIST_TRANSFORM(RANGE(0, LEAST(b, c) + 1), lambda i: EXP(LGAMMA(b + c + 1) - LGAMMA(i + 1) - LGAMMA(b + c - i + 1) - (b + c) * LN(2))))) END, 9) AS p_value FROM d) "
         "SELECT l_suppkey, b, c, p_value, p_value < 0.05 AS separable FROM e",
-    "G15_coverage_precision": chain(ANNOTATIONS, *SPEC, READ, COVER) + "SELECT * FROM cover",
+    "G15_coverage_precision": chain(ANNOTATIONS, *SPEC, READ, COVER) + "SELECT * FROM cover UNION ALL SELECT 'MACRO', 'MACRO', CAST(SUM(n) AS BIGINT), CAST(SUM(n_parsed) AS BIGINT), CAST(SUM(n_right) AS BIGINT), ROUND(AVG(coverage), 9), ROUND(AVG(precision), 9), ROUND(AVG(end_to_end), 9) FROM cover WHERE type <> 'POOLED'",
     "G16_confusion": RD + "SELECT truth, intent, COUNT(*) AS n FROM rd WHERE parsed AND truth <> intent GROUP BY ALL",
     "G17_label_f1": chain(ANNOTATIONS, *SPEC, READ, F1) + "SELECT label, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, f1 FROM f1",
     "G17_macro_f1": chain(ANNOTATIONS, *SPEC, READ, F1) + "SELECT ROUND(AVG(f1), 9) AS macro_f1, COUNT(*) AS n_labels FROM f1",
@@ -174,7 +176,7 @@ ORACLES = {
     "G19_examples": chain(ANNOTATIONS, *SPEC) + "SELECT reason, rank, id, example FROM (SELECT s.reason, s.id, LEFT(a.input, 160) AS example, CAST(ROW_NUMBER() OVER (PARTITION BY s.reason ORDER BY s.id) AS INT) AS rank "
         "FROM spec s JOIN ann a USING (id) WHERE s.reason IS NOT NULL) WHERE rank <= 3",
     "G20_abstention_gap": chain(*BASE, *SPEC, f"nd AS (SELECT *, {_NEED} AS need FROM sa WHERE abstained)",
-        f"sp AS (SELECT n.task, LEFT(n.reason, 52) AS reason, need IS NOT NULL AS fixable, COALESCE(s.reason IS NULL AND need IS NOT NULL AND {_HAS}, FALSE) AS supplied FROM nd n LEFT JOIN "
+        f"sp AS (SELECT n.task, n.reason AS reason, need IS NOT NULL AS fixable, COALESCE(s.reason IS NULL AND need IS NOT NULL AND {_HAS}, FALSE) AS supplied FROM nd n LEFT JOIN "
         "(SELECT id, class_a, class_b, comparator, stated_unit, options, reason FROM spec) s USING (id))") +
         "SELECT task, reason, COUNT(*) AS abstained, COUNT(*) FILTER (supplied) AS supplied, COUNT(*) FILTER (NOT fixable) AS unfixable, COUNT(*) FILTER (supplied)::DOUBLE / COUNT(*) AS fix_rate FROM sp GROUP BY ALL",
     "G21_corpus_bleu": chain(EX, _grams("h", "gh"), _grams("r", "gr"),
@@ -191,7 +193,7 @@ ORACLES = {
         "SELECT turn, COUNT(*) AS n, CAST(SUM(lcs) AS BIGINT) AS lcs_total, ROUND(100 * AVG(CASE WHEN lcs = 0 THEN 0 ELSE 2 * (lcs::DOUBLE / m) * (lcs::DOUBLE / n) / (lcs::DOUBLE / m + lcs::DOUBLE / n) END), 6) AS rouge_l FROM lc GROUP BY turn",
     "G23_verdicts": chain(ANNOTATIONS, *SPEC, READ, COVER) + "SELECT type, category, CASE WHEN coverage < 0.5 THEN 'below floor' ELSE 'ok' END AS coverage_verdict, "
         "CASE WHEN 100 * precision >= 35 THEN 'templates suffice' WHEN 100 * precision >= 10 THEN 'rewrite style' ELSE 'drop symbolic captions' END AS band FROM cover",
-    "G24_metric_delta": "WITH l AS (SELECT l_returnflag || '|' || l_linenumber AS task, * FROM lineitem), b AS (SELECT task, COUNT(*) FILTER (l_discount < 0.05)::DOUBLE / COUNT(*) AS v FROM l WHERE l_linenumber > 1 GROUP BY task), "
-        "a AS (SELECT task, COUNT(*) FILTER (l_discount < CASE WHEN l_returnflag = 'A' THEN 0.07 ELSE 0.05 END)::DOUBLE / COUNT(*) AS v FROM l WHERE l_linenumber < 7 GROUP BY task) "
+    "G24_metric_delta": "WITH b AS (SELECT l_returnflag || '|' || l_linenumber AS task, COUNT(*) FILTER (l_discount < 0.05)::DOUBLE / COUNT(*) AS v FROM lineitem GROUP BY 1), "
+        "a AS (SELECT l_returnflag || '|' || (l_linenumber + 1) AS task, COUNT(*) FILTER (l_discount < CASE WHEN l_returnflag = 'A' THEN 0.07 ELSE 0.05 END)::DOUBLE / COUNT(*) AS v FROM lineitem GROUP BY 1) "
         "SELECT COALESCE(a.task, b.task) AS task, b.v AS before, a.v AS after, a.v - b.v AS delta, a.v IS DISTINCT FROM b.v AS moved FROM b FULL JOIN a ON a.task = b.task",
 }

@@ -17,12 +17,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistributes a scan that arrives in fewer pieces than there are cores (one small file, say).
-
-    A large input already has more pieces than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    """Deals a narrow scan out by key before it is multiplied; adaptive execution sizes the partitions."""
+    return df.repartition(*keys)
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,8 +29,7 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     col = (F.col("p_partkey") % 40).cast("int")
     cell = (
         part.select(row.alias("row"), col.alias("col"), "p_partkey", "p_size")
-        .withColumn("patch_id", F.explode(F.sequence(F.lit(0), F.lit(24))))
-        .join(F.broadcast(nation), "patch_id")
+        .join(F.broadcast(nation))  # every nation has its copy of the grid
     )
     idx = F.when(F.col("p_partkey") % 97 == 0, F.lit(V.UNCLASSIFIED_ID)).otherwise(
         ((F.floor(F.col("row") / 5) * 3 + F.floor(F.col("col") / 8) * 5 + F.col("patch_id") * 7

@@ -87,7 +87,10 @@ def pending_ingest(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 def file_contents(spark: SparkSession, path: str) -> DataFrame:
     """(name, content) of every file below ``path``; each file must fit one record (2 GB)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    parts = F.split("path", "/")
+    last = F.element_at(parts, -1)
+    folder = F.element_at(parts, -2)  # a partition folder names the one file in it
+    return files.select(F.when(last.startswith("part-") & folder.contains("="), folder).otherwise(last).alias("name"), "content")
 
 
 def verify_contents(contents: DataFrame, manifest: DataFrame, algorithm: str = "md5") -> DataFrame:
@@ -112,6 +115,23 @@ def manifest_summary(folds: DataFrame, strategy: str, k: int, seed: int) -> Data
         F.transform("s", lambda x: x["n"]).alias("fold_sizes"))).alias("summary"))
 
 
+ASSIGNMENT_SCHEMA = "patch_id string, block string, fold int"
+
+
+def write_manifest(folds: DataFrame, path: str) -> None:
+    """The assignment itself, as a table of (patch_id, block, fold)."""
+    folds.select("patch_id", "block", F.col("fold").cast("int").alias("fold")).write.mode("error").parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The assignment written by :func:`write_manifest`; a table of another shape or a row without a fold is an error."""
+    found = spark.read.parquet(path)
+    if [f"{n} {t}" for n, t in found.dtypes] != ASSIGNMENT_SCHEMA.split(", "):
+        raise ValueError(f"split manifest is malformed: {found.schema.simpleString()}")
+    whole = F.assert_true(F.col("patch_id").isNotNull() & F.col("fold").isNotNull(), F.lit("split manifest is malformed"))
+    return found.filter(F.coalesce(whole.cast("boolean"), F.lit(True)))
+
+
 MANIFEST_SCHEMA = "strategy string, k int, seed int, block_count long, n_patches long, fold_sizes array<long>"
 
 
@@ -136,30 +156,15 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.sum(row_digest(columns)).cast("string").alias("digest_sum"))
 
 
-MAX_HASHED_IDS = 5_000_000
-
-
-def sample_hash(df: DataFrame, group: str, column: str) -> DataFrame:
-    """sha256 per group over its sorted ids written one after another.
-
-    One digest needs one task, so a group beyond MAX_HASHED_IDS ids fails rather than running away;
-    `sample_tree_hash` identifies lists of any length.
-    """
-    ids = df.groupBy(group).agg(F.count("*").alias("n_samples"))
-    ok = F.assert_true(F.col("n_samples") <= MAX_HASHED_IDS, F.lit("sample list too long for one digest"))
-    sized = ids.filter(F.coalesce(ok.cast("boolean"), F.lit(True)))
-    text = F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), "")
-    return df.join(sized, group).groupBy(group, "n_samples").agg(F.sha2(text, 256).alias("hash"))
-
-
-def sample_tree_hash(df: DataFrame, group: str, column: str, digits: int = 2) -> DataFrame:
-    """Digest of digests: ids are hashed in sorted chunks by md5 prefix, then the chunk hashes.
+def sample_hash(df: DataFrame, group: str, column: str, digits: int = 4) -> DataFrame:
+    """Digest of a sample list of any length: ids are hashed in sorted chunks by md5 prefix, and the hashes level by level.
 
-    No task ever holds more than about 1/16^digits of a group.
+    A level shortens the prefix by two digits, so a task holds 256 hashes at most, and about 1/16^digits
+    of a group's ids at the bottom.
     """
-    part = df.select(group, F.col(column).cast("string").alias("v")).withColumn("p", F.substring(F.md5("v"), 1, digits))
-    chunk = part.groupBy(group, "p").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("v")), ""), 256).alias("h"), F.count("*").alias("n"))
-    return chunk.groupBy(group).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("hash"),
-        F.sum("n").alias("n_samples"))
+    joined = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))), lambda x: x["v"]), ""), 256)
+    rows = df.select(group, F.col(column).cast("string").alias("v")).withColumn("p", F.substring(F.md5("v"), 1, digits))
+    level = rows.groupBy(group, "p").agg(joined("v", "v").alias("h"), F.count("*").alias("n"))
+    for length in range(digits - 2, -1, -2):
+        level = level.groupBy(group, F.substring("p", 1, length).alias("q")).agg(joined("p", "h").alias("h"), F.sum("n").alias("n")).withColumnRenamed("q", "p")
+    return level.select(group, F.col("h").alias("hash"), F.col("n").alias("n_samples"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -89,7 +90,7 @@ def main(argv):
 
     sf = argv[0] if argv else "/root/testdata/sf0.01"
     keys = argv[1:]
-    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8",
+    spark = build_session("check", f"local[{os.environ.get('CHECK_CPUS', '8')}]", spark__sql__shuffle__partitions="8",
                           spark__driver__memory="8g", spark__ui__enabled="false",
                           spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
