@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundtally.functions import dims, geometry, questions
 from groundtally.functions import fixed_values as V
 from groundtally.operators import answers, regions, scoring, taxonomy
+from groundtally.session import cut_lineage
 
 MMU_GRID = (0, 1, 2, 4, 8, 16, 32)
 RADII = (0, 1, 2, 3, 5)
@@ -44,8 +45,10 @@ def _best_first(grid: DataFrame, *order) -> DataFrame:
 def sweep_count(items: DataFrame, px: DataFrame, level: str = "c19") -> DataFrame:
     """Connectivity x minimum mapping unit: accuracy per cell, ranked by (accuracy, smaller unit)."""
     areas = None
+    own = regions.level_runs(px, level)
+    filled = cut_lineage(regions.fill_holes(own.runs, max_side=own.side))  # the same for both connectivities
     for conn in (4, 8):
-        reg = regions.region_properties(regions.label_regions(px, level, regions.MeasureParams(connectivity=conn)))
+        reg = regions.region_properties(regions.components(filled, conn, max_side=own.side))
         one = reg.select("patch_id", "cls", "area_px").withColumn("connectivity", F.lit(conn))
         areas = one if areas is None else areas.unionByName(one)
     counts = areas.select("connectivity", "patch_id", "cls", "area_px", each(MMU_GRID, "mmu")).filter("area_px >= mmu").groupBy(

@@ -137,10 +137,14 @@ def gap_runs(runs: DataFrame) -> DataFrame:
 
 
 def fill_holes(runs: DataFrame, block: int = BLOCK, max_side: int | None = None) -> DataFrame:
-    """Adds every background region that no 4-neighbour path connects to the border."""
-    runs = cut_lineage(runs)  # read four times below; run-length encoding the pixels again would cost more
-    side = max_side if max_side is not None else longest_side(runs)
-    gaps = components(gap_runs(runs), 4, block, flag="rim", max_side=side)
+    """Adds every background region that no 4-neighbour path connects to the border.
+
+    Without ``max_side`` the runs are written first, since the longest side and the filling read them again.
+    """
+    if max_side is None:
+        runs = cut_lineage(runs)
+        max_side = longest_side(runs)
+    gaps = components(gap_runs(runs), 4, block, flag="rim", max_side=max_side)
     holes = gaps.filter(~F.col("rim")).select(*RUN_KEYS, "row", "c0", "c1")
     return merge_runs(runs.select(*RUN_KEYS, "row", "c0", "c1").unionByName(holes))
 
@@ -241,7 +245,10 @@ def components(runs: DataFrame, connectivity: int = 4, block: int = BLOCK, flag:
         raise ValueError("connectivity must be 4 or 8")
     reach = 1 if connectivity == 8 else 0
     carry = [flag] if flag else []
-    side = max_side if max_side is not None else longest_side(runs)
+    if max_side is None:
+        runs = cut_lineage(runs)  # else finding the side would encode the pixels once more
+        max_side = longest_side(runs)
+    side = max_side
     pieces = (
         runs.select(*RUN_KEYS, "row", "c0", "c1", *carry)
         .withColumn("rb", F.floor(F.col("row") / block).cast("int"))
@@ -291,25 +298,56 @@ def mmu_filter(regions: DataFrame, mmu_px: int) -> tuple[DataFrame, DataFrame]:
     return regions.filter(F.col("area_px") >= mmu_px), dropped
 
 
-def label_regions(px: DataFrame, level: str = "c19", params: MeasureParams | None = None, *, fill: bool = True,
-                  block: int = BLOCK, max_side: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class LevelRuns:
+    """The runs of a level, written once: all that measurements need of the pixels.
+
+    ``runs`` holds the classified runs after opening, ``shapes`` the raster sizes, ``side`` the longest side.
+    """
+
+    runs: DataFrame
+    shapes: DataFrame
+    side: int
+
+
+def level_runs(px: DataFrame, level: str = "c19", opening_px: int = 0) -> LevelRuns:
+    """One pass over the pixels. Unclassified runs are kept beside the others, so that they count for the sizes."""
+    coded = taxonomy.to_level(px, level).select("patch_id", "row", "col", "cls")
+    every = cut_lineage(class_runs(coded))
+    shapes = every.groupBy("patch_id").agg((F.max("row") + 1).alias("h"), (F.max("c1") + 1).alias("w"))
+    runs = every.filter("cls >= 0")
+    if opening_px:
+        runs = cut_lineage(class_runs(open_mask(run_pixels(runs), opening_px)))
+    return LevelRuns(runs, shapes, longest_side(every))
+
+
+def run_pixels(runs: DataFrame) -> DataFrame:
+    return runs.select("patch_id", "cls", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+
+
+def label_regions(px: DataFrame | LevelRuns, level: str = "c19", params: MeasureParams | None = None, *, fill: bool = True,
+                  block: int = BLOCK) -> DataFrame:
     """Labelled runs of every class at ``level``: aggregate, open, fill, then label."""
     p = (params or MeasureParams()).require("connectivity", "mmu_px", "opening_px")
-    side = max_side if max_side is not None else longest_side(px)
-    mask = taxonomy.classified(px, level)
-    runs = class_runs(mask) if p.opening_px == 0 else class_runs(open_mask(mask, p.opening_px))
-    if fill:
-        runs = fill_holes(runs, block, side)
-    return components(runs, p.connectivity, block, max_side=side)
+    own = px if isinstance(px, LevelRuns) else level_runs(px, level, p.opening_px)
+    runs = fill_holes(own.runs, block, own.side) if fill else own.runs
+    return components(runs, p.connectivity, block, max_side=own.side)
 
 
-def extract_regions(px: DataFrame, level: str = "c19", params: MeasureParams | None = None, *, fill: bool = True,
+def extract_regions(px: DataFrame | LevelRuns, level: str = "c19", params: MeasureParams | None = None, *, fill: bool = True,
                     block: int = BLOCK) -> DataFrame:
     """All surviving regions of all classes of all patches in one pass."""
     p = params or MeasureParams()
     return mmu_filter(region_properties(label_regions(px, level, p, fill=fill, block=block)), p.mmu_px)[0]
 
 
+def measure_classes(px: DataFrame, level: str = "c19", params: MeasureParams | None = None) -> DataFrame:
+    """:func:`class_facts` of whole rasters, from one pass over the pixels."""
+    p = (params or MeasureParams()).require("opening_px")
+    own = level_runs(px, level, p.opening_px)
+    return class_facts(extract_regions(own, level, p), own.shapes)
+
+
 def class_facts(regions: DataFrame, shapes: DataFrame, gsd_m: float = V.GSD_M) -> DataFrame:
     """Per (patch, class): count, area, coverage and the three candidate reference points."""
     f = regions.groupBy(*RUN_KEYS).agg(

@@ -20,9 +20,8 @@ def parsed(spark, sf):
 
 
 def measured(spark, sf):
-    px = fx.pixels(spark, sf)
     # Measured once, read by every branch: a few rows per (patch, class) are written and reused.
-    return cut_lineage(regions.class_facts(regions.extract_regions(px), regions.raster_shapes(px)))
+    return cut_lineage(regions.measure_classes(fx.pixels(spark, sf)))
 
 
 def facts(spark, sf):

@@ -21,8 +21,7 @@ def mask19(spark, sf):
 
 
 def facts(spark, sf, params=None):
-    px = fx.pixels(spark, sf)
-    return regions.class_facts(regions.extract_regions(px, "c19", params), regions.raster_shapes(px))
+    return regions.measure_classes(fx.pixels(spark, sf), "c19", params)
 
 
 def d1(spark, sf):
@@ -35,13 +34,14 @@ def d2(spark, sf):
     return filled.select("patch_id", "cls", "row", "c0", "c1")
 
 
-def _component_counts(spark, sf, connectivity):
-    lab = regions.components(regions.class_runs(mask19(spark, sf)), connectivity)
+def _component_counts(own, connectivity):
+    lab = regions.components(own.runs, connectivity, max_side=own.side)
     return lab.select("patch_id", "cls", "label", F.lit(connectivity).alias("connectivity"), "row", "c0", "c1")
 
 
 def d3(spark, sf):
-    both = _component_counts(spark, sf, 4).unionByName(_component_counts(spark, sf, 8))
+    own = regions.level_runs(fx.pixels(spark, sf))
+    both = _component_counts(own, 4).unionByName(_component_counts(own, 8))
     return both.groupBy("connectivity", "patch_id", "cls", "label").agg(
         F.sum(F.col("c1") - F.col("c0") + 1).alias("area_px"), F.count("*").alias("n_runs"))
 
@@ -58,8 +58,8 @@ REGION_COLS = ["patch_id", "cls", "label", "area_px", "r0", "c0", "r1", "c1", "c
 
 
 def d5(spark, sf):
-    lab = regions.components(regions.class_runs(mask19(spark, sf)), 4)
-    return regions.region_properties(lab).select(*REGION_COLS)
+    own = regions.level_runs(fx.pixels(spark, sf))
+    return regions.region_properties(regions.components(own.runs, 4, max_side=own.side)).select(*REGION_COLS)
 
 
 def d6(spark, sf):
@@ -111,8 +111,8 @@ def d13(spark, sf):
 
 
 def d14(spark, sf):
-    px = fx.pixels(spark, sf)
-    return position.referring_boxes(regions.extract_regions(px), regions.raster_shapes(px))
+    own = regions.level_runs(fx.pixels(spark, sf))
+    return position.referring_boxes(regions.extract_regions(own), own.shapes)
 
 
 def d15(spark, sf):
@@ -120,8 +120,9 @@ def d15(spark, sf):
     xy = fx.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).cast("int").alias("patch_id"),
         (F.col("o_orderkey") % 41 / 40).alias("x"), (F.col("o_custkey") % 43 / 40).alias("y"))
-    lab = cut_lineage(regions.label_regions(px))  # read twice below
-    return position.referring_points(xy, px, regions.raster_shapes(px), lab, regions.region_properties(lab))
+    own = regions.level_runs(px)
+    lab = cut_lineage(regions.label_regions(own))  # read twice below
+    return position.referring_points(xy, px, own.shapes, lab, regions.region_properties(lab))
 
 
 def d16(spark, sf):
