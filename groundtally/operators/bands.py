@@ -126,7 +126,7 @@ def checked_grids(bands: DataFrame, target: DataFrame | None = None) -> DataFram
     told = F.concat(F.lit("band "), F.col("band"), F.lit(" does not cover the grid of scene "), F.col("scene").cast("string"))
     sound = per.join(sizes, "scene").groupBy("scene").agg(F.max(F.when(bad, told)).alias("fault"))
     joined = bands.join(sound, "scene")
-    return joined.filter(F.when(F.col("fault").isNull(), F.lit(True)).otherwise(F.raise_error("fault").cast("boolean"))).drop("fault")
+    return joined.filter(F.when(F.col("fault").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("fault")).cast("boolean"))).drop("fault")
 
 
 def stack_channels(bands: DataFrame, target: DataFrame | None = None) -> DataFrame:

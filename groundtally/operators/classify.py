@@ -2,42 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import CountVectorizer, IDF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, StringIndexer
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundtally.sources.tables import fingerprint
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-MAX_TERMS = 200_000
+#: Latin letters with marks, and what they are without them.
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
+DEFAULT_TERMS = 200_000
+
+
+@F.udf(VectorUDT())
+def _sublinear(v: SparseVector) -> SparseVector:
+    """1 + ln of the counts; counts of a short text are few, so a row costs little."""
+    return SparseVector(v.size, v.indices, 1 + np.log(v.values))
+
+
+def _plain(text: Column) -> Column:
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
+
+
+@dataclass
+class TextClassifier:
+    """Fitted weights and one linear SVM per label. ``train_hash`` tells the rows it was fitted on."""
 
+    counts: CountVectorizerModel
+    idf: list[float]
+    svm: OneVsRestModel
+    labels: list[str]
+    train_hash: str
 
-def fit(train: DataFrame, text: str, label: str, max_terms: int = MAX_TERMS, iterations: int = 10) -> PipelineModel:
-    """Word 1-2-gram TF-IDF and one linear SVM per label."""
-    grams = [
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN, gaps=False),
-        NGram(n=2, inputCol="_tokens", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_tokens, _pairs) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=2, vocabSize=max_terms),
-        IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_features"),
-    ]
-    index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep").fit(train)
-    svm = OneVsRest(classifier=LinearSVC(maxIter=iterations), featuresCol="_features", labelCol="_label", predictionCol="_prediction", parallelism=8)
-    back = IndexToString(inputCol="_prediction", outputCol="predicted", labels=index.labels)
-    return Pipeline(stages=[*grams, index, svm, back]).fit(train)
+    def features(self, df: DataFrame, text: str) -> DataFrame:
+        rows = self.counts.transform(df.withColumn("_terms", _terms(_plain(F.col(text))))).withColumn("_tf", _sublinear("_counts"))
+        weighted = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_weighted").transform(rows)
+        return Normalizer(inputCol="_weighted", outputCol="_features").transform(weighted)
 
+    def predict(self, df: DataFrame, text: str) -> DataFrame:
+        """Adds `predicted`."""
+        scored = self.svm.transform(self.features(df, text))
+        names = F.array(*[F.lit(x) for x in self.labels])
+        return scored.withColumn("predicted", F.get(names, F.col("_prediction").cast("int"))).drop("_terms", "_counts", "_tf", "_weighted", "_features", "_prediction")
 
-def predict(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
-    """Adds `predicted`; rows whose label was never trained are scored like any other."""
-    return model.transform(df)
+    def save(self, spark: SparkSession, path: str) -> None:
+        PipelineModel([self.counts]).write().overwrite().save(f"{path}/counts")
+        self.svm.write().overwrite().save(f"{path}/svm")
+        spark.createDataFrame([(self.idf, self.labels, self.train_hash)], "idf array<double>, labels array<string>, train_hash string").write.mode("overwrite").parquet(f"{path}/rest")
 
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TextClassifier:
+        rest = spark.read.parquet(f"{path}/rest").first()
+        return TextClassifier(PipelineModel.load(f"{path}/counts").stages[0], list(rest["idf"]), OneVsRestModel.load(f"{path}/svm"), list(rest["labels"]), rest["train_hash"])
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
 
+def fit(train: DataFrame, text: str, label: str, max_terms: int = DEFAULT_TERMS, iterations: int = 100) -> TextClassifier:
+    """Word 1-2-gram weights as in :func:`term_weights`, accents stripped, and one linear SVM per label.
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    ``max_terms`` bounds the vocabulary, most frequent first. A single label is refused.
+    """
+    rows = train.select(F.col(text).alias("_text"), F.col(label).alias("_label")).dropna()
+    index = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc").fit(rows)
+    if len(index.labels) < 2:
+        raise ValueError("a classifier needs two labels or more")
+    termed = index.transform(rows).withColumn("_terms", _terms(_plain(F.col("_text"))))
+    counts = CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=2, vocabSize=max_terms).fit(termed)
+    idf = IDF(inputCol="_counts", outputCol="_idf").fit(counts.transform(termed)).idf
+    half = TextClassifier(counts, [float(x) + 1 for x in idf], None, list(index.labels), fingerprint(rows, ["_text", "_label"]).first()["digest_sum"])
+    svm = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=1e-4), featuresCol="_features", labelCol="_index", predictionCol="_prediction", parallelism=8)
+    half.svm = svm.fit(half.features(termed.drop("_terms"), "_text").select("_features", "_index"))
+    return half
 
 
 def _terms(text: Column) -> Column:

@@ -11,6 +11,7 @@ from groundtally.plans.questionsql import (DIRECTION, INTENT, RULE, SPEC, TASKSP
                                            raw_mentions, rx)
 from groundtally.plans.questionsql import SUB
 from groundtally.plans.sqlviews import ANNOTATIONS, chain, first_hit, q
+from groundtally.session import cut_lineage
 from groundtally.sources import fixture as fx
 
 I = F.col("input")
@@ -107,12 +108,36 @@ def e17(spark, sf):
     return ask(spark, sf).select("id", Q.subject_is_second(I).alias("subject_second"), Q.template_family(I).alias("family"))
 
 
+def rule_reading(spark, sf):
+    """What the rules make of each question: an intent, or the reason why they decline."""
+    return Q.parse(ask(spark, sf)).select("id", "intent", "reason", F.col("reason").isNull().alias("parsed"))
+
+
 def e18(spark, sf):
     """Fit on every train question with a known task, score the validation questions."""
     from groundtally.operators.quality import task_intents
     d = task_intents(ask(spark, sf)).filter("intent is not null").select("id", "split", "input", "intent")
     model = classify.fit(d.filter(F.col("split") == "train"), "input", "intent")
-    return classify.predict(model, d.filter(F.col("split") == "validation"), "intent").select("id", "intent", "predicted")
+    return model.predict(d.filter(F.col("split") == "validation"), "input").select("id", "intent", "predicted")
+
+
+def e18_combined(spark, sf):
+    """Rules first, the classifier on what they decline, and both together, over the validation questions."""
+    from groundtally.operators.quality import task_intents
+    d = task_intents(ask(spark, sf)).filter("intent is not null").select("id", "split", "input", F.col("intent").alias("truth"))
+    model = classify.fit(d.filter(F.col("split") == "train"), "input", "truth")
+    spec = cut_lineage(rule_reading(spark, sf)).join(d.filter(F.col("split") == "validation"), "id")
+    residue = model.predict(spec.filter("not parsed").select("id", "input", "truth"), "input").agg(
+        F.count("*").alias("n_residue"), F.count_if(F.col("predicted") == F.col("truth")).alias("residue_right"))
+    rules = spec.agg(F.count("*").alias("n"), F.count_if("parsed").alias("n_parsed"), F.count_if(F.col("parsed") & (F.col("intent") == F.col("truth"))).alias("rules_right"))
+    both = rules.join(F.broadcast(residue))  # one row each
+    return both.withColumn("combined", F.try_divide(F.col("rules_right") + F.col("residue_right"), F.col("n")))
+
+
+def e18_residue(spark, sf):
+    """What the rules decline of the validation questions, and why: the classifier's share of the work."""
+    split = ask(spark, sf).filter(F.col("split") == "validation").select("id")
+    return rule_reading(spark, sf).join(split, "id").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def e19(spark, sf):
@@ -123,7 +148,7 @@ QUERIES = {
     "E1_stem_options": e1, "E2_mcq_options": e2, "E3_class_mentions": e3, "E4_masked_cue": e4, "E5_tags": e5, "E6_intent_cascade": e6,
     "E7_answer_format": e7, "E8_stated_area": e8, "E9_stated_count": e9, "E10_comparator": e10, "E11_between": e11, "E12_qualifier": e12,
     "E13_flags": e13, "E14_query_spec": e14, "E15_task_parse": e15, "E16_option_direction": e16, "E17_template_family": e17,
-    "E18_intent_classifier": e18, "E19_tfidf": e19,
+    "E18_intent_classifier": e18, "E18_combined": e18_combined, "E18_rule_residue": e18_residue, "E19_tfidf": e19,
 }
 
 S3 = chain(ANNOTATIONS, *SPEC[:4])
@@ -153,6 +178,7 @@ ORACLES = {
         "(SELECT id, UNNEST(letters) AS letter, UNNEST(texts) AS text FROM tspec WHERE category = 'relative pos'))",
     "E17_template_family": A + f"SELECT id, REGEXP_MATCHES(SPLIT_PART(input, '?', 1), {q(V.SUBJECT_SECOND)}) AS subject_second, "
         f"{first_hit('h', V.TEMPLATE_FAMILIES, q(V.DEFAULT_FAMILY))} AS family FROM (SELECT *, SPLIT_PART(input, '?', 1) AS h FROM ann)",
+    "E18_rule_residue": chain(ANNOTATIONS, *SPEC) + "SELECT s.reason, COUNT(*) AS n FROM spec s JOIN ann a USING (id) WHERE a.split = 'validation' GROUP BY 1",
     "E19_tfidf": f"WITH d AS (SELECT doc_id, {_TOK} AS t FROM documents), "
         "g AS (SELECT doc_id, UNNEST(t) AS term FROM d UNION ALL SELECT doc_id, UNNEST(LIST_TRANSFORM(RANGE(1, LEN(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM d), "
         "tf AS (SELECT doc_id, term, COUNT(*) AS n FROM g GROUP BY ALL), df AS (SELECT term, COUNT(*) AS df, SUM(n) AS total FROM tf GROUP BY term HAVING COUNT(*) >= 2), "
