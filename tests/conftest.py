@@ -11,8 +11,8 @@ from groundtally.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__ui__enabled="false",
+def spark(tmp_path_factory):
+    s = build_session("tests", "local[4]", spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")), spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__ui__enabled="false",
                       spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
