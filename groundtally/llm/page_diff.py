@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import os
 import re
+from hashlib import blake2b
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,19 +146,25 @@ def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-def main_lines(lines: list[tuple[str, int]], marks: list[int], other_marks: list[int], other_zones: list[int]) -> list[str]:
-    """The lines that stay, given the marks (hashes) of a page's lines and of its neighbour's.
+def shared_lines(marks: list[int], zones: list[int], other_marks: list[int], other_zones: list[int]) -> list[int]:
+    """Places of lines that the neighbour has too, given the marks (hashes) and zones of both pages' lines.
 
-    With an article only its lines can stay, otherwise open lines. A line shared with the neighbour goes,
-    unless both have it inside an article. A neighbour that shares all open lines is a copy and tells nothing.
+    A line that both have inside an article is not furniture. If the neighbour shares all of a page's open lines,
+    and there is no article, it is a copy and tells nothing.
     """
-    wanted = ARTICLE if any(zone == ARTICLE for _, zone in lines) else OPEN
     both = set(marks) & set(other_marks)
     mine, others = [i for i, m in enumerate(marks) if m in both], [j for j, m in enumerate(other_marks) if m in both]
     aligned = common_subsequence([marks[i] for i in mine], [other_marks[j] for j in others])
-    gone = {mine[i] for i, j in aligned if not (lines[mine[i]][1] == ARTICLE and other_zones[others[j]] == ARTICLE)}
-    stay = [text for i, (text, zone) in enumerate(lines) if zone == wanted and i not in gone]
-    return stay or [text for text, zone in lines if zone == wanted]
+    wanted = ARTICLE if ARTICLE in zones else OPEN
+    gone = [mine[i] for i, j in aligned if zones[mine[i]] == wanted and not (wanted == ARTICLE and other_zones[others[j]] == ARTICLE)]
+    return [] if len(gone) == zones.count(wanted) else gone
+
+
+def main_lines(lines: list[tuple[str, int]], gone: list[int]) -> list[str]:
+    """With an article only its lines can stay, otherwise open lines; shared ones go."""
+    wanted = ARTICLE if any(zone == ARTICLE for _, zone in lines) else OPEN
+    dropped = set(gone)
+    return [text for i, (text, zone) in enumerate(lines) if zone == wanted and i not in dropped]
 
 
 def nearest_pages(keys: DataFrame) -> DataFrame:
@@ -191,35 +198,49 @@ def nearest_pages(keys: DataFrame) -> DataFrame:
     return map_rows(rows, "row long, other long", make)
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_lines) of every page: its main text, one line for each block, empty if there is none.
-
-    Null markup is empty. A null or relative URL has an empty host, and such pages are compared with each other.
-    Repeated rows are neighbours and copies of each other. An empty table gives no rows.
-    """
-    def make():
+def shared_places(rows: DataFrame) -> DataFrame:
+    """(id, page, gone) of the pages that share lines with their neighbour; ``page`` is a digest of the row."""
+    def read():
         def batch(rows: dict) -> dict:
-            read = [read_lines(h) for h in rows["html"]]
-            return {"id": rows["id"], "url": rows["url"], "lines": [[{"text": t, "zone": z} for t, z in r] for r in read]}
+            lines = [read_lines(h) for h in rows["html"]]
+            marks = [[int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for t, _ in r] for r in lines]
+            return {"id": rows["id"], "page": rows["page"], "url": rows["url"], "marks": marks, "zones": [bytes(z for _, z in r) for r in lines]}
 
         return batch
 
-    rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    read = written(map_rows(rows, "id long, url string, lines array<struct<text:string,zone:int>>", make).withColumn("row", F.monotonically_increasing_id()))
+    found = written(map_rows(rows, "id long, page long, url string, marks array<long>, zones binary", read).withColumn("row", F.monotonically_increasing_id()))
     plain = F.regexp_replace(F.coalesce("url", F.lit("")), r"[?#].*$", "")
-    keys = read.select("row", F.lower(F.regexp_extract(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)", 1)).alias("host"),
-                       F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "").alias("path"))
-    marks = read.select(F.col("row").alias("other"), F.transform("lines", lambda x: F.struct(F.xxhash64(x.text).alias("mark"), x.zone.alias("zone"))).alias("other_marks"))
-    pairs = nearest_pages(keys)
-    alone = pairs.filter("other is null").select("row", F.lit(None).cast("array<struct<mark:bigint,zone:int>>").alias("other_marks"))
-    paired = pairs.filter("other is not null").join(marks, "other").select("row", "other_marks").unionByName(alone)
-    both = read.join(paired, "row").select("id", "url", "lines", F.transform("lines", lambda x: F.xxhash64(x.text)).alias("marks"), "other_marks")
+    keys = found.select("row", F.lower(F.regexp_extract(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)", 1)).alias("host"),
+                        F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "").alias("path"))
+    other = found.select(F.col("row").alias("other"), F.col("marks").alias("other_marks"), F.col("zones").alias("other_zones"))
+    pairs = nearest_pages(keys).filter("other is not null").join(other, "other").join(found, "row").select("id", "page", "marks", "zones", "other_marks", "other_zones")
+
+    def align():
+        def batch(rows: dict) -> dict:
+            gone = [shared_lines(m, list(z), om, list(oz)) for m, z, om, oz in zip(rows["marks"], rows["zones"], rows["other_marks"], rows["other_zones"])]
+            return {"id": rows["id"], "page": rows["page"], "gone": gone}
+
+        return batch
+
+    return map_rows(pairs, "id long, page long, gone array<int>", align).filter(F.size("gone") > 0)
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, url, text, n_lines) of every page: its main text, one line for each block, empty if there is none.
+
+    Pages are compared by marks of their lines, so no text moves; those that lose lines are written, and Spark
+    broadcasts them to the pages only if their size is under its threshold. Null markup is empty. A null
+    or relative URL has an empty host, and such pages are compared with each other. Repeated rows are
+    copies of each other and come out alike. An empty table gives no rows.
+    """
+    rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html")).withColumn("page", F.xxhash64("id", "url", "html"))
+    losing = written(shared_places(rows).groupBy("id", "page").agg(F.min("gone").alias("gone")))
+    lost = losing.select(F.col("id").alias("lost_id"), F.col("page").alias("lost_page"), "gone")
+    both = rows.join(lost, (rows.page == lost.lost_page) & rows.id.eqNullSafe(lost.lost_id), "left").select("id", "url", "html", "gone")
 
     def decide():
         def batch(rows: dict) -> dict:
-            out = []
-            for lines, own, other in zip(rows["lines"], rows["marks"], rows["other_marks"]):
-                out.append(main_lines([(x["text"], x["zone"]) for x in lines], own, [x["mark"] for x in other or ()], [x["zone"] for x in other or ()]))
+            out = [main_lines(read_lines(h), g or []) for h, g in zip(rows["html"], rows["gone"])]
             return {"id": rows["id"], "url": rows["url"], "text": ["\n".join(x) for x in out], "n_lines": [len(x) for x in out]}
 
         return batch
