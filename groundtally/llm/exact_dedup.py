@@ -77,10 +77,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with their columns."""
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with their columns.
+
+    Rows meet their mark by one key of id and digest, and repeated rows are dropped in the same partitions.
+    """
+    key = lambda i, sha: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), sha)
     marks = exact_dedup(docs, id_col, text_col, digest_all=True)
-    kept = marks.filter("kept").select(F.col("id").alias("kept_id"), F.col("sha").alias("kept_sha"))
+    kept = marks.filter("kept").select(key(F.col("id"), F.col("sha")).alias("doc_key"))
     digest: Column = F.sha2(F.encode(lower_ascii(F.coalesce(docs[text_col], F.lit(""))), "UTF-8"), 256)
-    packed = docs.select(F.struct("*").alias("doc"), docs[id_col].alias("doc_key"), digest.alias("doc_sha"))
-    stays = packed.join(kept, packed.doc_key.eqNullSafe(kept.kept_id) & (packed.doc_sha == kept.kept_sha), "left_semi")
-    return stays.dropDuplicates(["doc_key", "doc_sha"]).select("doc.*")
+    packed = docs.select(F.struct("*").alias("doc"), key(docs[id_col], digest).alias("doc_key"))
+    return packed.join(kept, "doc_key", "left_semi").dropDuplicates(["doc_key"]).select("doc.*")
