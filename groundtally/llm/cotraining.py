@@ -29,7 +29,8 @@ class Settings:
     sure: float = 0.97
     word_features: int = 1 << 13
     name_features: int = 1 << 8
-    iterations: int = 30
+    iterations: int = 15
+    fit_partitions: int = 4
     threshold: float = 0.5
 
 
@@ -113,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     pool = _sample(docs.select("id").dropna().distinct().join(known, "id", "left_anti"), settings.pool_rows).withColumn("label", F.lit(None).cast("double"))
     wanted = written(chosen.unionByName(pool))  # labelled_rows + pool_rows at most
     sampled = docs.join(F.broadcast(wanted), "id").dropDuplicates(["id"])
-    rows = written(add_views(sampled, settings).select("id", "label", "words", "meta").withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0))
+    viewed = add_views(sampled, settings).select("id", "label", "words", "meta").withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0)
+    rows = written(viewed.repartition(settings.fit_partitions, "id"))  # a bounded sample, read by every step of every fit
     labelled, held = rows.filter("label is not null and not held"), rows.filter("label is not null and held")
     if labelled.select("label").distinct().count() < 2 or held.select("label").distinct().count() < 2:
         return QualityModel(settings, {}, None, [])
