@@ -18,11 +18,11 @@ from itertools import chain
 from pyspark.sql import DataFrame
 
 from groundtally.llm.common import map_rows
-from groundtally.llm.tokens import separate_words
+from groundtally.llm.tokens import plainly_spaced
 
 NONE = -1
 #: Bounds of a worker's memory; when one is reached the machine or the words start afresh.
-MAX_STEPS, MAX_WORDS = 500_000, 300_000
+MAX_STEPS, MAX_FITS, MAX_WORDS = 900_000, 500_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,6 +98,8 @@ class BpeTransducer:
                         rank = ranks.get(text[a] + text[b])
                         if rank is not None and rank < end_a and rank <= end_b:
                             known = False
+            if len(self.fits) >= MAX_FITS:
+                self.fits.clear()
             self.fits[left, right] = known
         return known
 
@@ -107,7 +109,6 @@ class BpeTransducer:
         self.paths: list[tuple] = [start]
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.made = 0
-        self.fits.clear()
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Read one byte: every live path goes down the trie, and the one token that fits ends here."""
@@ -194,28 +195,42 @@ class TextCodec:
 
         self.machine = BpeTransducer(read_ranks(path))
         self.pieces = regex.compile(pattern).findall
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        #: Words after a blank, without it, and words that begin a line: each in two generations.
+        self.young: tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]] = ({}, {})
+        self.old: tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]] = ({}, {})
+        self.line_feed = self._ids("\n")
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self.old.get(word)
+    def _ids(self, text: str) -> tuple[int, ...]:
+        encode = self.machine.encode
+        return tuple([i for p in ([text] if text[text[0] == " ":].isalpha() else self.pieces(text)) for i in encode(p.encode("utf-8"))])
+
+    def _word(self, word: str, first: bool) -> tuple[int, ...]:
+        ids = self.old[first].get(word)
         if ids is None:
-            encode = self.machine.encode
-            ids = tuple([i for p in ([word] if word[word[0] == " ":].isalpha() else self.pieces(word)) for i in encode(p.encode("utf-8"))])
-        if len(self.young) >= MAX_WORDS:
-            self.old, self.young = self.young, {}
-        self.young[word] = ids
+            ids = self._ids(word if first else " " + word)
+        if len(self.young[0]) + len(self.young[1]) >= MAX_WORDS:
+            for young, old in zip(self.young, self.old):
+                old.clear()
+                old.update(young)
+                young.clear()
+        self.young[first][word] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        words = separate_words(text)
-        if words is None:
+        if not plainly_spaced(text):
             encode = self.machine.encode
             return list(chain.from_iterable(encode(p.encode("utf-8")) for p in self.pieces(text)))
-        get, word = self.young.get, self._word
-        return list(chain.from_iterable([get(w) or word(w) for w in words]))
+        inner, starts, word = self.young[0].get, self.young[1].get, self._word
+        out: list[tuple[int, ...]] = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(starts(first) or word(first, True))
+            out += [inner(w) or word(w, False) for w in rest]
+            out.append(self.line_feed)
+        out.pop()
+        return list(chain.from_iterable(out))
 
     def decode_stream(self, ids: Iterable[int], block: int = 4096) -> Iterator[tuple[bytes, str]]:
         """(bytes, characters) as they become whole, block by block."""

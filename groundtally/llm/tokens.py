@@ -14,22 +14,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def separate_words(text: str) -> list[str] | None:
-    """Cut ``text`` where the byte-level tokenizers always cut, or None where that isn't plain.
+def plainly_spaced(text: str) -> bool:
+    """Whether all white space is lone blanks and line feeds between words.
 
-    A lone blank between two words belongs to the word after it, and a lone line feed stands alone.
-    Any other white space (runs, tabs, at either end) depends on what surrounds it.
+    Then the byte-level tokenizers always cut before a blank, which belongs to the word after it, and around a
+    line feed. Other white space (runs, tabs, at either end) depends on what surrounds it.
     """
-    if " ".join(text.split()) != text.replace("\n", " "):
-        return None
-    out = []
-    for line in text.split("\n"):
-        first, *rest = line.split(" ")
-        out.append(first)
-        out += [" " + w for w in rest]
-        out.append("\n")
-    out.pop()
-    return out
+    return " ".join(text.split()) == text.replace("\n", " ")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -61,27 +52,42 @@ class TokenEncoder:
         self.remembered = remembered
         self.letters = _byte_letters()
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        found = self.old.get(word)
+        #: Words after a blank, without it, and words that begin a line: each in two generations.
+        self.young: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.line_feed = self._pieces("\n") if self.plain else b""
+
+    def _pieces(self, text: str) -> bytes:
+        model, letters = self.tokenizer.model, self.letters
+        cut = [text] if text[text[0] == " ":].isalpha() else self.pieces(text)
+        return array("I", [t.id for p in cut for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
+
+    def _word(self, word: str, first: bool) -> bytes:
+        found = self.old[first].get(word)
         if found is None:
-            model, letters = self.tokenizer.model, self.letters
-            found = array("I", [t.id for p in ([word] if word[word[0] == " ":].isalpha() else self.pieces(word)) for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
-        if len(self.young) >= self.remembered:
-            self.old, self.young = self.young, {}
-        self.young[word] = found
+            found = self._pieces(word if first else " " + word)
+        if len(self.young[0]) + len(self.young[1]) >= self.remembered:
+            for young, old in zip(self.young, self.old):
+                old.clear()
+                old.update(young)
+                young.clear()
+        self.young[first][word] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        words = separate_words(text) if self.plain and not any(s in text for s in self.special) else None
-        if words is None:
+        if not self.plain or any(s in text for s in self.special) or not plainly_spaced(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        get, word = self.young.get, self._word
-        return b"".join([get(w) or word(w) for w in words])
+        inner, starts, word = self.young[0].get, self.young[1].get, self._word
+        out: list[bytes] = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(starts(first) or word(first, True))
+            out += [inner(w) or word(w, False) for w in rest]
+            out.append(self.line_feed)
+        out.pop()
+        return b"".join(out)
 
 
 _encoders: dict[str, TokenEncoder] = {}
