@@ -6,7 +6,8 @@ worked off in two steps. First every set of a list meets the list's pivot alone,
 give components. Then a list whose sets are all in one component is skipped whole: their links change
 no answer. In the others, sets outside the pivot's component meet the rest, block by block: blocks
 of one list are skipped by size and position, and for sets that were both compared with the pivot the
-overlap is bounded by what is known of the pivot's, so that only undecided pairs are read in full.
+overlap is bounded by what is known of the pivot's. Sketches rule out most of the rest, and only undecided
+pairs are read in full.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from groundtally.llm.common import written
 WORDS, PER_CENT = 5, 75
 #: How many frequent shingles are told apart in the global order, and how often one must occur in
 #: a chunk to be counted. They change the work, never the result.
-FREQUENT, CHUNK_SHINGLES, CHUNK_COUNT = 1 << 16, 1 << 21, 4
+FREQUENT, CHUNK_SHINGLES, CHUNK_COUNT = 1 << 18, 1 << 21, 3
 SLOTS = 1 << 20
 
 
@@ -77,6 +78,16 @@ class Shingler:
         np.not_equal(mixed[1:], mixed[:-1], out=first[1:])
         return mixed[first]
 
+    def sketch(self, shingles: np.ndarray) -> bytes:
+        """Bit i is the parity of the shingles that end in i; as many bits as shingles, up to a power of two, 64 at least.
+
+        Bits in which two sketches differ are no more than elements in which the sets differ. A sketch
+        folds to half its size by adding its halves.
+        """
+        bits = 1 << max(6, (shingles.size - 1).bit_length())
+        parity = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        return np.packbits(parity.astype(bool), bitorder="little").tobytes()
+
     def name(self, shingles: np.ndarray) -> int:
         """A 63-bit name of a set; with the set's size it stands for the set."""
         return self.digest(shingles.tobytes()) >> 1
@@ -95,8 +106,8 @@ def _batches(rows: list[tuple], types: dict) -> pa.RecordBatch:
 
 
 def name_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds from one scan: documents (id, n, set) and counts of shingles frequent in a chunk (shingle, count)."""
-    types = {"kind": pa.int32(), "id": pa.int64(), "n": pa.int64(), "set_name": pa.int64()}
+    """Rows of two kinds from one scan: documents (id, n, set, sketch) and counts of shingles frequent in a chunk (shingle, count)."""
+    types = {"kind": pa.int32(), "id": pa.int64(), "n": pa.int64(), "set_name": pa.int64(), "sketch": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -106,10 +117,10 @@ def name_sets(docs: DataFrame, words: int) -> DataFrame:
         def counted() -> None:
             shingles, counts = np.unique(np.concatenate(chunk), return_counts=True)
             often = counts >= CHUNK_COUNT
-            rows.extend((1, None, c, s) for s, c in zip(shingles[often].view(np.int64).tolist(), counts[often].tolist()))
+            rows.extend((1, None, c, s, None) for s, c in zip(shingles[often].view(np.int64).tolist(), counts[often].tolist()))
 
         for make, name, shingles in _sets(batches, words):
-            rows.append((0, name, shingles.size, make.name(shingles) if shingles.size else None))
+            rows.append((0, name, shingles.size, make.name(shingles), make.sketch(shingles)) if shingles.size else (0, name, 0, None, None))
             chunk.append(shingles)
             held += shingles.size
             if held >= CHUNK_SHINGLES:
@@ -122,7 +133,7 @@ def name_sets(docs: DataFrame, words: int) -> DataFrame:
             counted()
         yield _batches(rows, types)
 
-    return docs.mapInArrow(run, "kind int, id long, n long, set_name long")
+    return docs.mapInArrow(run, "kind int, id long, n long, set_name long, sketch binary")
 
 
 def least_overlap(a: Column, b: Column, per_cent: int) -> Column:
@@ -253,6 +264,31 @@ def read_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     return found.groupBy("set_name", "n").agg(F.first("shingles").alias("shingles"))
 
 
+def _plausible(pairs: DataFrame, sketches: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) with ``cap``, what their sketches leave for the overlap, and whether that allows a link."""
+    def fold(sketch: bytes, size: int) -> int:
+        value, have = int.from_bytes(sketch, "little"), len(sketch)
+        while have > size:
+            have //= 2
+            value = (value ^ value >> 8 * have) & ((1 << 8 * have) - 1)
+        return value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            caps, likely = [], []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb"))):
+                size = min(len(x), len(y))
+                differ = (fold(x, size) ^ fold(y, size)).bit_count()
+                caps.append((na + nb - differ) // 2)
+                likely.append(caps[-1] >= -(-per_cent * (na + nb) // (100 + per_cent)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "na", "b", "nb")), pa.array(caps, pa.int32()), pa.array(likely, pa.bool_())],
+                                             names=["a", "na", "b", "nb", "cap", "likely"])
+
+    side = lambda s: sketches.select(F.col("set_name").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"x{s}"))
+    both = pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"])
+    return both.select("a", "na", "b", "nb", "xa", "xb").mapInArrow(run, "a long, na int, b long, nb int, cap int, likely boolean")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, na, b, nb) with their overlap, from the whole sets."""
     left = sets.select(F.col("set_name").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
@@ -301,22 +337,27 @@ def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     starred = lists.alias("x").join(pivots.select("token", "p.*").alias("y"), "token")
     pairs = written(starred.filter(F.col("x.set_name") != F.col("y.set_name")).filter(_may_link("x", "y", per_cent))
                     .select(F.col("y.set_name").alias("a"), F.col("y.n").alias("na"), F.col("x.set_name").alias("b"), F.col("x.n").alias("nb")).distinct())
+    sketches = rows.filter("kind = 0 and n > 0").groupBy("set_name", F.col("n").cast("int").alias("n")).agg(F.first("sketch").alias("sketch"))
+    capped = written(_plausible(pairs, sketches, per_cent))
+    likely = capped.filter("likely").drop("cap", "likely")
     sides = lambda p: p.select(F.col("a").alias("set_name")).unionByName(p.select(F.col("b").alias("set_name")))
-    first = written(_verified(pairs, read_sets(docs, words, sides(pairs))))
+    first = written(_verified(likely, read_sets(docs, words, sides(likely))))
     links = lambda v: v.filter(F.col("overlap") >= least_overlap(F.col("na"), F.col("nb"), per_cent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = contract(links(first))
 
     # lists with sets of two components or more
     labelled = lists.join(roots.withColumnRenamed("node", "set_name"), "set_name", "left").withColumn("root", F.coalesce("root", "set_name"))
     mixed = labelled.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("set_name", "root")).alias("p")).filter("r0 <> r1")
-    known = first.select(F.col("a").alias("pivot"), F.col("b").alias("set_name"), F.col("overlap").alias("c"))
+    # what is known of each set's overlap with the pivot: exactly (c), or at most (cap)
+    exact = first.select(F.col("a").alias("pivot"), F.col("b").alias("set_name"), F.col("overlap").alias("c"))
+    known = capped.select(F.col("a").alias("pivot"), F.col("b").alias("set_name"), "cap").join(exact, ["pivot", "set_name"], "left")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / per_cent)).cast("int")
     step = F.floor(F.log2(F.col("pos") + 1.0)).cast("int")
     opened = (labelled.join(mixed.select("token", F.col("p.set_name").alias("pivot"), F.col("p.root").alias("pivot_root")), "token")
               .join(known, ["pivot", "set_name"], "left")
-              .withColumn("c", F.when(F.col("set_name") == F.col("pivot"), F.col("n")).otherwise(F.col("c")))
+              .withColumn("cap", F.coalesce("c", "cap", "n"))
               .withColumn("band", band).withColumn("step", step))
-    opened = written(opened)
+    opened = written(opened.filter(F.col("set_name") != F.col("pivot")))  # every set has met its list's pivot
     apart = opened.filter("root <> pivot_root")
     block = lambda d: d.groupBy("token", "band", "step").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("pos").alias("p1"), F.max(F.col("n") - F.col("pos") - 1).alias("rest"))
     x, y = block(apart).alias("x"), block(opened).alias("y")
@@ -326,12 +367,13 @@ def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
               .select(c("x", "token").alias("token"), c("x", "band").alias("xb"), c("x", "step").alias("xs"), c("y", "band").alias("yb"), c("y", "step").alias("ys")))
     ax = apart.alias("x").join(blocks.alias("k"), (c("x", "token") == c("k", "token")) & (c("x", "band") == c("k", "xb")) & (c("x", "step") == c("k", "xs")))
     ax = ax.select("x.*", "k.yb", "k.ys").alias("x")
-    derived = F.least(c("x", "c"), c("y", "c")) + F.least(c("x", "n") - c("x", "c"), c("y", "n") - c("y", "c"))
-    undecided = (c("x", "root") != c("y", "root")) & _may_link("x", "y", per_cent) & F.coalesce(derived >= least_overlap(c("x", "n"), c("y", "n"), per_cent), F.lit(True))
+    beside = lambda s: c(s, "n") - F.coalesce(c(s, "c"), F.lit(0))  # noqa: E731  outside the pivot at most
+    derived = F.least(c("x", "cap"), c("y", "cap")) + F.least(beside("x"), beside("y"))
+    undecided = (c("x", "root") != c("y", "root")) & _may_link("x", "y", per_cent) & (derived >= least_overlap(c("x", "n"), c("y", "n"), per_cent))
     rest = ax.join(opened.alias("y"), (c("x", "token") == c("y", "token")) & (c("x", "yb") == c("y", "band")) & (c("x", "ys") == c("y", "step")) & undecided)
     swap = c("x", "set_name") > c("y", "set_name")
     more = rest.select(*(F.when(swap, c(s, k)).otherwise(c(t, k)).alias(o) for o, s, t, k in (("a", "y", "x", "set_name"), ("na", "y", "x", "n"), ("b", "x", "y", "set_name"), ("nb", "x", "y", "n")))).distinct()
-    more = written(more.join(pairs, ["a", "na", "b", "nb"], "left_anti"))
+    more = written(_plausible(more.join(pairs, ["a", "na", "b", "nb"], "left_anti"), sketches, per_cent).filter("likely").drop("cap", "likely"))
     second = written(_verified(more, read_sets(docs, words, sides(more))))
     return named, contract(links(first).unionByName(links(second)))
 
