@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,15 +103,24 @@ def band_presence(bands: DataFrame, dropped: tuple[str, ...] = ()) -> DataFrame:
     return seen.select("scene", vector.alias("presence"), F.filter(order, lambda b: ~F.array_contains(usable, b)).alias("not_measured"))
 
 
+def spectral_indices(bands: DataFrame, kinds: Sequence[str] = tuple(V.SPECTRAL_INDICES)) -> DataFrame:
+    """(kind, scene, row, col, value, reason) of every kind from one pivot; a pixel with neither band of a kind has no row."""
+    for kind in kinds:
+        if kind.lower() not in V.SPECTRAL_INDICES:
+            raise ValueError(f"unknown spectral index {kind}")
+    needed = sorted({b for k in kinds for b in V.SPECTRAL_INDICES[k.lower()]})
+    wide = bands.filter(F.col("band").isin(*needed)).groupBy("scene", "row", "col").agg(
+        *[F.max(F.when(F.col("band") == b, F.col("value"))).alias(f"v_{b}") for b in needed], F.collect_set("band").alias("met"))
+    each = [F.struct(F.lit(k).alias("kind"), *[F.col(f"v_{b}").alias(n) for n, b in zip("ab", V.SPECTRAL_INDICES[k.lower()])],
+                     F.arrays_overlap("met", F.array(*[F.lit(b) for b in V.SPECTRAL_INDICES[k.lower()]])).alias("met")) for k in kinds]
+    p = wide.select("scene", "row", "col", F.inline(F.array(*each))).filter("met")
+    return p.select("kind", "scene", "row", "col", F.when(F.col("a") + F.col("b") == 0, F.lit(0.0)).otherwise((F.col("a") - F.col("b")) / (F.col("a") + F.col("b"))).alias("value"),
+                    F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit("index_bands")).alias("reason"))
+
+
 def spectral_index(bands: DataFrame, kind: str) -> DataFrame:
     """(scene, row, col, value, reason): normalised difference, zero denominator gives zero."""
-    if kind.lower() not in V.SPECTRAL_INDICES:
-        raise ValueError(f"unknown spectral index {kind}")
-    a, b = V.SPECTRAL_INDICES[kind.lower()]
-    p = bands.filter(F.col("band").isin(a, b)).groupBy("scene", "row", "col").agg(
-        F.max(F.when(F.col("band") == a, F.col("value"))).alias("a"), F.max(F.when(F.col("band") == b, F.col("value"))).alias("b"))
-    return p.select("scene", "row", "col", F.when(F.col("a") + F.col("b") == 0, F.lit(0.0)).otherwise((F.col("a") - F.col("b")) / (F.col("a") + F.col("b"))).alias("value"),
-                    F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit("index_bands")).alias("reason"))
+    return spectral_indices(bands, (kind,)).drop("kind")
 
 
 def checked_grids(bands: DataFrame, target: DataFrame | None = None) -> DataFrame:

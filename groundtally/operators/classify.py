@@ -20,7 +20,7 @@ ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "a
 DEFAULT_TERMS = 200_000
 
 
-@F.udf(VectorUDT())
+@F.udf(returnType=VectorUDT(), useArrow=False)
 def _sublinear(v: SparseVector) -> SparseVector:
     """1 + ln of the counts; counts of a short text are few, so a row costs little."""
     return SparseVector(v.size, v.indices, 1 + np.log(v.values))

@@ -179,11 +179,11 @@ def diagonal_match(items: DataFrame, bands, rule: str = "mask_centroid") -> Data
 def rule_decidability(items: DataFrame, band: float = V.DIAGONAL_BAND_DEG) -> DataFrame:
     """For each pair of reference rules: items whose point differs, and items whose answer differs."""
     d = predicted(with_rules(items), F.col("shipped_flip"), F.lit(band))
-    a = d.select("id", F.col("rule").alias("rule_a"), F.col("d_row").alias("ar"), F.col("d_col").alias("ac"), F.col("letter").alias("la"))
-    b = d.select("id", F.col("rule").alias("rule_b"), F.col("d_row").alias("br"), F.col("d_col").alias("bc"), F.col("letter").alias("lb"))
-    return a.join(b, "id").filter("rule_a < rule_b").groupBy("rule_a", "rule_b").agg(  # three rules per item
-        F.count("*").alias("n"), F.count_if((F.round("ar", 6) != F.round("br", 6)) | (F.round("ac", 6) != F.round("bc", 6))).alias("point_differs"),
-        F.count_if(~F.col("la").eqNullSafe(F.col("lb"))).alias("answer_differs"))
+    told = d.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rule", "d_row", "d_col", "letter"))).alias("own"))  # three rules per item
+    pairs = F.flatten(F.transform("own", lambda a: F.transform(F.filter("own", lambda b: b["rule"] > a["rule"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return told.select(F.inline(pairs)).groupBy(F.col("a.rule").alias("rule_a"), F.col("b.rule").alias("rule_b")).agg(
+        F.count("*").alias("n"), F.count_if((F.round("a.d_row", 6) != F.round("b.d_row", 6)) | (F.round("a.d_col", 6) != F.round("b.d_col", 6))).alias("point_differs"),
+        F.count_if(~F.col("a.letter").eqNullSafe(F.col("b.letter"))).alias("answer_differs"))
 
 
 def residual_errors(items: DataFrame, group: str, rule: str = "mask_centroid", band: float = V.DIAGONAL_BAND_DEG) -> DataFrame:

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundtally.functions import dims, questions, text
 from groundtally.functions import fixed_values as V
 
-I, O = F.col("input"), F.col("output")
+def I() -> Column:  # noqa: E743
+    """The question text; a function, so that importing needs no session."""
+    return F.col("input")
+
+
+def O() -> Column:  # noqa: E743
+    return F.col("output")
+
 
 
 def with_task(ann: DataFrame) -> DataFrame:
@@ -63,37 +72,41 @@ def length_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def templates(ann: DataFrame, keep: int = 8) -> DataFrame:
-    n = with_task(ann).groupBy("task", text.skeleton(I).alias("skeleton")).agg(F.count("*").alias("n"))
+    n = with_task(ann).groupBy("task", text.skeleton(I()).alias("skeleton")).agg(F.count("*").alias("n"))
     return top(n, ["task"], "skeleton", keep)
 
 
 def answer_vocabulary(ann: DataFrame, keep: int = 25) -> DataFrame:
-    n = with_task(ann).groupBy("task", text.answer_bucket(O).alias("answer")).agg(F.count("*").alias("n"))
+    n = with_task(ann).groupBy("task", text.answer_bucket(O()).alias("answer")).agg(F.count("*").alias("n"))
     return top(n, ["task"], "answer", keep)
 
 
 def vocabulary(ann: DataFrame) -> DataFrame:
     """(kind, term, n) from class labels, reference tags and presence options."""
-    label = F.transform(questions.mentions(I), F.lower)
-    refs = F.transform(F.regexp_extract_all(I, F.lit(V.REF_TAG), F.lit(1)), lambda r: F.lower(F.trim(r)))
-    opts = F.when((F.col("type") == "mcq") & (F.col("category") == "presence"), F.transform(questions.options_of(questions.task_segment(I)), lambda o: F.lower(o["text"])))
+    label = F.transform(questions.mentions(I()), F.lower)
+    refs = F.transform(F.regexp_extract_all(I(), F.lit(V.REF_TAG), F.lit(1)), lambda r: F.lower(F.trim(r)))
+    opts = F.when((F.col("type") == "mcq") & (F.col("category") == "presence"), F.transform(questions.options_of(questions.task_segment(I())), lambda o: F.lower(o["text"])))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("terms")) for k, t in (("label", label), ("ref", refs), ("option", opts))])
     return ann.select(F.explode(kinds).alias("k")).select("k.kind", F.explode("k.terms").alias("term")).groupBy("kind", "term").agg(F.count("*").alias("n"))
 
 
 def overlap(vocab: DataFrame, left: str, right: str) -> DataFrame:
     """Sizes of the intersection and the one-sided rests of two vocabularies after normalisation."""
-    def side(kind, flag):
-        return vocab.filter(F.col("kind") == kind).select(text.normal_form(F.col("term")).alias("term")).distinct().withColumn(flag, F.lit(True))
-    j = side(left, "l").join(side(right, "r"), "term", "full")
-    return j.agg(F.count_if(F.col("l") & F.col("r")).alias("both"), F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("l").isNull()).alias("right_only")).select(
-        F.lit(left).alias("left_kind"), F.lit(right).alias("right_kind"), "both", "left_only", "right_only")
+    return overlaps(vocab, [(left, right)])
+
+
+def overlaps(vocab: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """:func:`overlap` of several pairs of vocabularies, from one grouping by term."""
+    by_term = vocab.groupBy(text.normal_form(F.col("term")).alias("term")).agg(F.collect_set("kind").alias("kinds"))
+    each = [F.struct(F.lit(a).alias("left_kind"), F.lit(b).alias("right_kind"), F.array_contains("kinds", a).alias("l"), F.array_contains("kinds", b).alias("r")) for a, b in pairs]
+    l, r = F.col("l"), F.col("r")  # noqa: E741
+    return by_term.select(F.inline(F.array(*each))).groupBy("left_kind", "right_kind").agg(F.count_if(l & r).alias("both"), F.count_if(l & ~r).alias("left_only"), F.count_if(~l & r).alias("right_only"))
 
 
 def term_hits(ann: DataFrame) -> DataFrame:
     """Rows containing each group name (substring) and each class name outside the 19 (whole word)."""
     import re
-    low = F.lower(I)
+    low = F.lower(I())
     aggs = {f"l1:{t}": F.contains(low, F.lit(t)) for t in V.GROUP_NAMES_L1}
     aggs |= {f"l2:{t}": F.contains(low, F.lit(t)) for t in V.GROUP_NAMES_L2}
     aggs |= {f"l3:{t}": low.rlike(rf"\b{re.escape(t)}\b") for t in V.NAMES_OUTSIDE_C19}
@@ -102,17 +115,17 @@ def term_hits(ann: DataFrame) -> DataFrame:
 
 def unit_hits(ann: DataFrame) -> DataFrame:
     """Unit markers in all questions, in area questions by task, and in caption answers."""
-    q = {u: I.rlike(p) for u, p in V.UNIT_MARKERS}
+    q = {u: I().rlike(p) for u, p in V.UNIT_MARKERS}
     everywhere = counted(q, ann, "unit").withColumn("scope", F.lit("questions"))
     area = counted(q, with_task(ann).filter(F.col("category") == "area"), "unit", "task").withColumnRenamed("task", "scope").select("unit", "n", "scope")
-    caps = counted({u: O.rlike(p) for u, p in V.UNIT_MARKERS}, ann.filter(F.col("type") == "captioning"), "unit").withColumn("scope", F.lit("captions"))
+    caps = counted({u: O().rlike(p) for u, p in V.UNIT_MARKERS}, ann.filter(F.col("type") == "captioning"), "unit").withColumn("scope", F.lit("captions"))
     return everywhere.unionByName(area).unionByName(caps)
 
 
 def numeric_mentions(ann: DataFrame) -> DataFrame:
     """(task, unit, value, n) of every stated area."""
-    m2 = F.transform(F.regexp_extract_all(I, F.lit(V.PROFILE_SQUARE_METRE), F.lit(1)), _number)
-    pct = F.transform(F.regexp_extract_all(I, F.lit(V.TASK_PERCENT), F.lit(1)), lambda x: x.try_cast("double"))
+    m2 = F.transform(F.regexp_extract_all(I(), F.lit(V.PROFILE_SQUARE_METRE), F.lit(1)), _number)
+    pct = F.transform(F.regexp_extract_all(I(), F.lit(V.TASK_PERCENT), F.lit(1)), lambda x: x.try_cast("double"))
     rows = F.array(F.struct(F.lit("m2").alias("unit"), m2.alias("v")), F.struct(F.lit("percent").alias("unit"), pct.alias("v")))
     return with_task(ann).filter(F.col("category") == "area").select("task", F.explode(rows).alias("r")).select(
         "task", "r.unit", F.explode("r.v").alias("value")).groupBy("task", "unit", "value").agg(F.count("*").alias("n"))
@@ -141,7 +154,7 @@ def value_gaps(values: DataFrame) -> DataFrame:
 
 def comparator_shares(ann: DataFrame) -> DataFrame:
     """Comparator phrases per task; several may hit one row, none counts as equality."""
-    labels = F.array_compact(F.array(*[F.when(I.rlike(p), F.lit(lab)) for lab, p in V.PROFILE_COMPARATORS]))
+    labels = F.array_compact(F.array(*[F.when(I().rlike(p), F.lit(lab)) for lab, p in V.PROFILE_COMPARATORS]))
     hit = F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("none/equality")))
     n = with_task(ann).filter(F.col("category").isin("area", "count")).select("task", F.explode(hit).alias("comparator")).groupBy("task", "comparator").agg(F.count("*").alias("n"))
     total = n.groupBy("task").agg(F.sum("n").alias("hits"))
@@ -149,14 +162,14 @@ def comparator_shares(ann: DataFrame) -> DataFrame:
 
 
 def comparator_words(ann: DataFrame) -> DataFrame:
-    phrase = F.concat_ws(" ", F.lower(F.regexp_extract(I, V.COMPARATOR_WORD, 1)), F.lower(F.regexp_extract(I, V.COMPARATOR_WORD, 2)))
-    return ann.filter((F.col("category") == "count") & (F.col("type") == "binary") & I.rlike(V.COMPARATOR_WORD)).groupBy(
+    phrase = F.concat_ws(" ", F.lower(F.regexp_extract(I(), V.COMPARATOR_WORD, 1)), F.lower(F.regexp_extract(I(), V.COMPARATOR_WORD, 2)))
+    return ann.filter((F.col("category") == "count") & (F.col("type") == "binary") & I().rlike(V.COMPARATOR_WORD)).groupBy(
         phrase.alias("phrase")).agg(F.count("*").alias("n"))
 
 
 def _ranges(ann: DataFrame) -> DataFrame:
     """MCQ area and count rows with their option ranges and plain numbers."""
-    opts = questions.options_of(questions.task_segment(I))
+    opts = questions.options_of(questions.task_segment(I()))
     def read(o):
         t = o["text"]
         return F.struct(_number(F.regexp_extract(t, V.OPTION_RANGE_UNIT, 1)).alias("lo"), _number(F.regexp_extract(t, V.OPTION_RANGE_UNIT, 2)).alias("hi"),
@@ -176,14 +189,14 @@ def option_spacing(ann: DataFrame) -> DataFrame:
 
 
 def stated_percent() -> Column:
-    pct, m2 = F.regexp_extract(I, V.TASK_PERCENT, 1).try_cast("double"), _number(F.regexp_extract(I, V.PROFILE_SQUARE_METRE, 1)) / 14400.0
-    return F.when(I.rlike(V.TASK_PERCENT), pct).when(I.rlike(V.PROFILE_SQUARE_METRE), m2)
+    pct, m2 = F.regexp_extract(I(), V.TASK_PERCENT, 1).try_cast("double"), _number(F.regexp_extract(I(), V.PROFILE_SQUARE_METRE, 1)) / 14400.0
+    return F.when(I().rlike(V.TASK_PERCENT), pct).when(I().rlike(V.PROFILE_SQUARE_METRE), m2)
 
 
 def near_misses(ann: DataFrame) -> DataFrame:
     """|stated - true| of every "no" beside the first "yes" of the same (patch, class, category)."""
     d = ann.filter((F.col("type") == "binary") & F.col("category").isin("area", "count")).select(
-        "id", "patch_id", "category", "output", stated_percent().alias("stated"), F.get(questions.mentions(I), F.lit(0)).alias("class_name")).filter(
+        "id", "patch_id", "category", "output", stated_percent().alias("stated"), F.get(questions.mentions(I()), F.lit(0)).alias("class_name")).filter(
         "stated is not null and class_name is not null")
     keys = ["patch_id", "class_name", "category"]
     truth = d.filter("output = 'yes'").groupBy(*keys).agg(F.min_by("stated", "id").alias("truth"))
@@ -196,7 +209,7 @@ def near_misses(ann: DataFrame) -> DataFrame:
 def referring_qualifiers(ann: DataFrame) -> DataFrame:
     """Qualifier of every reference tag whose rest is one of the 19 classes."""
     base = [n.lower().replace(",", "") for n in dims.C19_NAMES]
-    ref = F.explode(F.transform(F.regexp_extract_all(I, F.lit(V.REF_TAG), F.lit(1)), lambda r: F.lower(F.trim(r))))
+    ref = F.explode(F.transform(F.regexp_extract_all(I(), F.lit(V.REF_TAG), F.lit(1)), lambda r: F.lower(F.trim(r))))
     pat = r"^(.*?)\s+(?:of|in)\s+(.*)$"
     d = ann.select(ref.alias("ref"))
     known = F.replace(F.regexp_extract("ref", pat, 2), F.lit(","), F.lit("")).isin(*base)
@@ -204,7 +217,7 @@ def referring_qualifiers(ann: DataFrame) -> DataFrame:
 
 
 def category_words(ann: DataFrame, category: str = "adjacency", words=V.ADJACENCY_WORDS) -> DataFrame:
-    return counted({w: F.contains(F.lower(I), F.lit(w)) for w in words}, ann.filter(F.col("category") == category), "word")
+    return counted({w: F.contains(F.lower(I()), F.lit(w)) for w in words}, ann.filter(F.col("category") == category), "word")
 
 
 def answer_priors(ann: DataFrame, keep: int = 4) -> DataFrame:
@@ -215,14 +228,14 @@ def label_circularity(ann: DataFrame) -> DataFrame:
     """How often a metadata column equals the released option of its own question."""
     d = ann.filter((F.col("type") == "mcq") & F.col("category").isin("country", "season", "climate zone"))
     value = F.when(F.col("category") == "country", F.col("country")).when(F.col("category") == "season", F.col("season")).otherwise(F.col("climate_zone"))
-    opts = questions.options_of(questions.task_segment(I))
-    chosen = F.get(F.filter(opts, lambda o: o["letter"] == F.trim(O)), F.lit(0))["text"]
+    opts = questions.options_of(questions.task_segment(I()))
+    chosen = F.get(F.filter(opts, lambda o: o["letter"] == F.trim(O())), F.lit(0))["text"]
     d = d.select("category", value.alias("value"), chosen.alias("chosen")).filter("chosen is not null")
     return d.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.lower(F.trim("chosen")) == F.lower(F.trim("value"))).alias("agree")).withColumn("rate", F.col("agree") / F.col("n"))
 
 
 def value_leak(ann: DataFrame) -> DataFrame:
-    low = F.lower(I)
+    low = F.lower(I())
     return counted({c: F.contains(low, F.lower(c)) & (F.col("category") != c) for c in ("country", "season")}, ann, "field")
 
 
@@ -240,14 +253,14 @@ def option_forms(ann: DataFrame) -> DataFrame:
 
 def question_forms(ann: DataFrame) -> DataFrame:
     d = ann.filter(F.col("type") == "binary").filter(F.col("category").isin("area", "count"))
-    form = F.when(F.col("category") == "area", questions.first_match(I, V.AREA_FORMS, F.lit("other"))).otherwise(questions.first_match(I, V.COUNT_FORMS, F.lit("other")))
+    form = F.when(F.col("category") == "area", questions.first_match(I(), V.AREA_FORMS, F.lit("other"))).otherwise(questions.first_match(I(), V.COUNT_FORMS, F.lit("other")))
     n = d.groupBy("category", form.alias("form")).agg(F.count("*").alias("n"))
     return n.join(n.groupBy("category").agg(F.sum("n").alias("total")), "category").select("category", "form", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def residual_skeletons(ann: DataFrame, keep: int = 25) -> DataFrame:
     """Skeletons of yes/no area and count questions no comparator explains, with the residual rate."""
-    d = ann.filter((F.col("type") == "binary") & F.col("category").isin("area", "count")).select("category", I.alias("input"), questions.first_match(I, V.RESIDUAL_COMPARATORS).alias("c"))
+    d = ann.filter((F.col("type") == "binary") & F.col("category").isin("area", "count")).select("category", I().alias("input"), questions.first_match(I(), V.RESIDUAL_COMPARATORS).alias("c"))
     scanned = d.groupBy("category").agg(F.count("*").alias("scanned"), F.count_if(F.col("c").isNull()).alias("residual"))
     n = d.filter("c is null").groupBy("category", text.skeleton(F.col("input")).alias("skeleton")).agg(F.count("*").alias("n"))
     t = top(n, ["category"], "skeleton", keep).select("category", "skeleton", "n", "rank")
@@ -257,7 +270,7 @@ def residual_skeletons(ann: DataFrame, keep: int = 25) -> DataFrame:
 def clean_class() -> Column:
     """The one class name contained in the question after dropping names inside longer hits, else null."""
     names = dims.literal_array(sorted((n.lower() for n in dims.C19_NAMES), key=lambda n: (-len(n), n)))
-    hits = F.filter(names, lambda c: F.contains(F.lower(I), c))
+    hits = F.filter(names, lambda c: F.contains(F.lower(I()), c))
     kept = F.filter(hits, lambda c: ~F.exists(hits, lambda d: (c != d) & F.contains(d, c)))
     return F.when(F.size(kept) == 1, F.get(kept, F.lit(0)))
 
@@ -270,9 +283,9 @@ def attribution(ann: DataFrame) -> DataFrame:
 def inclusivity(ann: DataFrame) -> DataFrame:
     """Verdicts where an inclusive and a strict form of one threshold were both answered."""
     d = ann.filter((F.col("type") == "binary") & (F.col("category") == "area")).select(
-        "id", "patch_id", "output", clean_class().alias("class_name"), questions.first_match(I, (V.TASK_COMPARATORS[0], V.TASK_COMPARATORS[2], V.TASK_COMPARATORS[1], V.TASK_COMPARATORS[3])).alias("form"),
-        F.round(F.when(I.rlike(V.TASK_PERCENT), F.regexp_extract(I, V.TASK_PERCENT, 1).try_cast("double")).when(
-            I.rlike(V.TASK_SQUARE_METRE), _number(F.regexp_extract(I, V.TASK_SQUARE_METRE, 1)) / 14400.0), 4).alias("threshold")).filter(
+        "id", "patch_id", "output", clean_class().alias("class_name"), questions.first_match(I(), (V.TASK_COMPARATORS[0], V.TASK_COMPARATORS[2], V.TASK_COMPARATORS[1], V.TASK_COMPARATORS[3])).alias("form"),
+        F.round(F.when(I().rlike(V.TASK_PERCENT), F.regexp_extract(I(), V.TASK_PERCENT, 1).try_cast("double")).when(
+            I().rlike(V.TASK_SQUARE_METRE), _number(F.regexp_extract(I(), V.TASK_SQUARE_METRE, 1)) / 14400.0), 4).alias("threshold")).filter(
         "class_name is not null and form is not null and threshold is not null")
     g = d.groupBy("patch_id", "class_name", "threshold").agg(*[F.max_by(F.when(F.col("form") == f, F.col("output")), F.when(F.col("form") == f, F.col("id"))).alias(f) for f in ("ge", "gt", "le", "lt")])
 
@@ -286,8 +299,8 @@ def inclusivity(ann: DataFrame) -> DataFrame:
 def surface_forms(ann: DataFrame) -> DataFrame:
     """Forms seen in tags and options, resolved exactly, by singular/plural, then by token Jaccard."""
     strip = V.QUALIFIER_PHRASE.replace(r"(?i)\b", r"(?i)^") + r"\s+(?:of|in)\s+"
-    refs = F.transform(F.regexp_extract_all(I, F.lit(V.REF_TAG), F.lit(1)), lambda r: F.regexp_replace(F.trim(r), strip, ""))
-    parts = F.flatten(F.transform(questions.options_of(questions.task_segment(I)), lambda o: F.split(o["text"], r"\band\b")))
+    refs = F.transform(F.regexp_extract_all(I(), F.lit(V.REF_TAG), F.lit(1)), lambda r: F.regexp_replace(F.trim(r), strip, ""))
+    parts = F.flatten(F.transform(questions.options_of(questions.task_segment(I())), lambda o: F.split(o["text"], r"\band\b")))
     opts = F.when((F.col("type") == "mcq") & F.col("category").isin("presence", "adjacency"), F.filter(F.transform(parts, F.trim), lambda p: p != "")).otherwise(
         F.array().cast("array<string>"))
     seen = ann.select(F.explode(F.concat(refs, opts)).alias("f")).groupBy(text.normal_form(F.col("f")).alias("form")).agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,22 @@ def level_lookup(code: Column, level: str) -> Column:
 
 def to_level(px: DataFrame, level: str) -> DataFrame:
     """Adds `cls`, the class id at ``level``; -1 has no equivalent there, -2 is unclassified."""
+    return px.select(*px.columns, level_class(F.col("code"), level).alias("cls"))
+
+
+def level_class(code: Column, level: str) -> Column:
     if level not in LEVEL_COLUMN:
         raise ValueError(f"unknown level {level}")
-    code = F.col("code")
     unknown = F.raise_error(F.concat(F.lit("code outside the nomenclature: "), code.cast("string"))).cast("int")
     known = F.coalesce(level_lookup(code, level), unknown)
-    return px.select(*px.columns, F.when(code == V.UNCLASSIFIED_CODE, F.lit(V.UNCLASSIFIED_ID)).otherwise(known).alias("cls"))
+    return F.when(code == V.UNCLASSIFIED_CODE, F.lit(V.UNCLASSIFIED_ID)).otherwise(known)
+
+
+def level_counts(px: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """(patch_id, level, cls, n_px): the pixels are counted once by code, and the counts are mapped to every level."""
+    by_code = px.groupBy("patch_id", "code").agg(F.count("*").alias("n"))
+    mapped = [F.struct(F.lit(level).alias("level"), level_class(F.col("code"), level).alias("cls")) for level in levels]
+    return by_code.select("patch_id", "n", F.inline(F.array(*mapped))).groupBy("patch_id", "level", "cls").agg(F.sum("n").alias("n_px"))
 
 
 def classified(px: DataFrame, level: str) -> DataFrame:

@@ -61,11 +61,7 @@ def j5(spark, sf):
 
 
 def j6(spark, sf):
-    d, out = line_bands(spark, sf), None
-    for kind in V.SPECTRAL_INDICES:
-        one = B.spectral_index(d, kind).agg(F.count("*").alias("n"), F.count("reason").alias("refused"), F.round(F.sum("value"), 6).alias("total")).withColumn("kind", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return B.spectral_indices(line_bands(spark, sf)).groupBy("kind").agg(F.count("*").alias("n"), F.count("reason").alias("refused"), F.round(F.sum("value"), 6).alias("total"))
 
 
 def j7(spark, sf):

@@ -24,12 +24,7 @@ def c2(spark, sf):
 
 
 def c3(spark, sf):
-    px = fx.pixels(spark, sf)
-    out = None
-    for level in dims.LEVELS:
-        one = X.to_level(px, level).groupBy("patch_id", "cls").agg(F.count("*").alias("n_px")).withColumn("level", F.lit(level))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return X.level_counts(fx.pixels(spark, sf), dims.LEVELS)
 
 
 def c4(spark, sf):

@@ -20,7 +20,7 @@ def on(fn, *args):
 
 def i6(spark, sf):
     v = P.vocabulary(fx.open_annotations(spark, sf))
-    return P.overlap(v, "label", "ref").unionByName(P.overlap(v, "label", "option")).unionByName(P.overlap(v, "ref", "option"))
+    return P.overlaps(v, [("label", "ref"), ("label", "option"), ("ref", "option")])
 
 
 QUERIES = {

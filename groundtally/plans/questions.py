@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from groundtally.functions import fixed_values as V
@@ -14,7 +15,10 @@ from groundtally.plans.sqlviews import ANNOTATIONS, chain, first_hit, q
 from groundtally.session import cut_lineage
 from groundtally.sources import fixture as fx
 
-I = F.col("input")
+def I() -> Column:  # noqa: E743
+    """The question text; a function, so that importing needs no session."""
+    return F.col("input")
+
 
 
 def ask(spark, sf):
@@ -26,30 +30,30 @@ def shown(options):
 
 
 def e1(spark, sf):
-    return ask(spark, sf).select("id", Q.stem(I).alias("stem"), Q.option_text(I).alias("segment"))
+    return ask(spark, sf).select("id", Q.stem(I()).alias("stem"), Q.option_text(I()).alias("segment"))
 
 
 def e2(spark, sf):
-    o = Q.options_of(Q.option_text(I))
+    o = Q.options_of(Q.option_text(I()))
     return ask(spark, sf).select("id", shown(o).alias("options"), (F.size(o) == 4).alias("is_mcq"))
 
 
 def e3(spark, sf):
-    return ask(spark, sf).select("id", F.array_join(Q.mentions(I), "; ").alias("whole_word"), F.array_join(Q.mentions(I, "substring"), "; ").alias("substring"))
+    return ask(spark, sf).select("id", F.array_join(Q.mentions(I()), "; ").alias("whole_word"), F.array_join(Q.mentions(I(), "substring"), "; ").alias("substring"))
 
 
 def e4(spark, sf):
-    return ask(spark, sf).select("id", Q.mask_classes(Q.stem(I)).alias("cue"))
+    return ask(spark, sf).select("id", Q.mask_classes(Q.stem(I())).alias("cue"))
 
 
 def e5(spark, sf):
     return ask(spark, sf).select(
-        "id", F.regexp_extract(I, V.POINT_TAG, 1).try_cast("double").alias("x"), F.regexp_extract(I, V.POINT_TAG, 2).try_cast("double").alias("y"),
-        F.regexp_extract(I, V.REF_TAG, 1).alias("ref"))
+        "id", F.regexp_extract(I(), V.POINT_TAG, 1).try_cast("double").alias("x"), F.regexp_extract(I(), V.POINT_TAG, 2).try_cast("double").alias("y"),
+        F.regexp_extract(I(), V.REF_TAG, 1).alias("ref"))
 
 
 def e6(spark, sf):
-    d = ask(spark, sf).withColumns({"cue": Q.mask_classes(Q.stem(I)), "is_mcq": F.size(Q.options_of(Q.option_text(I))) == 4})
+    d = ask(spark, sf).withColumns({"cue": Q.mask_classes(Q.stem(I())), "is_mcq": F.size(Q.options_of(Q.option_text(I()))) == 4})
     return d.select("id", Q.intent_rule(F.col("cue"), F.col("is_mcq")).alias("h")).select("id", "h.intent", "h.rule")
 
 
@@ -58,28 +62,28 @@ def e7(spark, sf):
 
 
 def e8(spark, sf):
-    return ask(spark, sf).select("id", Q.stated_area(I).alias("s")).select("id", "s.raw", "s.unit", "s.value", "s.as_percent")
+    return ask(spark, sf).select("id", Q.stated_area(I()).alias("s")).select("id", "s.raw", "s.unit", "s.value", "s.as_percent")
 
 
 def e9(spark, sf):
-    return ask(spark, sf).select("id", Q.stated_count(I).alias("s")).select("id", "s.raw", "s.value")
+    return ask(spark, sf).select("id", Q.stated_count(I()).alias("s")).select("id", "s.raw", "s.value")
 
 
 def e10(spark, sf):
-    return ask(spark, sf).select("id", Q.comparator(I).alias("free"), Q.comparator(I, V.TASK_COMPARATORS).alias("by_task"))
+    return ask(spark, sf).select("id", Q.comparator(I()).alias("free"), Q.comparator(I(), V.TASK_COMPARATORS).alias("by_task"))
 
 
 def e11(spark, sf):
-    return ask(spark, sf).select("id", Q._number(Q._group(I, V.BETWEEN_RANGE, 1)).alias("lo"), Q._number(Q._group(I, V.BETWEEN_RANGE, 2)).alias("hi"))
+    return ask(spark, sf).select("id", Q._number(Q._group(I(), V.BETWEEN_RANGE, 1)).alias("lo"), Q._number(Q._group(I(), V.BETWEEN_RANGE, 2)).alias("hi"))
 
 
 def e12(spark, sf):
-    return ask(spark, sf).select("id", Q.qualifier(I).alias("qualifier"))
+    return ask(spark, sf).select("id", Q.qualifier(I()).alias("qualifier"))
 
 
 def e13(spark, sf):
-    return ask(spark, sf).select("id", I.rlike(V.COMPLEMENT_CUE).alias("complement"), I.rlike(V.NEGATION_CUE).alias("negated"),
-                                 I.rlike(V.TASK_ONLY_ONE).alias("only_one"), I.rlike(V.TASK_MULTIPLE).alias("multiple"))
+    return ask(spark, sf).select("id", I().rlike(V.COMPLEMENT_CUE).alias("complement"), I().rlike(V.NEGATION_CUE).alias("negated"),
+                                 I().rlike(V.TASK_ONLY_ONE).alias("only_one"), I().rlike(V.TASK_MULTIPLE).alias("multiple"))
 
 
 def e14(spark, sf):
@@ -99,13 +103,13 @@ def e15(spark, sf):
 
 
 def e16(spark, sf):
-    o = ask(spark, sf).filter(F.col("category") == "relative pos").select("id", F.explode(Q.options_of(Q.task_segment(I))).alias("o"))
+    o = ask(spark, sf).filter(F.col("category") == "relative pos").select("id", F.explode(Q.options_of(Q.task_segment(I()))).alias("o"))
     from groundtally.functions.geometry import angular_gap
     return o.select("id", "o.letter", Q.option_direction(F.col("o.text")).alias("direction")).withColumn("gap_to_north", angular_gap(F.col("direction"), F.lit("N")))
 
 
 def e17(spark, sf):
-    return ask(spark, sf).select("id", Q.subject_is_second(I).alias("subject_second"), Q.template_family(I).alias("family"))
+    return ask(spark, sf).select("id", Q.subject_is_second(I()).alias("subject_second"), Q.template_family(I()).alias("family"))
 
 
 def rule_reading(spark, sf):
@@ -117,7 +121,7 @@ def e18(spark, sf):
     """Fit on every train question with a known task, score the validation questions."""
     from groundtally.operators.quality import task_intents
     d = task_intents(ask(spark, sf)).filter("intent is not null").select("id", "split", "input", "intent")
-    model = classify.fit(d.filter(F.col("split") == "train"), "input", "intent")
+    model = classify.fit(d.filter(F.col("split") == "train"), "input", "intent", iterations=10)
     return model.predict(d.filter(F.col("split") == "validation"), "input").select("id", "intent", "predicted")
 
 
@@ -125,7 +129,7 @@ def e18_combined(spark, sf):
     """Rules first, the classifier on what they decline, and both together, over the validation questions."""
     from groundtally.operators.quality import task_intents
     d = task_intents(ask(spark, sf)).filter("intent is not null").select("id", "split", "input", F.col("intent").alias("truth"))
-    model = classify.fit(d.filter(F.col("split") == "train"), "input", "truth")
+    model = classify.fit(d.filter(F.col("split") == "train"), "input", "truth", iterations=10)
     spec = cut_lineage(rule_reading(spark, sf)).join(d.filter(F.col("split") == "validation"), "id")
     residue = model.predict(spec.filter("not parsed").select("id", "input", "truth"), "input").agg(
         F.count("*").alias("n_residue"), F.count_if(F.col("predicted") == F.col("truth")).alias("residue_right"))
