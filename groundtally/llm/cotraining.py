@@ -1,6 +1,6 @@
 """Document quality by co-training: a classifier of the words and one of the page's metadata teach each other.
 
-Each round both views are fitted, judge a pool of unlabelled documents, and hand what they are sure of to
+Each round both views are fitted, judge all unlabelled documents, and hand what they are sure of to
 the other view as labels. At the end held-back labels calibrate the two views into one probability, by
 which all documents are scored. The models are linear and come from pyspark.ml; everything
 runs in DataFrames.
@@ -21,29 +21,28 @@ from groundtally.llm.common import written
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of what the models are fitted on, and of the exchange. Scoring has no bounds."""
+    """Parameters of the fit. Labelled rows are bounded; the exchange takes all unlabelled documents unless ``pool_rows`` is set."""
 
     labelled_rows: int = 12_000
-    pool_rows: int = 12_000
+    pool_rows: int | None = None
     rounds: int = 3
     sure: float = 0.97
     word_features: int = 1 << 13
     name_features: int = 1 << 8
-    iterations: int = 15
-    fit_partitions: int = 4
+    iterations: int = 30
     threshold: float = 0.5
 
 
+#: The plain numbers of the metadata's view.
+_NUMBERS = ("stated", "lines", "capitals", "digits", "marks", "blanks")
+
+
 def _share(pattern: str) -> Column:
     return F.regexp_count("text", F.lit(pattern)) / F.greatest(F.col("length"), F.lit(1))
 
 
-def add_views(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Adds ``words`` and ``meta``, the feature vectors of both views, to (id, text, lang, source, n_chars).
-
-    Words: hashed runs of letters and of marks, and how varied they are. Metadata: language and source by
-    name, and the length and make-up of the page: lines, capitals, digits, marks and blanks.
-    """
+def _measured(docs: DataFrame, settings: Settings) -> DataFrame:
+    """Adds what the views are made of: ``counts`` of words, ``variety``, ``few`` and the columns of ``meta``."""
     text = F.coalesce("text", F.lit(""))
     rows = (docs.withColumn("text", text).withColumn("length", F.char_length("text"))
             .withColumn("tokens", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"), F.lit(0)))
@@ -55,10 +54,23 @@ def add_views(docs: DataFrame, settings: Settings) -> DataFrame:
             .withColumn("capitals", _share("[A-Z]")).withColumn("digits", _share("[0-9]"))
             .withColumn("marks", _share(r"[!-/:-@\[-`{-~]")).withColumn("blanks", _share(r"\s")))
     rows = HashingTF(numFeatures=settings.word_features, inputCol="tokens", outputCol="counts").transform(rows)
+    return HashingTF(numFeatures=settings.name_features, inputCol="names", outputCol="named", binary=True).transform(rows)
+
+
+def _viewed(rows: DataFrame) -> DataFrame:
+    """Adds ``words`` and ``meta`` to measured rows."""
     rows = Normalizer(inputCol="counts", outputCol="shares").transform(rows)
     rows = VectorAssembler(inputCols=["shares", "variety", "few"], outputCol="words").transform(rows)
-    rows = HashingTF(numFeatures=settings.name_features, inputCol="names", outputCol="named", binary=True).transform(rows)
-    return VectorAssembler(inputCols=["named", "stated", "lines", "capitals", "digits", "marks", "blanks"], outputCol="meta").transform(rows)
+    return VectorAssembler(inputCols=["named", *_NUMBERS], outputCol="meta").transform(rows)
+
+
+def add_views(docs: DataFrame, settings: Settings) -> DataFrame:
+    """Adds ``words`` and ``meta``, the feature vectors of both views, to (id, text, lang, source, n_chars).
+
+    Words: hashed runs of letters and of marks, and how varied they are. Metadata: language and source by
+    name, and the length and make-up of the page: lines, capitals, digits, marks and blanks.
+    """
+    return _viewed(_measured(docs, settings))
 
 
 def _sample(rows: DataFrame, most: int) -> DataFrame:
@@ -104,22 +116,27 @@ def narrow(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
     """Fit both views and their combination.
 
-    Labels without an id or class are passed over; of several labels for an id the lowest counts. Texts are
-    read for a bounded, fixed sample of labelled and of unlabelled ids alone. A fifth of the labelled ones
-    is held back from the views and calibrates their combination.
+    Labels without an id or class are passed over; of several labels for an id the lowest counts. The labelled
+    rows are a bounded, fixed sample of ids; a fifth of them is held back from the views and calibrates their
+    combination. Every unlabelled document is judged by both views each round, and all that a view is sure of
+    go to the other one. Texts are read once: what the views are made of is written, with counts in place of
+    shares, which compress better, and the fits read that.
     """
     docs = narrow(docs, id_col)
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("double").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
-    chosen = _sample(known, settings.labelled_rows)
-    pool = _sample(docs.select("id").dropna().distinct().join(known, "id", "left_anti"), settings.pool_rows).withColumn("label", F.lit(None).cast("double"))
-    wanted = written(chosen.unionByName(pool))  # labelled_rows + pool_rows at most
-    sampled = docs.join(F.broadcast(wanted), "id").dropDuplicates(["id"])
-    viewed = add_views(sampled, settings).select("id", "label", "words", "meta").withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0)
-    rows = written(viewed.repartition(settings.fit_partitions, "id"))  # a bounded sample, read by every step of every fit
-    labelled, held = rows.filter("label is not null and not held"), rows.filter("label is not null and held")
+    chosen = _sample(known, settings.labelled_rows).withColumn("part", F.lit("labelled"))
+    unknown = docs.select("id").dropna().distinct().join(known, "id", "left_anti")
+    if settings.pool_rows is not None:
+        unknown = _sample(unknown, settings.pool_rows)
+    pool = unknown.select("id", F.lit(None).cast("double").alias("label"), F.lit("pool").alias("part"))
+    measured = _measured(docs.dropna(subset=["id"]), settings).select("id", "counts", "named", "variety", "few", *_NUMBERS)
+    rows = written(measured.join(chosen.unionByName(pool), "id").dropDuplicates(["id"]).withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0))
+    known_rows = written(rows.filter("part = 'labelled'"))  # bounded, read by every step of every fit
+    seen = lambda r: _viewed(r).select("id", "label", "words", "meta", "held")
+    labelled, held = seen(known_rows.filter("not held")), seen(known_rows.filter("held"))
     if labelled.select("label").distinct().count() < 2 or held.select("label").distinct().count() < 2:
         return QualityModel(settings, {}, None, [])
-    judged = rows.filter("label is null").select("id", "words", "meta")
+    judged = seen(rows.filter("part = 'pool'")).drop("label", "held")
     taught = {"words": labelled, "meta": labelled}
     views: dict[str, LogisticRegressionModel] = {}
     exchanged = []
@@ -128,12 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
         views = {view: _fit(taught[view], view, settings) for view in taught}
         if round_no == settings.rounds - 1:
             break
-        told = written(_judged(judged, views))
+        told = _judged(judged, views)
         gifts = {}
         for giver, taker in (("words", "meta"), ("meta", "words")):
             odds = F.col(f"{giver}_odds")
             gifts[taker] = told.filter(F.abs(odds) >= sure).select("id", (odds > 0).cast("double").alias("label"), "words", "meta", F.lit(False).alias("held"))
-        exchanged.append((gifts["meta"].count(), gifts["words"].count()))
+        given = told.select(*[F.count_if(F.abs(F.col(f"{view}_odds")) >= sure) for view in ("words", "meta")]).first()
+        exchanged.append((given[0], given[1]))
         taught = {view: labelled.unionByName(gifts[view]) for view in taught}
     judged_held = VectorAssembler(inputCols=["words_odds", "meta_odds"], outputCol="both").transform(_judged(held, views))
     combined = LogisticRegression(featuresCol="both", labelCol="label", regParam=1e-4, maxIter=50, rawPredictionCol="both_raw", probabilityCol="both_p", predictionCol="both_guess").fit(judged_held)

@@ -40,6 +40,15 @@ def test_scores_without_labels_or_documents(messy, make_docs, spark):
     assert ct.train(make_docs([]), labels).score(ct.narrow(make_docs([]))).count() == 0
 
 
+def test_all_unlabelled_documents_are_exchanged(spark):
+    rows = spark.range(13_200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("good"))
+    docs = rows.select("doc_id", F.when(F.col("good") == 1, "clear sound prose here").otherwise("BUY CHEAP !!! $$$ 99").alias("text"), F.lit("en").alias("lang"),
+                       F.when(F.col("good") == 1, "books").otherwise("spam").alias("source"), F.lit(20).alias("n_chars"))
+    labels = rows.filter("doc_id < 200").select("doc_id", F.col("good").alias("quality"))
+    model = ct.train(docs, labels, ct.Settings(rounds=2))
+    assert model.exchanged == [(13_000, 13_000)]  # both views are sure of every one of them
+
+
 @needs_tables
 def test_stages_keep_columns_and_decide(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
