@@ -36,6 +36,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, CAPITALS, SMALLS))
 
 
+def digest_of(text: Column) -> Column:
+    """SHA-256 of the text, in hex; null is empty."""
+    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """Arrow-batched map of columns to columns; ``make`` builds the mapper once per task.
 

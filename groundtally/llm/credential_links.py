@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundtally.llm.common import map_rows, written
+from groundtally.llm.common import digest_of, map_rows, written
 
 #: Kinds in their order at one place. The first three are the base detectors'.
 KINDS = ("assign", "access", "hex", "identifier", "secret")
@@ -62,7 +62,7 @@ def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
 
 def _scan():
     def batch(rows: dict) -> dict:
-        out: dict[str, list] = {"id": rows["id"], "base": [], "parts": []}
+        out: dict[str, list] = {"id": rows["id"], "sha": rows["sha"], "base": [], "parts": []}
         for text in rows["text"]:
             text = text or ""
             base = base_spans(text)
@@ -98,14 +98,18 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``spans`` holds the base spans and the linked ones, by start and kind. A null text is empty. Repeated rows and
     null ids are told apart by a row number that is fixed when the scan is written. An empty table gives no rows.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return _scanned(docs.select(docs[id_col].cast("long").alias("id"), F.lit(None).cast("string").alias("sha"), docs[text_col].alias("text")), scope).drop("sha")
+
+
+def _scanned(rows: DataFrame, scope: int) -> DataFrame:
+    """(id, sha, base, spans) of (id, sha, text); the first two are passed on."""
     span = "array<struct<start:int,kind:int,end:int>>"
-    schema = f"id long, base {span}, parts array<struct<role:string,start:int,end:int,passage:int,sure:boolean>>"
+    schema = f"id long, sha string, base {span}, parts array<struct<role:string,start:int,end:int,passage:int,sure:boolean>>"
     found = written(map_rows(rows, schema, _scan).withColumn("row", F.monotonically_increasing_id()))
     more = (linked_parts(found.filter(F.size("parts") > 0).select("row", F.inline("parts")), scope)
             .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")))
     return (found.join(more, "row", "left")
-            .select("id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(span)))).alias("spans")))
+            .select("id", "sha", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(span)))).alias("spans")))
 
 
 def span_digests(scanned: DataFrame) -> DataFrame:
@@ -119,12 +123,13 @@ def span_digests(scanned: DataFrame) -> DataFrame:
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", scope: int = SCOPE, mask: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every reported span replaced by ``mask`` and, if there is such a column, the length set anew.
 
-    Ids are taken to be unique; rows that share one are masked by what is found in any of them, where it is found in them too.
+    Rows meet their spans by id and digest of the text, so that rows without an id or with the same one are each masked by their own.
     """
-    found = scan_secrets(docs, id_col, text_col, scope).filter(F.size("spans") > 0)
-    hits = found.select(F.col("id").alias("hit_id"), F.col("spans").alias("hit_spans")).dropDuplicates(["hit_id"])
-    packed = docs.select(F.struct("*").alias("doc"), docs[id_col].cast("long").alias("doc_key"))
-    joined = packed.join(hits, packed.doc_key.eqNullSafe(hits.hit_id), "left")
+    number, digest = docs[id_col].cast("long"), digest_of(docs[text_col])
+    key = lambda i, sha: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), sha)
+    found = _scanned(docs.select(number.alias("id"), digest.alias("sha"), docs[text_col].alias("text")), scope).filter(F.size("spans") > 0)
+    hits = found.select(key(F.col("id"), F.col("sha")).alias("doc_key"), F.col("spans").alias("hit_spans")).dropDuplicates(["doc_key"])
+    joined = docs.select(F.struct("*").alias("doc"), key(number, digest).alias("doc_key")).join(hits, "doc_key", "left")
     text = F.col("doc").getField(text_col)
     state = F.aggregate(
         F.col("hit_spans"), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),

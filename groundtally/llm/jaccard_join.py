@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from groundtally.llm.common import written
+from groundtally.llm.common import digest_of, written
 
 WORDS, PER_CENT = 5, 75
 #: How many frequent shingles are told apart in the global order, and how often one must occur in
@@ -106,8 +107,12 @@ def _batches(rows: list[tuple], types: dict) -> pa.RecordBatch:
 
 
 def name_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds from one scan: documents (id, n, set, sketch) and counts of shingles frequent in a chunk (shingle, count)."""
-    types = {"kind": pa.int32(), "id": pa.int64(), "n": pa.int64(), "set_name": pa.int64(), "sketch": pa.binary()}
+    """Rows of two kinds from one scan: documents (id, n, set, sketch) and counts of shingles frequent in a chunk (shingle, count).
+
+    An id may be of any type; it is passed on.
+    """
+    kind_of_id = docs.schema[0].dataType
+    types = {"kind": pa.int32(), "id": to_arrow_type(kind_of_id), "n": pa.int64(), "set_name": pa.int64(), "sketch": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -133,7 +138,7 @@ def name_sets(docs: DataFrame, words: int) -> DataFrame:
             counted()
         yield _batches(rows, types)
 
-    return docs.mapInArrow(run, "kind int, id long, n long, set_name long, sketch binary")
+    return docs.mapInArrow(run, f"kind int, id {kind_of_id.simpleString()}, n long, set_name long, sketch binary")
 
 
 def least_overlap(a: Column, b: Column, per_cent: int) -> Column:
@@ -398,8 +403,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which each component keeps the one with the smallest id; rows without a set all stay."""
-    found = jaccard_components(docs, id_col, text_col)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id")).distinct()
-    packed = docs.select(F.struct("*").alias("doc"), docs[id_col].alias("doc_key"))
-    return packed.join(kept, packed.doc_key.eqNullSafe(kept.kept_id), "left_semi").select("doc.*")
+    """The rows of ``docs`` of which each component keeps the one with the smallest id; rows without a set all stay.
+
+    Rows are told apart by id and digest of the text. A null id comes after any other, and among equal ids the
+    smallest digest stays; of repeated rows one stays.
+    """
+    number, digest = docs[id_col].cast("long"), digest_of(docs[text_col])
+    key = lambda i, sha: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), sha)
+    named, roots = similar_sets(docs.select(F.struct(number.alias("id"), digest.alias("sha")).alias("id"), docs[text_col].alias("text")))
+    order = F.struct(F.col("id.id").isNull().alias("lost"), F.col("id.id").alias("id"), F.col("id.sha").alias("sha"))
+    by_set = named.filter("n > 0").groupBy("set_name").agg(F.min(order).alias("least"))
+    rooted = by_set.join(roots.withColumnRenamed("node", "set_name"), "set_name", "left").withColumn("root", F.coalesce("root", "set_name"))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("least")).select(key(F.col("least.id"), F.col("least.sha")).alias("doc_key"), F.lit(True).alias("one"))
+    bare = named.filter("n = 0").select(key(F.col("id.id"), F.col("id.sha")).alias("doc_key"), F.lit(False).alias("one")).distinct()
+    packed = docs.select(F.struct("*").alias("doc"), key(number, digest).alias("doc_key")).withColumn("row", F.monotonically_increasing_id())
+    kept = packed.join(firsts.unionByName(bare), "doc_key").withColumn("row", F.when(F.col("one"), F.lit(-1)).otherwise(F.col("row")))
+    return kept.dropDuplicates(["doc_key", "row"]).select("doc.*")

@@ -76,6 +76,19 @@ def test_one_document_of_each_component_stays(messy, make_docs):
     assert j.jaccard_components(make_docs([])).count() == 0
 
 
+def test_near_copies_without_an_id_or_with_the_same_one(make_docs):
+    words = [f"w{i}" for i in range(100)]
+    near = lambda k, mark: " ".join(words[:k] + [mark] + words[k + 1:])
+    other = " ".join(f"v{i}" for i in range(60))
+    copies = [(None, near(5, "x")), (None, near(50, "y")), (None, near(5, "x"))]
+    blank = [(None, ""), (None, None), (None, "")]
+    left = lambda rows: sorted(((r.doc_id, r.text) for r in j.one_of_each(make_docs(rows)).collect()), key=repr)
+    alone = left([*copies, (None, other), *blank])
+    assert len(alone) == 5 and (None, other) in alone and len({t for _, t in alone if t and t != other}) == 1
+    assert left([*copies, (7, near(20, "z")), (7, other)]) == sorted([(7, near(20, "z")), (7, other)], key=repr)
+    assert left([(3, near(5, "x")), (7, near(50, "y")), (7, other)]) == [(3, near(5, "x")), (7, other)]
+
+
 def test_hashes_tell_sets_apart():
     make = j.Shingler(5)
     assert make(" A b\tc\n\nd  e ").tolist() == make("a b c d e").tolist()

@@ -121,3 +121,11 @@ def test_masking_leaves_all_else(messy, make_docs):
     want = [(i, "[SECRET]" if t == "a" * 200_000 else t) for i, t in messy_texts()]  # a long run of hex digits
     assert sorted(((r.doc_id, r.text) for r in same.collect()), key=repr) == sorted(want, key=repr)
     assert cl.scan_secrets(make_docs([])).count() == 0 and cl.mask_secrets(make_docs([])).count() == 0
+
+
+def test_rows_that_share_an_id_are_masked_by_their_own_spans(make_docs):
+    rows = [(None, "token: firstsecret1 and prose after it"), (None, "a longer start, then password=othersecret2"), (None, "nothing to hide in this text"),
+            (4, "api_key=abcdef123 x"), (4, "some text with secret: zyxwvu987"), (4, None)]
+    got = sorted(((r.doc_id, r.text) for r in cl.mask_secrets(make_docs(rows)).collect()), key=repr)
+    want = [(None, "[SECRET] and prose after it"), (None, "a longer start, then [SECRET]"), (None, "nothing to hide in this text"), (4, "[SECRET] x"), (4, "some text with [SECRET]"), (4, None)]
+    assert got == sorted(want, key=repr)
