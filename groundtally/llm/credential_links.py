@@ -24,13 +24,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
-#: Weak parts: patterns by role. A bare secret needs a digit and letters beside its length.
+#: Weak parts: patterns by role. A bare secret needs a digit and letters beside its length, and is no part of an endpoint.
 _WEAK = {
     "identifier": re.compile(r"""(?:\b(?:ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,}\b|\bAKIA[A-Z0-9]{8,15}\b|\b(?:client_?id|access_?key_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[\w.@-]{3,})""", re.I | re.A),
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,80}[0-9])(?=[A-Za-z0-9+/_-]{0,80}[A-Za-z])[A-Za-z0-9+/_-]{28,80}={0,2}(?![A-Za-z0-9+/_=-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{28,}={0,2}(?![A-Za-z0-9+/_=-])"),
     "endpoint": re.compile(r"\b(?:[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]+|(?:host|endpoint|server|base_?url)[\"']?\x20*[:=]\x20*[\"']?[\w.-]+(?::\d+)?)", re.I | re.A),
 }
-_WEAK_HINTS = re.compile(r"[A-Za-z0-9+/_-]{28}|[:=]|://")
+#: Every link has a secret in it: a base span or a run of this length.
+_WEAK_HINTS = re.compile(r"[A-Za-z0-9+/_-]{28}")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -45,13 +47,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _bare_secrets(text: str, endpoints: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of bare secrets, without those inside an endpoint unless they are its user's (before an @)."""
+    out, k = [], 0
+    for m in _WEAK["secret"].finditer(text):
+        start, end = m.span()
+        if not (_DIGIT.search(text, start, end) and _LETTER.search(text, start, end)):
+            continue
+        while k < len(endpoints) and endpoints[k][1] <= start:
+            k += 1
+        inside = k < len(endpoints) and endpoints[k][0] <= start and end <= endpoints[k][1]
+        if inside and text[end:end + 1] == "@" and text.startswith("//", start):
+            start += 2
+        if (not inside or text[end:end + 1] == "@") and end - start >= 28:
+            out.append((start, end))
+    return out
+
+
 def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Parts with their role, and the number of the passage (between empty lines) that holds them."""
-    if not _WEAK_HINTS.search(text):
+    if not base and not _WEAK_HINTS.search(text):
         return []
     starts = [m.end() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
     parts, passage = [], 0
-    found = [(m.start(), m.end(), role, False) for role, pattern in _WEAK.items() for m in pattern.finditer(text)]
+    found = [(m.start(), m.end(), role, False) for role in ("identifier", "endpoint") for m in _WEAK[role].finditer(text)]
+    found += [(s, e, "secret", False) for s, e in _bare_secrets(text, [f[:2] for f in found if f[2] == "endpoint"])]
     found += [(s, e, "identifier" if kind == 1 else "secret", True) for s, kind, e in base]
     for start, end, role, sure in sorted(found):
         while passage < len(starts) and starts[passage] <= start:
@@ -81,9 +101,10 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     A secret is completed by an identifier or an endpoint, an identifier by a secret. The join's key
     is the document's row, the passage and a stretch of ``scope`` code points; every part reaches into its own stretch
-    and the next ones on both sides, so a key holds a bounded number of parts.
+    and the next ones on both sides, so a key holds a bounded number of parts. A weak part of any length is looked for
+    at its start and at its end, and may come out once for each.
     """
-    weak = parts.filter("not sure and role <> 'endpoint'").withColumn("cell", F.floor(F.col("start") / scope))
+    weak = parts.filter("not sure and role <> 'endpoint'").withColumn("cell", F.explode(F.array_distinct(F.array(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)))))
     around = parts.select("row", "passage", F.col("role").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"),
                           F.explode(F.sequence(F.floor(F.col("start") / scope) - 2, F.floor(F.col("end") / scope) + 1)).alias("cell"))
     completes = ((F.col("role") == "secret") & F.col("other").isin("identifier", "endpoint")) | ((F.col("role") == "identifier") & (F.col("other") == "secret"))
@@ -107,7 +128,7 @@ def _scanned(rows: DataFrame, scope: int) -> DataFrame:
     schema = f"id long, sha string, base {span}, parts array<struct<role:string,start:int,end:int,passage:int,sure:boolean>>"
     found = written(map_rows(rows, schema, _scan).withColumn("row", F.monotonically_increasing_id()))
     more = (linked_parts(found.filter(F.size("parts") > 0).select("row", F.inline("parts")), scope)
-            .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")))
+            .groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more")))
     return (found.join(more, "row", "left")
             .select("id", "sha", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(span)))).alias("spans")))
 
