@@ -12,6 +12,7 @@ from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundtally.session import cut_lineage
 from groundtally.sources.tables import fingerprint
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -62,10 +63,11 @@ class TextClassifier:
         return TextClassifier(PipelineModel.load(f"{path}/counts").stages[0], list(rest["idf"]), OneVsRestModel.load(f"{path}/svm"), list(rest["labels"]), rest["train_hash"])
 
 
-def fit(train: DataFrame, text: str, label: str, max_terms: int = DEFAULT_TERMS, iterations: int = 100) -> TextClassifier:
+def fit(train: DataFrame, text: str, label: str, max_terms: int = DEFAULT_TERMS, iterations: int = 5000) -> TextClassifier:
     """Word 1-2-gram weights as in :func:`term_weights`, accents stripped, and one linear SVM per label.
 
-    ``max_terms`` bounds the vocabulary, most frequent first. A single label is refused.
+    ``max_terms`` bounds the vocabulary, most frequent first. A single label is refused. The tolerance ends a fit,
+    ``iterations`` being far beyond; features are written once for all labels.
     """
     rows = train.select(F.col(text).alias("_text"), F.col(label).alias("_label")).dropna()
     index = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc").fit(rows)
@@ -76,7 +78,7 @@ def fit(train: DataFrame, text: str, label: str, max_terms: int = DEFAULT_TERMS,
     idf = IDF(inputCol="_counts", outputCol="_idf").fit(counts.transform(termed)).idf
     half = TextClassifier(counts, [float(x) + 1 for x in idf], None, list(index.labels), fingerprint(rows, ["_text", "_label"]).first()["digest_sum"])
     svm = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=1e-4), featuresCol="_features", labelCol="_index", predictionCol="_prediction", parallelism=8)
-    half.svm = svm.fit(half.features(termed.drop("_terms"), "_text").select("_features", "_index"))
+    half.svm = svm.fit(cut_lineage(half.features(termed.drop("_terms"), "_text").select("_features", "_index")))
     return half
 
 

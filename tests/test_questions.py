@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import inspect
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from groundtally.functions import questions as Q
+from groundtally.operators import classify
+from groundtally.plans import answers, questions
+
+SF = "/root/testdata/sf0.001"
 
 GOLDEN = [
     ("Is there any arable land in the image?", "presence"),
@@ -94,3 +101,18 @@ def test_inverted_subject(spark):
             ("What is the direction from the lake to the city?", True), ("Where is the city? a) relative to", False)]
     df = spark.createDataFrame(rows, "t string, want boolean").withColumn("got", Q.subject_is_second(F.col("t")))
     assert all(r.got == r.want for r in df.collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_registered_classifiers_leave_the_stop_to_the_tolerance(spark, monkeypatch):
+    asked, least = [], inspect.signature(classify.fit).parameters["iterations"].default
+
+    def note(*args, iterations=least, **kwargs):
+        asked.append(iterations)
+        raise InterruptedError
+
+    monkeypatch.setattr(classify, "fit", note)
+    for query in (questions.e18, questions.e18_combined, answers.f14):
+        with pytest.raises(InterruptedError):
+            query(spark, SF)
+    assert asked == [least] * 3 and least >= 5000  # the reference's limit
