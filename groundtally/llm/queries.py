@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundtally.llm.common import table
+from groundtally.llm.common import lower_ascii, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +76,24 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train(docs, table(spark, sf_dir, "labels")).score(narrow(docs)).withColumnRenamed("id", "doc_id")
 
 
+def tampered_leaf(docs: DataFrame) -> Column:
+    """The leaf of a row whose text's A-Z were lower-cased; null where 5 doesn't divide the id's checksum, or there is no id."""
+    from groundtally.llm.merkle_manifest import leaf_digest
+
+    changed = leaf_digest(docs["doc_id"], docs["source"], docs["lang"], docs["n_chars"], lower_ascii(docs["text"]))
+    return F.when(F.crc32(F.encode(docs["doc_id"].cast("string"), "UTF-8")) % 5 == 0, changed)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundtally.llm.merkle_manifest import build_manifest, proofs
+
+    docs = table(spark, sf_dir, "documents")
+    made = build_manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], claimed=tampered_leaf(docs))
+    return proofs(made).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_token_store, op4_ngram_jaccard_join, op5_page_diff,
-                                     op6_bpe_transducer, op7_chat_rotation, op8_best_fit_packing, op9_credential_links, op10_cotraining)}
+                                     op6_bpe_transducer, op7_chat_rotation, op8_best_fit_packing, op9_credential_links, op10_cotraining, op13_merkle_manifest)}
 
 SMALLS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANKS = r"[^\x20\x09-\x0D]+"
@@ -119,3 +135,39 @@ ORACLES = {
               FROM q GROUP BY ALL)
         SELECT *, CAST(coalesce(sum(n_chars) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM r""",
 }
+
+
+def _merkle_sql() -> str:
+    """Trees level by level (8 inside a source, 5 over sources); a group with one node left is passed on unchanged."""
+    field = lambda v: f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen(CAST({v} AS VARCHAR)) || ':' || {v} END"
+    leaf = lambda text: "sha256(" + " || ".join(field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+               lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+               lambda a, _: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+    parts = [f"""leaf AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, '') AS grp, {leaf('text')} AS leaf,
+                   CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(small)} ELSE {leaf('text')} END AS claimed FROM documents)""",
+             "p0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, claimed AS node, '' AS proof FROM leaf)",
+             "n0 AS MATERIALIZED (SELECT grp, i, leaf AS d, count(*) OVER (PARTITION BY grp) AS cnt FROM p0)"]
+
+    def climb(k: int) -> None:
+        """Runs ``r`` of level k, the nodes of the next level, and every row's way one level up."""
+        parts.append(f"r{k} AS MATERIALIZED (SELECT grp, i // 16 AS run, list(d ORDER BY i) AS ds, max(cnt) AS cnt FROM n{k} GROUP BY ALL)")
+        parts.append(f"""n{k + 1} AS MATERIALIZED (SELECT grp, run AS i, CASE WHEN cnt = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d,
+                           count(*) OVER (PARTITION BY grp) AS cnt FROM r{k})""")
+        before, after = "array_to_string(ds[1:i % 16], '')", "array_to_string(ds[i % 16 + 2:], '')"
+        parts.append(f"""p{k + 1} AS MATERIALIZED (SELECT p.* REPLACE (i // 16 AS i, CASE WHEN cnt = 1 THEN node ELSE sha256({before} || node || {after}) END AS node,
+                           proof || {before} || {after} AS proof) FROM p{k} p JOIN r{k} r ON p.grp = r.grp AND p.i // 16 = r.run)""")
+
+    for k in range(8):
+        climb(k)
+    parts.append("roots AS MATERIALIZED (SELECT grp AS member, d AS subroot, row_number() OVER (ORDER BY grp) - 1 AS g FROM n8)")
+    parts.append("n9 AS MATERIALIZED (SELECT '' AS grp, g AS i, subroot AS d, count(*) OVER () AS cnt FROM roots)")
+    parts.append("p9 AS MATERIALIZED (SELECT p.* REPLACE ('' AS grp, g AS i), subroot FROM p8 p JOIN roots ON grp = member)")
+    for k in range(9, 14):
+        climb(k)
+    return f"""WITH {", ".join(parts)} SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = d AS verified
+               FROM p14 JOIN n14 USING (grp, i)"""
+
+
+ORACLES["op13_merkle_manifest"] = _merkle_sql()
