@@ -76,6 +76,37 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train(docs, table(spark, sf_dir, "labels")).score(narrow(docs)).withColumnRenamed("id", "doc_id")
 
 
+def plant_period(doc_id: int | None, words: list[str]) -> list[str]:
+    """The contract's planted runs: in a tenth of all documents the rest of the text repeats a stretch of it. None without an id."""
+    import zlib
+
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    """The strongest run (by exact length / period, then start, then period) and digests of all runs and of the collapsed text."""
+    stronger = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    best = F.aggregate(F.col("runs"), F.get("runs", F.lit(0)), stronger)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))
+    sha = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return found.withColumn("best", best).select(
+        "id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        sha(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundtally.llm.periodic_runs import periodic_runs
+
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=plant_period)).withColumnRenamed("id", "doc_id")
+
+
 def tampered_leaf(docs: DataFrame) -> Column:
     """The leaf of a row whose text's A-Z were lower-cased; null where 5 doesn't divide the id's checksum, or there is no id."""
     from groundtally.llm.merkle_manifest import leaf_digest
@@ -93,7 +124,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_token_store, op4_ngram_jaccard_join, op5_page_diff,
-                                     op6_bpe_transducer, op7_chat_rotation, op8_best_fit_packing, op9_credential_links, op10_cotraining, op13_merkle_manifest)}
+                                     op6_bpe_transducer, op7_chat_rotation, op8_best_fit_packing, op9_credential_links, op10_cotraining, op11_periodic_runs, op13_merkle_manifest)}
 
 SMALLS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANKS = r"[^\x20\x09-\x0D]+"
