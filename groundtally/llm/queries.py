@@ -107,6 +107,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=plant_period)).withColumnRenamed("id", "doc_id")
 
 
+def id_digests(found: DataFrame) -> DataFrame:
+    sha = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return found.select("id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+                        sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op12_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundtally.llm.chunk_reuse import decode_ids, encode_texts
+    from groundtally.llm.tokens import vocabulary_path
+
+    path = vocabulary_path("word_bpe_49k.json")
+    return id_digests(decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)).withColumnRenamed("id", "doc_id")
+
+
 def tampered_leaf(docs: DataFrame) -> Column:
     """The leaf of a row whose text's A-Z were lower-cased; null where 5 doesn't divide the id's checksum, or there is no id."""
     from groundtally.llm.merkle_manifest import leaf_digest
@@ -124,7 +138,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_token_store, op4_ngram_jaccard_join, op5_page_diff,
-                                     op6_bpe_transducer, op7_chat_rotation, op8_best_fit_packing, op9_credential_links, op10_cotraining, op11_periodic_runs, op13_merkle_manifest)}
+                                     op6_bpe_transducer, op7_chat_rotation, op8_best_fit_packing, op9_credential_links, op10_cotraining, op11_periodic_runs, op12_chunk_reuse, op13_merkle_manifest)}
 
 SMALLS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANKS = r"[^\x20\x09-\x0D]+"
