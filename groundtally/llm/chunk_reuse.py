@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 
 from groundtally.llm.common import written
 
-#: Characters the rolling hash sees, least length of a chunk, and the part of all places that are cuts (1 in 2^8).
-WINDOW, LEAST_CHUNK, CUT_BITS = 32, 64, 8
+#: Characters the rolling hash sees, least length of a chunk, and the part of all places that are cuts (1 in 2^9). A shared chunk costs its digest and
+#: its row twice in a shuffle, and its document moves; shorter chunks would save less encoding than that.
+WINDOW, LEAST_CHUNK, CUT_BITS = 32, 128, 9
 #: Slots of the table that tells chunks met once from others, one bit each: 8 MB whatever the corpus. A fuller table moves more chunks and changes no result.
 SLOTS, SLOTS_A_ROW = 1 << 26, 1 << 15
-WORDS_REMEMBERED = 400_000
+#: Words and digests of chunks that a worker remembers, in each generation.
+WORDS_REMEMBERED, CHUNKS_REMEMBERED = 150_000, 100_000
 #: Characters of text after which a task hands its rows on.
-HANDED_ON = 4_000_000
+HANDED_ON = 2_000_000
 
 _RARE_SPACE = re.compile("[\x1c-\x1f]")  # str.split() takes these for blanks, tokenizers don't
 _BLANKS = re.compile(r"[ \t\n\r]+")
@@ -213,7 +215,10 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with shared chunks: those by digest, with their text the first time a task meets them, and encoded text between them."""
+        """Rows with shared chunks: those by digest, with their text the first time a task meets them, and encoded text between them.
+
+        The id stands at a row's first piece alone.
+        """
         own, met, told = coder(path), shared.value, set()
         for batch in batches:
             types = [pa.binary(), batch.column("id").type, pa.int32(), pa.binary(), pa.string(), pa.string(), pa.binary(), pa.string()]
@@ -230,12 +235,12 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                         between.append(chunk)
                         continue
                     if between:
-                        rows.append((row, i.as_py(), len(rows) - first, None, None, *encode_piece("".join(between), own)))
+                        rows.append((row, i.as_py() if len(rows) == first else None, len(rows) - first, None, None, *encode_piece("".join(between), own)))
                         between = []
                     if digest:
-                        if len(told) >= WORDS_REMEMBERED:
+                        if len(told) >= CHUNKS_REMEMBERED:
                             told.clear()
-                        rows.append((row, i.as_py(), len(rows) - first, digest, None if digest in told else chunk, None, None, None))
+                        rows.append((row, i.as_py() if len(rows) == first else None, len(rows) - first, digest, None if digest in told else chunk, None, None, None))
                         told.add(digest)
                 held += len(text)
                 if held > HANDED_ON:
@@ -272,7 +277,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if row is not None:
             yield pa.RecordBatch.from_arrays([pa.array([*ids, i], kinds), _id_lists([*out, joiner.finish()], own.kind)], names=["id", "ids"])
 
-    pieces = written(texts.mapInArrow(in_pieces, PIECES.format(id=kind)))
+    pieces = written(texts.mapInArrow(in_pieces, PIECES.format(id=kind)), "zstd")
     encoded = pieces.filter("chunk is not null").select("digest", "chunk").distinct().mapInArrow(
         encode_chunks, "digest binary, head string, ids binary, tail string")
     moved = pieces.filter("digest is not null").select("row", "id", "place", "digest").join(encoded, "digest")
