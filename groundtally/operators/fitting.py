@@ -68,25 +68,11 @@ def sweep_interval_rule(items: DataFrame, facts: DataFrame) -> DataFrame:
     return scoring.per_group_accuracy(d.select("class_name", F.explode(rows).alias("x")).select("class_name", "x.*"), "class_name", "rule")
 
 
-def contact_radius(px: DataFrame, level: str = "c19", radii: tuple[int, ...] = RADII) -> DataFrame:
-    """Smallest radius of the list at which A dilated reaches B, for all ordered class pairs in one pass."""
-    need = {(dy, dx): min(k for k in radii if dy * dy + dx * dx <= k * k) for dy, dx in regions.disk_offsets(max(radii))}
-    rows = F.expr("array(" + ", ".join(f"named_struct('dy', {dy}, 'dx', {dx}, 'k', {k})" for (dy, dx), k in need.items()) + ")")
-    told = taxonomy.classified(px, level).select("patch_id", "row", "col", "cls", F.explode(rows).alias("o")).select(
-        "patch_id", (F.col("row") + F.col("o.dy")).alias("row"), (F.col("col") + F.col("o.dx")).alias("col"), "cls", F.col("o.k").alias("k"),
-        ((F.col("o.dy") == 0) & (F.col("o.dx") == 0)).alias("own"))
-    near = told.groupBy("patch_id", "row", "col", "cls").agg(F.min("k").alias("k"), F.max("own").alias("own"))
-    cell = near.groupBy("patch_id", "row", "col").agg(
-        F.max(F.when(F.col("own"), F.col("cls"))).alias("class_b"), F.collect_list(F.struct("cls", "k")).alias("reach"))  # at most 44 classes
-    return cell.filter("class_b is not null and size(reach) > 1").select("patch_id", "class_b", F.explode("reach").alias("r")).filter(
-        "r.cls <> class_b").groupBy("patch_id", F.col("r.cls").alias("class_a"), "class_b").agg(F.min("r.k").alias("radius"))
-
-
 def sweep_dilation(ann: DataFrame, px: DataFrame, radii: tuple[int, ...] = RADII) -> DataFrame:
     """Accuracy of released yes/no adjacency answers at every dilation radius."""
     d = answers._tasks(answers.parsed_questions(ann), "binary|adjacency").filter(F.size("classes") == 2)
     d = d.select("id", "patch_id", F.get("classes", F.lit(0)).alias("name_a"), F.get("classes", F.lit(1)).alias("name_b"), "output")
-    touch = answers.named_pairs(contact_radius(px, radii=radii)).select("patch_id", "name_a", "name_b", "radius")
+    touch = answers.named_pairs(regions.contact_radius(px, radii)).select("patch_id", "name_a", "name_b", "radius")
     d = d.join(touch, ["patch_id", "name_a", "name_b"], "left").withColumn("k", F.explode(dims.literal_array(radii)))
     adjacent = F.coalesce(F.col("radius") <= F.col("k"), F.lit(False))
     hit = d.select("k", F.concat_ws("|", "name_a", "name_b").alias("pair"), (adjacent == (F.col("output") == "yes")).alias("hit"))

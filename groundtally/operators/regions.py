@@ -9,11 +9,12 @@ than a block needs no second step at all.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundtally.functions import fixed_values as V
@@ -56,8 +57,14 @@ def disk_offsets(radius: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r]
 
 
-def _offsets(radius: int):
-    return F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disk_offsets(radius)])
+def disk_rows(radius: int) -> list[tuple[int, int]]:
+    """(dy, half-width) of every row of a disk."""
+    r = max(radius, 0)
+    return [(dy, math.isqrt(r * r - dy * dy)) for dy in range(-r, r + 1)]
+
+
+def _rows_of(rows: list[tuple[int, int]]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(half).alias("half")) for dy, half in rows])).alias("o")
 
 
 # ------------------------------------------------------------------------------ masks and runs
@@ -87,24 +94,26 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     )
 
 
-def open_mask(mask: DataFrame, radius: int, shapes: DataFrame | None = None) -> DataFrame:
-    """Morphological opening with a disk: a pixel survives erosion when its whole disk is mask."""
+def open_runs(runs: DataFrame, radius: int) -> DataFrame:
+    """Morphological opening with a disk, on maximal runs: a pixel survives erosion when its whole disk is mask.
+
+    A run erodes each row of the disk's reach to the run less the disk's half-width there, and each row of the disk gives a column at
+    most once; so columns met by all rows of the disk are eroded mask, counted along the ends of these intervals. The
+    dilation is the union of the eroded runs, widened. An opened set lies inside the mask, so nothing has to be clipped to the raster.
+    """
     if radius <= 0:
-        return mask
-    size = len(disk_offsets(radius))
-    at = mask.select("patch_id", "cls", "row", "col", F.explode(_offsets(radius)).alias("o"))
-    eroded = (
-        at.groupBy("patch_id", "cls", (F.col("row") - F.col("o.dy")).alias("row"),
-                   (F.col("col") - F.col("o.dx")).alias("col"))
-        .agg(F.count("*").alias("n")).filter(F.col("n") == size)
-    )
-    # An opened set lies inside the mask, so the dilation needs no clipping to the raster.
-    return (
-        eroded.select("patch_id", "cls", "row", "col", F.explode(_offsets(radius)).alias("o"))
-        .select("patch_id", (F.col("row") + F.col("o.dy")).alias("row"),
-                (F.col("col") + F.col("o.dx")).alias("col"), "cls")
-        .distinct()
-    )
+        return runs.select(*RUN_KEYS, "row", "c0", "c1")
+    disk = disk_rows(radius)
+    met = runs.select(*RUN_KEYS, "row", "c0", "c1", _rows_of(disk)).select(
+        *RUN_KEYS, (F.col("row") - F.col("o.dy")).alias("row"), (F.col("c0") + F.col("o.half")).alias("c0"), (F.col("c1") - F.col("o.half")).alias("c1"))
+    ends = met.filter("c0 <= c1").select(*RUN_KEYS, "row", F.explode(F.array(
+        F.struct(F.col("c0").alias("at"), F.lit(1).alias("step")), F.struct((F.col("c1") + 1).alias("at"), F.lit(-1).alias("step")))).alias("e"))
+    w = Window.partitionBy(*RUN_KEYS, "row").orderBy("at")
+    depth = (ends.groupBy(*RUN_KEYS, "row", F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"))
+             .select(*RUN_KEYS, "row", "at", F.sum("step").over(w).alias("depth"), F.lead("at").over(w).alias("next")))
+    eroded = depth.filter(F.col("depth") == len(disk)).select(*RUN_KEYS, "row", F.col("at").alias("c0"), (F.col("next") - 1).alias("c1"))
+    return merge_runs(eroded.select(*RUN_KEYS, "row", "c0", "c1", _rows_of(disk)).select(
+        *RUN_KEYS, (F.col("row") + F.col("o.dy")).alias("row"), (F.col("c0") - F.col("o.half")).alias("c0"), (F.col("c1") + F.col("o.half")).alias("c1")))
 
 
 def gap_runs(runs: DataFrame) -> DataFrame:
@@ -302,10 +311,11 @@ def mmu_filter(regions: DataFrame, mmu_px: int) -> tuple[DataFrame, DataFrame]:
 class LevelRuns:
     """The runs of a level, written once: all that measurements need of the pixels.
 
-    ``runs`` holds the classified runs after opening, ``shapes`` the raster sizes, ``side`` the longest side.
+    ``runs`` holds the classified runs after opening, ``raw`` those before it, ``shapes`` the raster sizes, ``side`` the longest side.
     """
 
     runs: DataFrame
+    raw: DataFrame
     shapes: DataFrame
     side: int
 
@@ -315,14 +325,8 @@ def level_runs(px: DataFrame, level: str = "c19", opening_px: int = 0) -> LevelR
     coded = taxonomy.to_level(px, level).select("patch_id", "row", "col", "cls")
     every = cut_lineage(class_runs(coded))
     shapes = every.groupBy("patch_id").agg((F.max("row") + 1).alias("h"), (F.max("c1") + 1).alias("w"))
-    runs = every.filter("cls >= 0")
-    if opening_px:
-        runs = cut_lineage(class_runs(open_mask(run_pixels(runs), opening_px)))
-    return LevelRuns(runs, shapes, longest_side(every))
-
-
-def run_pixels(runs: DataFrame) -> DataFrame:
-    return runs.select("patch_id", "cls", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    raw = every.filter("cls >= 0")
+    return LevelRuns(cut_lineage(open_runs(raw, opening_px)) if opening_px else raw, raw, shapes, longest_side(every))
 
 
 def label_regions(px: DataFrame | LevelRuns, level: str = "c19", params: MeasureParams | None = None, *, fill: bool = True,
@@ -364,20 +368,65 @@ def class_facts(regions: DataFrame, shapes: DataFrame, gsd_m: float = V.GSD_M) -
         "box_row", "box_col", "h", "w")
 
 
-def adjacency(px: DataFrame, level: str = "c19", radius: int = V.DILATION_PX) -> DataFrame:
+# ------------------------------------------------------------------------------ contacts
+#: Columns of a cell; runs of neighbouring rows meet inside cells, so a cell holds at most this many runs of a row.
+CELL = 64
+
+
+def _in_cells(lo: Column, hi: Column) -> Column:
+    return F.explode(F.sequence(F.floor(F.greatest(lo, F.lit(0)) / CELL).cast("int"), F.floor(hi / CELL).cast("int"))).alias("cell")
+
+
+def row_meetings(runs: DataFrame, rows: list[tuple[int, int]]) -> DataFrame:
+    """Overlap join of runs with the runs of neighbouring rows, by column intervals.
+
+    Every run visits the rows ``dy`` away, widened by ``half`` for each (dy, half), and stays in its own row too; whom it meets in
+    a cell of :data:`CELL` columns is (patch_id, row, cell, a, b), ``a`` being the visitor (cls, c0, c1, dy, lo, hi) and ``b`` (cls, c0, c1).
+    Ends are those of whole runs, ``lo`` and ``hi`` those of the widened visitor; a pair that meets in several cells comes from each of them.
+    """
+    stay, visit = F.lit(None).cast("int"), F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(half).alias("half")) for dy, half in rows])
+    told = runs.select("patch_id", "cls", "row", "c0", "c1", F.explode(F.concat(
+        F.array(F.struct(stay.alias("dy"), F.lit(0).alias("half"))), visit)).alias("o")).select(
+        "patch_id", (F.col("row") + F.coalesce("o.dy", F.lit(0))).alias("row"), "cls", "c0", "c1", F.col("o.dy").alias("dy"),
+        (F.col("c0") - F.col("o.half")).alias("lo"), (F.col("c1") + F.col("o.half")).alias("hi"))
+    placed = told.select("*", _in_cells(F.col("lo"), F.col("hi")))
+    met = placed.groupBy("patch_id", "row", "cell").agg(
+        F.collect_list(F.when(F.col("dy").isNotNull(), F.struct("cls", "c0", "c1", "dy", "lo", "hi"))).alias("visitors"),
+        F.collect_list(F.when(F.col("dy").isNull(), F.struct("cls", "c0", "c1"))).alias("own")).filter("size(visitors) > 0 and size(own) > 0")
+    return met.select("patch_id", "row", "cell", "visitors", F.explode("own").alias("b")).select(
+        "patch_id", "row", "cell", "b", F.explode("visitors").alias("a")).filter("a.cls <> b.cls and a.lo <= b.c1 and b.c0 <= a.hi")
+
+
+def adjacency(px: DataFrame | LevelRuns, level: str = "c19", radius: int = V.DILATION_PX) -> DataFrame:
     """Every ordered class pair that touches: pixels of B inside A dilated by a disk.
 
-    Raw class pixels, no clean-up. Each pixel tells its disk which class it is; a cell then knows
-    its own class and the classes that reach it, so one grouping answers all pairs.
+    Raw class pixels, no clean-up. What the runs of A cover of a run of B is a union of intervals, so it is counted from their ends.
     """
-    mask = taxonomy.classified(px, level)
-    told = mask.select("patch_id", "row", "col", "cls", F.explode(_offsets(radius)).alias("o")).select(
-        "patch_id", (F.col("row") + F.col("o.dy")).alias("row"), (F.col("col") + F.col("o.dx")).alias("col"), "cls",
-        ((F.col("o.dy") == 0) & (F.col("o.dx") == 0)).alias("own"))
-    cell = told.groupBy("patch_id", "row", "col").agg(
-        F.max(F.when(F.col("own"), F.col("cls"))).alias("class_b"), F.collect_set("cls").alias("reach"))
-    return (
-        cell.filter("class_b is not null and size(reach) > 1")
-        .select("patch_id", "class_b", F.explode("reach").alias("class_a")).filter("class_a <> class_b")
-        .groupBy("patch_id", "class_a", "class_b").agg(F.count("*").alias("overlap_px"))
-    )
+    raw = px.raw if isinstance(px, LevelRuns) else class_runs(taxonomy.classified(px, level))
+    first, last = F.col("cell") * CELL, F.col("cell") * CELL + (CELL - 1)
+    met = row_meetings(raw, disk_rows(radius)).select(
+        "patch_id", "row", "cell", F.col("a.cls").alias("class_a"), F.col("b.cls").alias("class_b"),
+        F.greatest("a.lo", "b.c0", first).alias("lo"), F.least("a.hi", "b.c1", last).alias("hi")).filter("lo <= hi")
+    w = Window.partitionBy("patch_id", "row", "cell", "class_a", "class_b").orderBy("lo")
+    reach = F.coalesce(F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    fresh = met.withColumn("px", F.greatest(F.col("hi") - F.greatest(F.col("lo"), reach + 1) + 1, F.lit(0)))
+    return fresh.groupBy("patch_id", "class_a", "class_b").agg(F.sum("px").alias("overlap_px"))
+
+
+def contact_radius(px: DataFrame | LevelRuns, radii: tuple[int, ...], level: str = "c19") -> DataFrame:
+    """Smallest radius of the list at which A dilated by a disk reaches B, for all ordered class pairs in one pass.
+
+    Two runs ``dy`` rows and ``gap`` columns apart touch at the first radius whose square holds dy^2 + gap^2. Touching is mutual, so
+    runs visit the rows below alone.
+    """
+    raw = px.raw if isinstance(px, LevelRuns) else class_runs(taxonomy.classified(px, level))
+    gap = F.greatest(F.col("b.c0") - F.col("a.c1"), F.col("a.c0") - F.col("b.c1"), F.lit(0))
+    apart = F.col("a.dy") * F.col("a.dy") + gap * gap
+    known = sorted(radii)
+    first = F.coalesce(*[F.when(apart <= k * k, F.lit(k)) for k in known])
+    met = row_meetings(raw, [(dy, half) for dy, half in disk_rows(known[-1]) if dy >= 0]).select(
+        "patch_id", F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), first.alias("radius")).filter("radius is not null")
+    near = met.groupBy("patch_id", "x", "y").agg(F.min("radius").alias("radius"))
+    both = near.select("patch_id", "radius", F.explode(F.array(
+        F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("p"))
+    return both.groupBy("patch_id", F.col("p.a").alias("class_a"), F.col("p.b").alias("class_b")).agg(F.min("radius").alias("radius"))

@@ -25,8 +25,10 @@ def facts(spark, sf, params=None):
 
 
 def d1(spark, sf):
-    opened = regions.open_mask(mask19(spark, sf), 1)
-    return opened.groupBy("patch_id", "cls").agg(F.count("*").alias("n_px"), F.sum("row").alias("sum_row"), F.sum("col").alias("sum_col"))
+    opened = regions.open_runs(regions.class_runs(mask19(spark, sf)), 1)
+    n = F.col("c1") - F.col("c0") + 1
+    return opened.groupBy("patch_id", "cls").agg(F.sum(n).alias("n_px"), F.sum(F.col("row") * n).alias("sum_row"),
+                                                 F.sum(((F.col("c0") + F.col("c1")) * n / 2).cast("long")).alias("sum_col"))
 
 
 def d2(spark, sf):

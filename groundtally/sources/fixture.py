@@ -17,8 +17,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals a narrow scan out by key before it is multiplied; adaptive execution sizes the partitions."""
-    return df.repartition(*keys)
+    """Deals a narrow scan out by key before it is multiplied, to as many partitions as the session works on at once.
+
+    The number is named, because adaptive execution would join partitions by the few bytes they hold now.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:

@@ -93,15 +93,52 @@ def test_mmu_keeps_equal_and_counts_dropped(raster):
     assert dropped.filter("cls = 18").first().dropped_below_mmu == 2
 
 
-def test_opening_equals_brute_force(raster):
-    rng = random.Random(5)
-    grid = [[URBAN if rng.random() < 0.8 else FIELD for _ in range(12)] for _ in range(12)]
-    mask = {(r, c) for r in range(12) for c in range(12) if grid[r][c] == URBAN}
-    disk = regions.disk_offsets(1)
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_opening_equals_brute_force(raster, radius):
+    rng = random.Random(5 + radius)
+    grid = [[URBAN if rng.random() < (0.8, 0.8, 0.93, 0.97)[radius] else FIELD for _ in range(31)] for _ in range(27)]
+    mask = {(r, c) for r, line in enumerate(grid) for c, code in enumerate(line) if code == URBAN}
+    disk = regions.disk_offsets(radius)
     eroded = {(r, c) for r, c in mask if all((r + y, c + x) in mask for y, x in disk)}
     want = {(r + y, c + x) for r, c in eroded for y, x in disk}
-    opened = regions.open_mask(taxonomy.classified(raster({1: grid}), "c19").filter("cls = 18"), 1)
-    assert {(r.row, r.col) for r in opened.collect()} == want
+    runs = regions.open_runs(regions.class_runs(taxonomy.classified(raster({1: grid, 2: grid}), "c19")).filter("cls = 18"), radius).collect()
+    for patch in (1, 2):
+        cells = [(r.row, c) for r in runs if r.patch_id == patch for c in range(r.c0, r.c1 + 1)]
+        assert want and len(cells) == len(want) and set(cells) == want
+
+
+def speckled(rng, rows, cols):
+    """Areas, speckle, lone classes and unclassified pixels; wider than a cell."""
+    codes = [URBAN, FIELD, LAKE, 312, 999]
+    return [[codes[(r // 7 + c // 19) % 3] if rng.random() < 0.85 else rng.choice(codes) for c in range(cols)] for r in range(rows)]
+
+
+def test_contacts_equal_brute_force(raster):
+    rng = random.Random(12)
+    grids = {1: speckled(rng, 23, 150), 2: [[URBAN] * 200 + [LAKE], [FIELD] * 201], 3: [[URBAN], [999], [LAKE]]}
+    px = raster(grids)
+    cls = {(r.patch_id, r.row, r.col): r.cls for r in taxonomy.classified(px, "c19").collect()}
+    near = {}
+    for radius in range(6):
+        overlap = {}
+        for (p, r, c), b in cls.items():
+            for a in {cls.get((p, r - dy, c - dx)) for dy, dx in regions.disk_offsets(radius)} - {None, b}:
+                overlap[p, a, b] = overlap.get((p, a, b), 0) + 1
+        got = {(r.patch_id, r.class_a, r.class_b): r.overlap_px for r in regions.adjacency(px, radius=radius).collect()}
+        assert got == overlap, radius
+        for key in overlap:
+            near.setdefault(key, radius)
+    for radii in ((0, 1, 2, 3, 5), (4,), (5, 1)):
+        first = {k: min(x for x in radii if x >= v) for k, v in near.items() if v <= max(radii)}
+        assert {(r.patch_id, r.class_a, r.class_b): r.radius for r in regions.contact_radius(px, radii).collect()} == first
+
+
+def test_contacts_read_no_pixel_twice(raster):
+    px = raster({1: speckled(random.Random(1), 5, 9)})
+    for df in (regions.adjacency(px), regions.contact_radius(px, (0, 1, 2, 3, 5))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[:plan.index("LogicalRDD")]
+        assert plan.count("LogicalRDD") == 1 and "Generate explode" not in above[above.rindex("Window"):]  # runs are made before anything is multiplied
 
 
 def test_adjacency_radius_and_corner_contact(raster):
