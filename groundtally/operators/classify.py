@@ -1,17 +1,16 @@
-"""Text classifiers on pyspark.ml and the TF-IDF weights behind them."""
+"""Text classifiers on TF-IDF weights, all tasks and labels in one fit, and the weights themselves."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, StringIndexer
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from groundtally.operators import hinge
 from groundtally.session import cut_lineage
 from groundtally.sources.tables import fingerprint
 
@@ -21,65 +20,117 @@ ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "a
 DEFAULT_TERMS = 200_000
 
 
-@F.udf(returnType=VectorUDT(), useArrow=False)
-def _sublinear(v: SparseVector) -> SparseVector:
-    """1 + ln of the counts; counts of a short text are few, so a row costs little."""
-    return SparseVector(v.size, v.indices, 1 + np.log(v.values))
-
-
 def _plain(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
 @dataclass
 class TextClassifier:
-    """Fitted weights and one linear SVM per label. ``train_hash`` tells the rows it was fitted on."""
-
-    counts: CountVectorizerModel
-    idf: list[float]
-    svm: OneVsRestModel
-    labels: list[str]
-    train_hash: str
+    """One linear classifier a task, on word 1-2-grams. ``train_hash`` tells the rows it was fitted on.
 
-    def features(self, df: DataFrame, text: str) -> DataFrame:
-        rows = self.counts.transform(df.withColumn("_terms", _terms(_plain(F.col(text))))).withColumn("_tf", _sublinear("_counts"))
-        weighted = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_weighted").transform(rows)
-        return Normalizer(inputCol="_weighted", outputCol="_features").transform(weighted)
+    ``vocabulary`` is (task, term, place, idf); ``weights`` and ``labels`` are by task number, and ``tasks`` names them. A task with a
+    single label has no weights.
+    """
 
-    def predict(self, df: DataFrame, text: str) -> DataFrame:
-        """Adds `predicted`."""
-        scored = self.svm.transform(self.features(df, text))
-        names = F.array(*[F.lit(x) for x in self.labels])
-        return scored.withColumn("predicted", F.get(names, F.col("_prediction").cast("int"))).drop("_terms", "_counts", "_tf", "_weighted", "_features", "_prediction")
+    vocabulary: DataFrame
+    tasks: list[str]
+    labels: list[list[str]]
+    weights: dict[int, np.ndarray]
+    train_hash: str
+    sublinear: bool = True
+    strip_accents: bool = True
+
+    def predict(self, df: DataFrame, text: str, task: str | None = None) -> DataFrame:
+        """Adds `predicted`: null where the task had fewer than two labels in training."""
+        named = df.withColumn("_task", _task_number(self.tasks, task)).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+        asked = named.select("_task", "_text").distinct().select(F.col("_task").alias("task"), "_text")
+        features = _features(asked, self.vocabulary, self.sublinear, self.strip_accents)
+        weights = df.sparkSession.sparkContext.broadcast(self.weights)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tasks, chosen = batch.column("task").to_numpy(), np.full(batch.num_rows, -1)
+                for t in np.unique(tasks):
+                    if int(t) in weights.value:
+                        part = hinge.sparse_rows(batch, tasks == t)
+                        chosen[tasks == t] = hinge.margins(part["place"], part["at"], part["value"], part["batch"].num_rows, weights.value[int(t)]).argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column("_text"), pa.array(chosen, pa.int32())], names=["_task", "_text", "_best"])
+
+        names = F.array(*[F.array(*[F.lit(x) for x in own]) for own in self.labels])
+        found = features.select("task", "_text", "at", "value").mapInArrow(best, "_task int, _text string, _best int")
+        label = F.when(F.col("_best") >= 0, F.get(F.get(names, F.col("_task")), F.col("_best")))
+        return named.join(found, ["_task", "_text"], "left").withColumn("predicted", label).drop("_task", "_text", "_best")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        PipelineModel([self.counts]).write().overwrite().save(f"{path}/counts")
-        self.svm.write().overwrite().save(f"{path}/svm")
-        spark.createDataFrame([(self.idf, self.labels, self.train_hash)], "idf array<double>, labels array<string>, train_hash string").write.mode("overwrite").parquet(f"{path}/rest")
+        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        rows = [(t, self.tasks[t], self.labels[t], [[float(x) for x in k] for k in self.weights[t].T] if t in self.weights else None, self.train_hash,
+                 self.sublinear, self.strip_accents) for t in range(len(self.tasks))]
+        schema = "number int, task string, labels array<string>, weights array<array<double>>, train_hash string, sublinear boolean, strip_accents boolean"
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/weights")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextClassifier:
-        rest = spark.read.parquet(f"{path}/rest").first()
-        return TextClassifier(PipelineModel.load(f"{path}/counts").stages[0], list(rest["idf"]), OneVsRestModel.load(f"{path}/svm"), list(rest["labels"]), rest["train_hash"])
+        rows = spark.read.parquet(f"{path}/weights").orderBy("number").collect()  # a row a task
+        return TextClassifier(spark.read.parquet(f"{path}/vocabulary"), [r.task for r in rows], [list(r.labels) for r in rows],
+                              {r.number: np.array(r.weights).T for r in rows if r.weights is not None}, rows[0].train_hash, rows[0].sublinear, rows[0].strip_accents)
+
+
+def _task_number(tasks: list[str], task: str | None) -> Column:
+    """Numbers of task names; -1 for a name that was not fitted."""
+    if task is None:
+        return F.lit(0)
+    return (F.array_position(F.array(*[F.lit(t) for t in tasks]), F.col(task).cast("string")) - 1).cast("int")
+
+
+def _counted_terms(texts: DataFrame, strip_accents: bool) -> DataFrame:
+    """(task, _text, term, n) of distinct (task, _text)."""
+    text = _plain(F.col("_text")) if strip_accents else F.lower("_text")
+    return texts.select("task", "_text", F.explode(_terms(text)).alias("term")).groupBy("task", "_text", "term").agg(F.count("*").alias("n"))
+
+
+def _features(texts: DataFrame, vocabulary: DataFrame, sublinear: bool, strip_accents: bool, terms: DataFrame | None = None) -> DataFrame:
+    """``texts`` (distinct in task and _text) with ``at`` and ``value``: places and L2-normalised weights of their known terms."""
+    n = 1 + F.log("n") if sublinear else F.col("n").cast("double")
+    weighed = (_counted_terms(texts, strip_accents) if terms is None else terms).join(vocabulary, ["task", "term"]).select("task", "_text", "place", (n * F.col("idf")).alias("x"))
+    rows = weighed.groupBy("task", "_text").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("_w"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
+    whole = texts.join(rows, ["task", "_text"], "left")  # a text without a known term has the bias alone
+    return whole.withColumns({"at": F.coalesce(F.col("_w.place"), F.array().cast("array<int>")),
+                              "value": F.coalesce(F.transform("_w", lambda w: w["x"] / F.col("_norm")), F.array().cast("array<double>"))}).drop("_w", "_norm")
 
 
-def fit(train: DataFrame, text: str, label: str, max_terms: int = DEFAULT_TERMS, iterations: int = 5000) -> TextClassifier:
-    """Word 1-2-gram weights as in :func:`term_weights`, accents stripped, and one linear SVM per label.
+def fit(train: DataFrame, text: str, label: str, task: str | None = None, max_terms: int = DEFAULT_TERMS, cost: float = 1.0,
+        iterations: int = 5000, tolerance: float = 1e-5, sublinear: bool = True, strip_accents: bool = True) -> TextClassifier:
+    """TF-IDF over word 1-2-grams met in two texts or more, and one squared-hinge classifier per label and task, all in one fit.
 
-    ``max_terms`` bounds the vocabulary, most frequent first. A single label is refused. The tolerance ends a fit,
-    ``iterations`` being far beyond; features are written once for all labels.
+    ``task`` names a column of tasks, each with its vocabulary, labels and classifier; without it all rows are one task. ``max_terms`` bounds a
+    task's vocabulary, most frequent first, then alphabetically. Rows without text or label are left out. Equal texts are one
+    row with counts. A single task with a single label is refused; among several tasks such a one is left without a
+    classifier. The tolerance ends the fit, ``iterations`` being far beyond. The driver holds terms x labels weights.
     """
-    rows = train.select(F.col(text).alias("_text"), F.col(label).alias("_label")).dropna()
-    index = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc").fit(rows)
-    if len(index.labels) < 2:
+    rows = train.select((F.col(task).cast("string") if task else F.lit("")).alias("_name"), F.col(text).alias("_text"), F.col(label).alias("_label")).dropna()
+    counted = cut_lineage(rows.groupBy("_name", "_text", "_label").agg(F.count("*").alias("n")))
+    known = {r._name: sorted(r.labels) for r in counted.groupBy("_name").agg(F.collect_set("_label").alias("labels")).collect()}  # names and labels alone
+    if not known or (len(known) == 1 and len(next(iter(known.values()))) < 2):
         raise ValueError("a classifier needs two labels or more")
-    termed = index.transform(rows).withColumn("_terms", _terms(_plain(F.col("_text"))))
-    counts = CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=2, vocabSize=max_terms).fit(termed)
-    idf = IDF(inputCol="_counts", outputCol="_idf").fit(counts.transform(termed)).idf
-    half = TextClassifier(counts, [float(x) + 1 for x in idf], None, list(index.labels), fingerprint(rows, ["_text", "_label"]).first()["digest_sum"])
-    svm = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=1e-4), featuresCol="_features", labelCol="_index", predictionCol="_prediction", parallelism=8)
-    half.svm = svm.fit(cut_lineage(half.features(termed.drop("_terms"), "_text").select("_features", "_index")))
-    return half
+    tasks = sorted(known)
+    labels = [known[t] for t in tasks]
+    sets = F.array(*[F.array(*[F.lit(x) for x in own]) for own in labels])
+    mark = (F.array_position(F.get(sets, F.col("task")), F.col("_label")) - 1).cast("int")
+    texts = cut_lineage(counted.withColumn("task", _task_number(tasks, "_name")).filter(F.size(F.get(sets, F.col("task"))) > 1).groupBy("task", "_text").agg(
+        F.collect_list(F.struct(mark.alias("label"), F.col("n").cast("double").alias("n"))).alias("_seen"), F.sum("n").alias("_times")))
+    terms = cut_lineage(_counted_terms(texts, strip_accents))
+    met = terms.join(texts.select("task", "_text", "_times"), ["task", "_text"]).groupBy("task", "term").agg(
+        F.sum("_times").alias("df"), F.sum(F.col("n") * F.col("_times")).alias("total")).filter("df >= 2")
+    by_use = Window.partitionBy("task").orderBy(F.desc("total"), "term")
+    n_docs = texts.groupBy("task").agg(F.sum("_times").alias("n_docs"))
+    vocabulary = cut_lineage(met.withColumn("rank", F.row_number().over(by_use)).filter(F.col("rank") <= max_terms).join(F.broadcast(n_docs), "task").select(
+        "task", "term", (F.col("rank") - 1).alias("place"), (F.log((1 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1).alias("idf")))
+    places = {r.task: r.n for r in vocabulary.groupBy("task").agg(F.count("*").alias("n")).collect()}
+    fitted = sorted(t for t, own in enumerate(labels) if len(own) > 1)
+    features = cut_lineage(_features(texts.drop("_times"), vocabulary, sublinear, strip_accents, terms).select(
+        "task", "at", "value", F.col("_seen.label").alias("label"), F.col("_seen.n").alias("n")))
+    weights = hinge.fit_outputs(features, {t: (places.get(t, 0), len(labels[t])) for t in fitted}, cost, tolerance, iterations)
+    return TextClassifier(vocabulary, tasks, labels, weights, fingerprint(rows, ["_name", "_text", "_label"]).first()["digest_sum"], sublinear, strip_accents)
 
 
 def _terms(text: Column) -> Column:
@@ -92,7 +143,7 @@ def _terms(text: Column) -> Column:
 def term_weights(df: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
     """Sublinear TF-IDF over the whole vocabulary, L2-normalised per document, summarised per term."""
     n_docs = df.select(key).distinct().agg(F.count("*").alias("n_docs"))
-    tf = df.select(key, F.explode(_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    tf = cut_lineage(df.select(key, F.explode(_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n")))  # read by three branches
     vocab = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     w = (1 + F.log("n")) * (F.log((1 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1)
     weighted = tf.join(vocab, "term").join(F.broadcast(n_docs)).select(key, "term", "df", w.alias("w"))

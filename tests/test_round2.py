@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from groundtally.functions import dims
 from groundtally.functions import questions as Q
@@ -89,3 +91,51 @@ def test_sample_hash_doesnt_depend_on_order_or_partitions(spark):
     one = tables.sample_hash(ids, "g", "v").collect()
     assert one == tables.sample_hash(ids.orderBy("v").repartition(7), "g", "v").collect() and one[0].n_samples == 500
     assert one != tables.sample_hash(ids.filter("v <> 'p3'"), "g", "v").collect()
+
+
+def dense_fit(x, y, cost=1.0):
+    """Squared hinge by Newton steps on a dense matrix, bias as a last column."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        short = np.maximum(0, 1 - y * (x @ w))
+        on = x[short > 0]
+        grad = w - 2 * cost * (x.T @ (y * short))
+        if np.linalg.norm(grad) < 1e-10:
+            break
+        step = np.linalg.solve(np.eye(len(w)) + 2 * cost * on.T @ on, grad)
+        loss = lambda v: 0.5 * v @ v + cost * (np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
+        t = 1.0
+        while loss(w - t * step) > loss(w) - 1e-4 * t * grad @ step and t > 1e-10:
+            t /= 2
+        w = w - t * step
+    return w
+
+
+def test_labels_fitted_together_equal_one_against_rest(spark):
+    rng = random.Random(3)
+    words = ["lake", "urban", "forêt", "near", "many", "cover", "the", "is"]
+    rows = []
+    for task, labels in (("a", "xyz"), ("b", "pq"), ("c", "only")):
+        for _ in range(150):
+            text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))
+            rows.append((task, text, labels if task == "c" else rng.choice(labels) if rng.random() < 0.4 else labels["lake" in text]))
+    rows += [("a", None, "x"), ("b", "lake", None)]
+    train = spark.createDataFrame(rows, "task string, text string, label string").repartition(3)
+    model = classify.fit(train, "text", "label", "task", sublinear=False)
+    assert model.tasks == ["a", "b", "c"] and sorted(model.weights) == [0, 1]
+    for t, name in enumerate("ab"):
+        place = {r.term: (r.place, r.idf) for r in model.vocabulary.filter(F.col("task") == t).collect()}
+        own = [(text, label) for task, text, label in rows if task == name and text is not None and label is not None]
+        x = np.zeros((len(own), len(place)))
+        for k, (text, _) in enumerate(own):
+            toks = text.replace("ê", "e").split()
+            for term in toks + [" ".join(p) for p in zip(toks, toks[1:])]:
+                if term in place:
+                    x[k, place[term][0]] += place[term][1]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        for k, label in enumerate(model.labels[t]):
+            want = dense_fit(x, np.array([1.0 if y == label else -1.0 for _, y in own]))
+            assert np.abs(model.weights[t][:, k] - want).max() < 1e-4
+    got = {r.text: r.predicted for r in model.predict(spark.createDataFrame([("b", "lake"), ("c", "x"), ("z", "y")], "task string, text string"), "text", "task").collect()}
+    assert got == {"lake": "q", "x": None, "y": None}
