@@ -99,7 +99,7 @@ def _features(texts: DataFrame, vocabulary: DataFrame, sublinear: bool, strip_ac
 
 
 def fit(train: DataFrame, text: str, label: str, task: str | None = None, max_terms: int = DEFAULT_TERMS, cost: float = 1.0,
-        iterations: int = 5000, tolerance: float = 1e-5, sublinear: bool = True, strip_accents: bool = True) -> TextClassifier:
+        iterations: int = 5000, tolerance: float = 1e-4, sublinear: bool = True, strip_accents: bool = True) -> TextClassifier:
     """TF-IDF over word 1-2-grams met in two texts or more, and one squared-hinge classifier per label and task, all in one fit.
 
     ``task`` names a column of tasks, each with its vocabulary, labels and classifier; without it all rows are one task. ``max_terms`` bounds a

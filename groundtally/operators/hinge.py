@@ -101,7 +101,7 @@ def sparse_rows(batch: pa.RecordBatch, only: np.ndarray | None = None) -> dict:
             "value": batch.column("value").flatten().to_numpy(zero_copy_only=False), "batch": batch}
 
 
-def fit_outputs(rows: DataFrame, sizes: dict[int, tuple[int, int]], cost: float = 1.0, tolerance: float = 1e-5, passes: int = 5000) -> dict[int, np.ndarray]:
+def fit_outputs(rows: DataFrame, sizes: dict[int, tuple[int, int]], cost: float = 1.0, tolerance: float = 1e-4, passes: int = 5000) -> dict[int, np.ndarray]:
     """Weights (places + bias x labels) of every task, from rows (task int, at array<int>, value array<double>, label array<int>, n array<double>).
 
     ``sizes`` names each task's (places, labels); a row's ``n`` counts its occurrences under each of ``label``, so equal texts

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from groundtally.functions import dims, questions, text
 from groundtally.functions import fixed_values as V
+from groundtally.operators import order
+from groundtally.session import cut_lineage
 
 def I() -> Column:  # noqa: E743
     """The question text; a function, so that importing needs no session."""
@@ -145,11 +147,10 @@ def granularity(values: DataFrame) -> DataFrame:
 
 def value_gaps(values: DataFrame) -> DataFrame:
     """Gaps between consecutive distinct values: smallest, median and the smallest of the commonest."""
-    w = Window.partitionBy("unit").orderBy("value")  # distinct stated values of one unit
-    gap = values.select("unit", "value").distinct().withColumn("gap", F.round(F.col("value") - F.lag("value").over(w), 4)).filter("gap is not null")
-    n = gap.groupBy("unit", "gap").agg(F.count("*").alias("n"))
-    return n.groupBy("unit").agg(F.min("gap").alias("min_gap"), F.percentile("gap", 0.5, F.col("n")).alias("median_gap"),
-                                 F.max_by("gap", F.struct(F.col("n"), -F.col("gap"))).alias("mode_gap"))
+    gap = order.neighbour_gaps(values, "unit", "value").select("unit", F.round(F.col("value") - F.col("previous"), 4).alias("gap")).filter("gap is not null")
+    n = cut_lineage(gap.groupBy("unit", "gap").agg(F.count("*").alias("n")))
+    ends = n.groupBy("unit").agg(F.min("gap").alias("min_gap"), F.max_by("gap", F.struct(F.col("n"), -F.col("gap"))).alias("mode_gap"))
+    return ends.join(order.exact_quantiles(n, "unit", "gap", "n", {"median_gap": 0.5}), "unit").select("unit", "min_gap", "median_gap", "mode_gap")
 
 
 def comparator_shares(ann: DataFrame) -> DataFrame:
@@ -200,10 +201,10 @@ def near_misses(ann: DataFrame) -> DataFrame:
         "stated is not null and class_name is not null")
     keys = ["patch_id", "class_name", "category"]
     truth = d.filter("output = 'yes'").groupBy(*keys).agg(F.min_by("stated", "id").alias("truth"))
-    delta = d.filter("output = 'no'").join(truth, keys).groupBy("category", F.round(F.abs(F.col("stated") - F.col("truth")), 9).alias("delta")).agg(F.count("*").alias("n"))
-    p = F.percentile("delta", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    return delta.groupBy("category").agg(F.sum("n").alias("n"), F.min("delta").alias("min"), F.get(p, F.lit(0)).alias("p25"), F.get(p, F.lit(1)).alias("median"),
-                                         F.get(p, F.lit(2)).alias("p75"), F.max("delta").alias("max"))
+    delta = cut_lineage(d.filter("output = 'no'").join(truth, keys).groupBy("category", F.round(F.abs(F.col("stated") - F.col("truth")), 9).alias("delta")).agg(F.count("*").alias("n")))
+    ends = delta.groupBy("category").agg(F.sum("n").alias("n"), F.min("delta").alias("min"), F.max("delta").alias("max"))
+    inner = order.exact_quantiles(delta, "category", "delta", "n", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return ends.join(inner, "category").select("category", "n", "min", "p25", "median", "p75", "max")
 
 
 def referring_qualifiers(ann: DataFrame) -> DataFrame:

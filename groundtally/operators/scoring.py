@@ -43,26 +43,37 @@ def spread_rank(df: DataFrame, keys: list[str], item: str, digits: int = 2) -> D
     return inner.join(before.drop("_n"), [*keys, "_b"]).withColumn("rank", F.col("_before") + F.col("_r") - 1).drop("_b", "_r", "_before")
 
 
+#: 16-bit thresholds of a Poisson draw with mean 1: a draw of u counts as many resamplings as thresholds it reaches.
+POISSON_16 = (24109, 48219, 60273, 64291, 65296, 65497, 65531, 65535)
+DRAWS_A_DIGEST = 8
+
+
 def bootstrap_ci(scored: DataFrame, resamples: int = 1000, seed: int = 1337, level: float = 0.95) -> DataFrame:
     """Percentile interval of strict accuracy, resampling whole patches.
 
-    Draw i of replicate b takes patch number md5(seed:b:i) mod P. Draws are counted per (task, patch)
-    before they meet the patch totals, so the join moves distinct pairs only.
+    How often replicate b draws a patch is a Poisson count read off 16 bits of md5(seed:b div 8:patch), so it is known where the patch's
+    row lies and any other engine finds the same. Weighted sums of all replicates are made before anything moves: what is shuffled is tasks x replicates,
+    however many patches there are. A replicate that draws no patch at all has no accuracy and is left out.
     """
     per = scored.groupBy("task", "patch_id").agg(F.count("*").alias("total"), F.count_if("correct").alias("hits"))
-    ranked = spread_rank(per, ["task"], "patch_id")
-    sizes = per.groupBy("task").agg(F.count("*").alias("p"))
-    # The draws depend on P only, so tasks with equal P share them.
-    slots = ranked.join(sizes, "task").select("p", F.col("rank").alias("i")).distinct()
-    draws = slots.select("p", "i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))
-    pick = (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % F.col("p")).alias("rank")
-    times = draws.select("p", "b", pick).groupBy("p", "b", "rank").agg(F.count("*").alias("times"))
-    acc = (
-        ranked.join(sizes, "task").join(times, ["p", "rank"]).groupBy("task", "b")
-        .agg((F.sum(F.col("hits") * F.col("times")) / F.sum(F.col("total") * F.col("times"))).alias("acc")))
-    pos = acc.withColumn("k", F.row_number().over(Window.partitionBy("task").orderBy("acc")) - 1)  # `resamples` rows per task
-    lo, hi = int((1 - level) / 2 * resamples), min(int((1 + level) / 2 * resamples), resamples - 1)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // DRAWS_A_DIGEST) - 1))).alias("block")
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("block").cast("string"), F.col("patch_id").cast("string"))
+    drawn = per.select("task", "patch_id", "total", "hits", blocks).withColumn("bits", F.md5(key))
+    width = 32 // DRAWS_A_DIGEST
+
+    def times(k: int) -> Column:
+        u = F.conv(F.substring("bits", 1 + width * k, width), 16, 10).cast("int")
+        return sum(((u >= t).cast("int") for t in POISSON_16[1:]), (u >= POISSON_16[0]).cast("int"))
+
+    counted = drawn.select("task", "block", "total", "hits", *[times(k).alias(f"w{k}") for k in range(DRAWS_A_DIGEST)])
+    sums = counted.groupBy("task", "block").agg(*[F.sum(F.col(c) * F.col(f"w{k}")).alias(f"{c}{k}") for k in range(DRAWS_A_DIGEST) for c in ("hits", "total")])
+    each = F.explode(F.array(*[F.struct((F.col("block") * DRAWS_A_DIGEST + k).alias("b"), F.col(f"hits{k}").alias("hits"), F.col(f"total{k}").alias("total"))
+                               for k in range(DRAWS_A_DIGEST)])).alias("r")
+    acc = sums.select("task", each).filter((F.col("r.b") < resamples) & (F.col("r.total") > 0)).select("task", (F.col("r.hits") / F.col("r.total")).alias("acc"))
+    whole = Window.partitionBy("task")  # `resamples` rows per task
+    pos = acc.withColumn("k", F.row_number().over(whole.orderBy("acc")) - 1).withColumn("m", F.count("*").over(whole))
+    lo = F.floor(F.lit((1 - level) / 2) * F.col("m") + 1e-9)
+    hi = F.least(F.floor(F.lit((1 + level) / 2) * F.col("m") + 1e-9), F.col("m") - 1)
     return pos.groupBy("task").agg(F.max(F.when(F.col("k") == lo, F.col("acc"))).alias("ci_low"), F.max(F.when(F.col("k") == hi, F.col("acc"))).alias("ci_high"))
 
 
@@ -185,20 +196,31 @@ def ngram_list(t: Column, n: int) -> Column:
     return F.transform(idx, lambda i: F.array_join(F.slice(t, i, n), " "))
 
 
+def common_count(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two string arrays: both sorted together, then counted along the runs of equals."""
+    side = lambda values, own: F.transform(values, lambda g: F.struct(g.alias("g"), F.lit(own).alias("own")))
+    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("hits"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same, own = x["g"].eqNullSafe(acc["g"]), x["own"]
+        return F.struct(x["g"].alias("g"), (F.when(same, acc["a"]).otherwise(0) + F.when(own, 1).otherwise(0)).alias("a"),
+                        (F.when(same, acc["b"]).otherwise(0) + F.when(own, 0).otherwise(1)).alias("b"),
+                        (acc["hits"] + F.when(same, 0).otherwise(F.least(acc["a"], acc["b"]))).alias("hits"))
+
+    return F.aggregate(F.sort_array(F.concat(side(a, True), side(b, False))), start, step, lambda acc: acc["hits"] + F.least(acc["a"], acc["b"]))
+
+
 def corpus_bleu(pairs: DataFrame, max_n: int = 4) -> DataFrame:
-    """(id, hyp, ref) -> one row: clipped n-gram precisions, brevity penalty and BLEU-4 (0-100)."""
-    t = pairs.select("id", tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
-    lengths = t.agg(F.sum(F.size("h").cast("long")).alias("hyp_len"), F.sum(F.size("r").cast("long")).alias("ref_len"))
-
-    def grams(col, name):
-        rows = F.array(*[F.struct(F.lit(n).alias("n"), ngram_list(F.col(col), n).alias("g")) for n in range(1, max_n + 1)])
-        g = t.select("id", F.explode(rows).alias("x")).select("id", "x.n", F.explode("x.g").alias("g"))
-        return g.groupBy("id", "n", "g").agg(F.count("*").alias(name))
-
-    hit = grams("h", "ch").join(grams("r", "cr"), ["id", "n", "g"], "left")
-    by_n = hit.groupBy("n").agg(F.sum(F.least("ch", F.coalesce("cr", F.lit(0)))).alias("num"), F.sum("ch").alias("den"))
-    cols = [F.coalesce(F.max(F.when(F.col("n") == n, F.col("num") / F.col("den"))), F.lit(0.0)).alias(f"p{n}") for n in range(1, max_n + 1)]
-    row = by_n.agg(*cols).join(F.broadcast(lengths))
+    """(id, hyp, ref) -> one row: clipped n-gram precisions, brevity penalty and BLEU-4 (0-100).
+
+    N-grams are counted and clipped inside the row; sums alone are shuffled.
+    """
+    t = pairs.select(tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
+    sums = [F.sum(F.size("h").cast("long")).alias("hyp_len"), F.sum(F.size("r").cast("long")).alias("ref_len")]
+    for n in range(1, max_n + 1):
+        t = t.withColumn(f"num{n}", common_count(ngram_list(F.col("h"), n), ngram_list(F.col("r"), n)))
+        sums += [F.sum(F.col(f"num{n}").cast("long")).alias(f"num{n}"), F.sum(F.greatest(F.size("h") - (n - 1), F.lit(0)).cast("long")).alias(f"den{n}")]
+    row = t.agg(*sums).select("hyp_len", "ref_len", *[F.coalesce(F.try_divide(f"num{n}", f"den{n}"), F.lit(0.0)).alias(f"p{n}") for n in range(1, max_n + 1)])
     ps = [F.col(f"p{n}") for n in range(1, max_n + 1)]
     geo = F.when(F.least(*ps) <= 0, F.lit(0.0)).otherwise(F.exp(sum((F.log(p) for p in ps[1:]), F.log(ps[0])) / max_n))
     bp = F.when(F.col("hyp_len") > F.col("ref_len"), F.lit(1.0)).when(F.col("hyp_len") == 0, F.lit(0.0)).otherwise(

@@ -153,11 +153,11 @@ ORACLES = {
     "G2_top_reasons": chain(SCORED) + "SELECT task, reason, n, rank FROM (SELECT task, reason, COUNT(*) AS n, CAST(ROW_NUMBER() OVER (PARTITION BY task ORDER BY COUNT(*) DESC, reason) AS INT) AS rank "
         "FROM scored WHERE abstained GROUP BY task, reason) WHERE rank <= 4",
     "G3_bootstrap_ci": chain(SCORED, "per AS (SELECT task, patch_id, COUNT(*) AS total, COUNT(*) FILTER (correct) AS hits FROM scored GROUP BY ALL)",
-        "rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY task ORDER BY SUBSTR(MD5(patch_id::VARCHAR), 1, 2), patch_id) - 1 AS rank, COUNT(*) OVER (PARTITION BY task) AS p FROM per)",
-        "sl AS (SELECT DISTINCT p, rank AS i FROM rk)", "dr AS (SELECT p, b, ('0x' || SUBSTR(MD5('1337:' || b || ':' || i), 1, 8))::BIGINT % p AS rank FROM sl, RANGE(1000) t(b))",
-        "acc AS (SELECT task, b, SUM(hits)::DOUBLE / SUM(total) AS acc FROM dr JOIN rk USING (p, rank) GROUP BY task, b)",
-        "o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY task ORDER BY acc) - 1 AS k FROM acc)") +
-        "SELECT task, MAX(acc) FILTER (k = 25) AS ci_low, MAX(acc) FILTER (k = 975) AS ci_high FROM o GROUP BY task",
+        "dg AS MATERIALIZED (SELECT patch_id, blk, MD5('1337:' || blk || ':' || patch_id) AS bits FROM (SELECT DISTINCT patch_id FROM per), RANGE(125) t(blk))",
+        f"dr AS (SELECT patch_id, blk * 8 + k AS b, LEN(LIST_FILTER({list(S.POISSON_16)}, lambda t: ('0x' || SUBSTR(bits, 1 + 4 * k, 4))::INT >= t)) AS times FROM dg, RANGE(8) r(k))",
+        "acc AS (SELECT task, b, SUM(hits * times)::DOUBLE / SUM(total * times) AS acc FROM dr JOIN per USING (patch_id) GROUP BY task, b HAVING SUM(total * times) > 0)",
+        "o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY task ORDER BY acc) - 1 AS k, COUNT(*) OVER (PARTITION BY task) AS m FROM acc)") +
+        "SELECT task, MAX(acc) FILTER (k = FLOOR(0.025 * m)) AS ci_low, MAX(acc) FILTER (k = LEAST(FLOOR(0.975 * m), m - 1)) AS ci_high FROM o GROUP BY task",
     "G4_macro_gap": chain(SCORED, f"s AS (SELECT task, {SCORE} FROM scored GROUP BY task)",
         "b AS (SELECT l_returnflag || '|' || l_linestatus AS task, COUNT(*) FILTER (l_discount < 0.03)::DOUBLE / COUNT(*) AS blind, COUNT(*) FILTER (l_tax < 0.03)::DOUBLE / COUNT(*) AS majority FROM lineitem GROUP BY 1)") +
         "SELECT ROUND(AVG(strict_accuracy), 9) AS oracle_strict, ROUND(AVG(attempted_accuracy), 9) AS oracle_attempted, ROUND(AVG(GREATEST(blind, majority)), 9) AS best_blind, "

@@ -38,9 +38,10 @@ def k3(spark, sf):
     pos = F.col("c_custkey") % 120
     pid = F.concat(F.lit("S2A_"), F.col("c_custkey").cast("string"), F.lit("_T"), (10 + nation).cast("string"), F.lit("ABC_"),
                    F.floor(pos / 12).cast("string"), F.lit("_"), (pos % 12).cast("string"))
+    arriving = stream(spark, sf, "customer").select(pid.alias("patch_id"), F.col("c_mktsegment").alias("country"))
     for _ in range(2):
-        intake.raster_ingest(stream(spark, sf, "customer").select(pid.alias("patch_id"), F.col("c_mktsegment").alias("country")), out, scratch(spark, "state"))
-    return spark.read.parquet(out).groupBy("tile").agg(F.count("*").alias("n_rows"), F.count_distinct("patch_id").alias("n_patches"))
+        intake.raster_ingest(arriving, out, scratch(spark, "state"))
+    return intake.stored_rasters(spark, out, arriving.schema).groupBy("tile").agg(F.count("*").alias("n_rows"), F.count_distinct("patch_id").alias("n_patches"))
 
 
 QUERIES = {"K1_annotation_intake": k1, "K2_running_band_sums": k2, "K3_resumable_ingest": k3}
