@@ -159,13 +159,11 @@ def fill_holes(runs: DataFrame, block: int = BLOCK, max_side: int | None = None)
 
 
 # ------------------------------------------------------------------------------ components
-def _label_block(pdf: pd.DataFrame, reach: int, flag: str | None = None) -> pd.DataFrame:
-    """First-pixel labels of the runs of one block (at most BLOCK*BLOCK/2 runs per class).
-
-    A flag true on any run of a component becomes true on all of them.
-    """
-    pdf = pdf.sort_values(["cls", "row", "c0"], ignore_index=True)
-    cls, row, c0, c1 = (pdf[c].to_numpy(np.int64) for c in ("cls", "row", "c0", "c1"))
+def _runs_meeting(cls: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray, reach: int) -> np.ndarray:
+    """Place of the first run of each run's component; runs sorted by class, row and column."""
+    n = len(cls)
+    if not n:
+        return np.zeros(0, np.int64)
     r, left = row - row.min(), c0.min()
     line = np.unique(cls, return_inverse=True)[1] * (r.max() + 2) + r
     span = c1.max() - left + 4
@@ -173,17 +171,27 @@ def _label_block(pdf: pd.DataFrame, reach: int, flag: str | None = None) -> pd.D
     below = (line + 1) * span
     lo = np.searchsorted(ends, below + (c0 - left) - reach, "left")
     hi = np.searchsorted(starts, below + (c1 - left) + reach, "right")
-    n = np.maximum(hi - lo, 0)
-    src = np.repeat(np.arange(len(pdf)), n)
-    dst = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    lab = np.arange(len(pdf))
+    met = np.maximum(hi - lo, 0)
+    src = np.repeat(np.arange(n), met)
+    dst = np.arange(met.sum()) - np.repeat(np.cumsum(met) - met, met) + np.repeat(lo, met)
+    lab = np.arange(n)
     while True:
         a, b = lab[src], lab[dst]
         if (a == b).all():
-            break
+            return lab
         np.minimum.at(lab, np.maximum(a, b), np.minimum(a, b))
         while (lab[lab] != lab).any():
             lab = lab[lab]
+
+
+def _label_block(pdf: pd.DataFrame, reach: int, flag: str | None = None) -> pd.DataFrame:
+    """First-pixel labels of the runs of one block (at most BLOCK*BLOCK/2 runs per class).
+
+    A flag true on any run of a component becomes true on all of them.
+    """
+    pdf = pdf.sort_values(["cls", "row", "c0"], ignore_index=True)
+    cls, row, c0, c1 = (pdf[c].to_numpy(np.int64) for c in ("cls", "row", "c0", "c1"))
+    lab = _runs_meeting(cls, row, c0, c1, reach)
     pdf["label"] = (row * ROW_SHIFT + c0)[lab]
     if flag:
         on = np.zeros(len(pdf), dtype=bool)
@@ -290,15 +298,87 @@ def components(runs: DataFrame, connectivity: int = 4, block: int = BLOCK, flag:
 def region_properties(labelled: DataFrame) -> DataFrame:
     """Area, half-open box, centroid and box fill of every region, from closed-form run sums."""
     n = F.col("c1") - F.col("c0") + 1
-    return (
-        labelled.groupBy(*RUN_KEYS, "label").agg(
-            F.sum(n).alias("area_px"), F.min("row").alias("r0"), F.min("c0").alias("c0"),
-            (F.max("row") + 1).alias("r1"), (F.max("c1") + 1).alias("c1"),
-            F.sum(F.col("row") * n).alias("sum_row"), F.sum((F.col("c0") + F.col("c1")) * n).alias("sum_col2"))
-        .withColumn("centroid_row", F.col("sum_row") / F.col("area_px"))
-        .withColumn("centroid_col", F.col("sum_col2") / (2 * F.col("area_px")))
-        .withColumn("bbox_fill", F.col("area_px") / ((F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))))
-    )
+    return _with_shape(labelled.groupBy(*RUN_KEYS, "label").agg(
+        F.sum(n).alias("area_px"), F.min("row").alias("r0"), F.min("c0").alias("c0"),
+        (F.max("row") + 1).alias("r1"), (F.max("c1") + 1).alias("c1"),
+        F.sum(F.col("row") * n).alias("sum_row"), F.sum((F.col("c0") + F.col("c1")) * n).alias("sum_col2")))
+
+
+REGION = "patch_id {id}, cls int, label bigint, area_px bigint, r0 int, c0 int, r1 int, c1 int, sum_row bigint, sum_col2 bigint"
+
+
+def _gaps(cls: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Background runs (cls, row, c0, c1, rim) inside the bounding box of each class, as in :func:`gap_runs`; runs sorted."""
+    kinds, number = np.unique(cls, return_inverse=True)
+    top, bottom, left, right = (np.full(len(kinds), x, np.int64) for x in (1 << 40, -1, 1 << 40, -1))
+    np.minimum.at(top, number, row)
+    np.maximum.at(bottom, number, row)
+    np.minimum.at(left, number, c0)
+    np.maximum.at(right, number, c1)
+    opens = np.ones(len(cls), bool)
+    opens[1:] = (number[1:] != number[:-1]) | (row[1:] != row[:-1])
+    closes = np.append(opens[1:], True)
+    before = np.where(opens, left[number], np.append(0, c1[:-1]) + 1)
+    parts = [(number, row, before, c0 - 1), (number[closes], row[closes], c1[closes] + 1, right[number[closes]])]
+    # Rows of the box without any run of the class.
+    height = bottom - top + 1
+    held = np.zeros(height.sum(), bool)
+    base = np.cumsum(height) - height
+    held[base[number] + row - top[number]] = True
+    bare = np.flatnonzero(~held)
+    owner = np.searchsorted(base, bare, "right") - 1
+    parts.append((owner, bare - base[owner] + top[owner], left[owner], right[owner]))
+    k, r, a, b = (np.concatenate(x) for x in zip(*parts))
+    some = a <= b
+    k, r, a, b = k[some], r[some], a[some], b[some]
+    rim = (r == top[k]) | (r == bottom[k]) | (a == left[k]) | (b == right[k])
+    return kinds[k], r, a, b, rim
+
+
+def _in_order(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((columns[2], columns[1], columns[0]))
+    return tuple(c[order] for c in columns)
+
+
+def _patch_regions(runs: pd.DataFrame, reach: int, fill: bool) -> pd.DataFrame:
+    """Filled, labelled and summed regions of all classes of one raster, from its runs."""
+    cls, row, c0, c1 = _in_order(*(runs[c].to_numpy(np.int64) for c in ("cls", "row", "c0", "c1")))
+    if fill:
+        g = _in_order(*_gaps(cls, row, c0, c1))
+        lab = _runs_meeting(*g[:4], 0)
+        open_ = np.zeros(len(lab), bool)
+        np.logical_or.at(open_, lab, g[4])
+        hole = ~open_[lab]
+        cls, row, c0, c1 = _in_order(*(np.concatenate((x, y[hole])) for x, y in zip((cls, row, c0, c1), g)))
+        # A hole's run ends where runs of the class begin.
+        first = np.ones(len(cls), bool)
+        first[1:] = (cls[1:] != cls[:-1]) | (row[1:] != row[:-1]) | (c0[1:] > c1[:-1] + 1)
+        at = np.flatnonzero(first)
+        cls, row, c0, c1 = cls[at], row[at], c0[at], c1[np.append(at[1:], len(first)) - 1]
+    lab = _runs_meeting(cls, row, c0, c1, reach)
+    heads, number = np.unique(lab, return_inverse=True)
+    n = c1 - c0 + 1
+    sums = {name: np.bincount(number, x, len(heads)).astype(np.int64) for name, x in (("area_px", n), ("sum_row", row * n), ("sum_col2", (c0 + c1) * n))}
+    ends = {"r0": np.full(len(heads), 1 << 40), "c0": np.full(len(heads), 1 << 40), "r1": np.full(len(heads), -1), "c1": np.full(len(heads), -1)}
+    for name, x, put in (("r0", row, np.minimum), ("c0", c0, np.minimum), ("r1", row + 1, np.maximum), ("c1", c1 + 1, np.maximum)):
+        put.at(ends[name], number, x)
+    patch = [runs["patch_id"].iloc[0]] * len(heads)
+    return pd.DataFrame({"patch_id": patch, "cls": cls[heads], "label": row[heads] * ROW_SHIFT + c0[heads], "area_px": sums["area_px"],
+                         **{k: ends[k] for k in ("r0", "c0", "r1", "c1")}, "sum_row": sums["sum_row"], "sum_col2": sums["sum_col2"]})
+
+
+def _with_shape(sums: DataFrame) -> DataFrame:
+    return (sums.withColumn("centroid_row", F.col("sum_row") / F.col("area_px"))
+            .withColumn("centroid_col", F.col("sum_col2") / (2 * F.col("area_px")))
+            .withColumn("bbox_fill", F.col("area_px") / ((F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0")))))
+
+
+def patch_regions(own: LevelRuns, connectivity: int, fill: bool) -> DataFrame:
+    """:func:`region_properties` of rasters that fit a block: filling, labelling and summing in one pass over each raster's runs."""
+    reach = 1 if connectivity == 8 else 0
+    kind = own.runs.schema["patch_id"].dataType.simpleString()
+    return _with_shape(own.runs.select("patch_id", "cls", "row", "c0", "c1").groupBy("patch_id").applyInPandas(
+        lambda pdf: _patch_regions(pdf, reach, fill), REGION.format(id=kind)))
 
 
 def mmu_filter(regions: DataFrame, mmu_px: int) -> tuple[DataFrame, DataFrame]:
@@ -340,15 +420,20 @@ def label_regions(px: DataFrame | LevelRuns, level: str = "c19", params: Measure
 
 def extract_regions(px: DataFrame | LevelRuns, level: str = "c19", params: MeasureParams | None = None, *, fill: bool = True,
                     block: int = BLOCK) -> DataFrame:
-    """All surviving regions of all classes of all patches in one pass."""
-    p = params or MeasureParams()
-    return mmu_filter(region_properties(label_regions(px, level, p, fill=fill, block=block)), p.mmu_px)[0]
+    """All surviving regions of all classes of all patches in one pass.
+
+    Rasters no larger than a block are measured from their runs in a group each; larger ones are labelled by blocks and merged.
+    """
+    p = (params or MeasureParams()).require("connectivity", "mmu_px", "opening_px")
+    own = px if isinstance(px, LevelRuns) else level_runs(px, level, p.opening_px)
+    found = patch_regions(own, p.connectivity, fill) if own.side <= block else region_properties(label_regions(own, level, p, fill=fill, block=block))
+    return mmu_filter(found, p.mmu_px)[0]
 
 
-def measure_classes(px: DataFrame, level: str = "c19", params: MeasureParams | None = None) -> DataFrame:
+def measure_classes(px: DataFrame | LevelRuns, level: str = "c19", params: MeasureParams | None = None) -> DataFrame:
     """:func:`class_facts` of whole rasters, from one pass over the pixels."""
     p = (params or MeasureParams()).require("opening_px")
-    own = level_runs(px, level, p.opening_px)
+    own = px if isinstance(px, LevelRuns) else level_runs(px, level, p.opening_px)
     return class_facts(extract_regions(own, level, p), own.shapes)
 
 

@@ -58,7 +58,8 @@ def f10(spark, sf):
 
 
 def answers(spark, sf):
-    return A.answer_all(fx.open_annotations(spark, sf), measured(spark, sf), cut_lineage(regions.adjacency(fx.pixels(spark, sf))))
+    own = regions.level_runs(fx.pixels(spark, sf))  # the one scan of the pixels: areas and contacts come from its runs
+    return A.answer_all(fx.open_annotations(spark, sf), cut_lineage(regions.measure_classes(own)), cut_lineage(regions.adjacency(own)))
 
 
 def scored(spark, sf):

@@ -133,6 +133,18 @@ def test_contacts_equal_brute_force(raster):
         assert {(r.patch_id, r.class_a, r.class_b): r.radius for r in regions.contact_radius(px, radii).collect()} == first
 
 
+@pytest.mark.parametrize("connectivity,fill", [(4, True), (8, False)])
+def test_rasters_in_one_group_equal_rasters_in_blocks(raster, connectivity, fill):
+    rng = random.Random(8)
+    noise = [[rng.choice([URBAN, URBAN, FIELD, 999]) for _ in range(37)] for _ in range(29)]
+    rings = [[URBAN if (min(r, c, 20 - r, 20 - c) // 2) % 2 else FIELD for c in range(21)] for r in range(21)]
+    px = raster({1: noise, 2: rings, 3: [[LAKE]], 4: speckled(rng, 30, 40), 5: [[999, 999]]})
+    params = MeasureParams(connectivity=connectivity, mmu_px=1)
+    whole, pieces = (sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect()) for df in (
+        regions.extract_regions(px, params=params, fill=fill), regions.extract_regions(px, params=params, fill=fill, block=8)))
+    assert whole == pieces and len(whole) > 50
+
+
 def test_contacts_read_no_pixel_twice(raster):
     px = raster({1: speckled(random.Random(1), 5, 9)})
     for df in (regions.adjacency(px), regions.contact_radius(px, (0, 1, 2, 3, 5))):
