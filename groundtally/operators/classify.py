@@ -85,7 +85,7 @@ def _task_number(tasks: list[str], task: str | None) -> Column:
 def _counted_terms(texts: DataFrame, strip_accents: bool) -> DataFrame:
     """(task, _text, term, n) of distinct (task, _text)."""
     text = _plain(F.col("_text")) if strip_accents else F.lower("_text")
-    return texts.select("task", "_text", F.explode(_terms(text)).alias("term")).groupBy("task", "_text", "term").agg(F.count("*").alias("n"))
+    return texts.select("task", "_text", _tokens(text).alias("_t")).select("task", "_text", F.explode(_terms(F.col("_t"))).alias("term")).groupBy("task", "_text", "term").agg(F.count("*").alias("n"))
 
 
 def _features(texts: DataFrame, vocabulary: DataFrame, sublinear: bool, strip_accents: bool, terms: DataFrame | None = None) -> DataFrame:
@@ -133,8 +133,12 @@ def fit(train: DataFrame, text: str, label: str, task: str | None = None, max_te
     return TextClassifier(vocabulary, tasks, labels, weights, fingerprint(rows, ["_name", "_text", "_label"]).first()["digest_sum"], sublinear, strip_accents)
 
 
-def _terms(text: Column) -> Column:
-    t = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def _terms(t: Column) -> Column:
+    """Words and pairs of neighbouring words of a token column. It is named many times here, so it should be a column, not an expression."""
     pairs = F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1),
                                             lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     return F.concat(t, pairs)
@@ -142,11 +146,14 @@ def _terms(text: Column) -> Column:
 
 def term_weights(df: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
     """Sublinear TF-IDF over the whole vocabulary, L2-normalised per document, summarised per term."""
+    spark = df.sparkSession
     n_docs = df.select(key).distinct().agg(F.count("*").alias("n_docs"))
-    tf = cut_lineage(df.select(key, F.explode(_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n")))  # read by three branches
+    # Texts move, not their terms: dealt by document, terms are counted where they lie. Three branches read the counts.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tf = cut_lineage(df.select(key, text).repartition(parts, key).select(key, _tokens(F.col(text)).alias("_t")).select(key, F.explode(_terms(F.col("_t"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n")))
     vocab = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     w = (1 + F.log("n")) * (F.log((1 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1)
     weighted = tf.join(vocab, "term").join(F.broadcast(n_docs)).select(key, "term", "df", w.alias("w"))
-    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scaled = weighted.join(norm, key).withColumn("x", F.col("w") / F.col("norm"))
+    per_doc = weighted.groupBy(key).agg(F.collect_list(F.struct("term", "df", "w")).alias("ts"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    scaled = per_doc.select("norm", F.explode("ts").alias("t")).select("t.term", "t.df", (F.col("t.w") / F.col("norm")).alias("x"))
     return scaled.groupBy("term").agg(F.first("df").alias("df"), F.round(F.sum("x"), 6).alias("weight_sum"), F.round(F.max("x"), 6).alias("weight_max"))
