@@ -183,9 +183,11 @@ def _id_lists(encoded: list[bytes], kind: str) -> pa.Array:
 PIECES = "row binary, id {id}, place int, digest binary, chunk string, head string, ids binary, tail string"
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """(id, ids array<int>) of every row of ``docs``, equal to the library's ids without special tokens added.
 
+    With ``decode`` the ids are decoded where they are made, as by :func:`decode_ids`, so that no second Python worker stands beside the first.
+
     For tokenizers that drop white space and mark word ends. Null and empty texts have no ids. Strings of special tokens inside a text are encoded as
     the library does. Rows that repeat an id or a text are each answered: every row gets a number of its own in the written pieces. Whole texts are encoded;
     texts without any shared chunk never move. Of a group of copies each chunk is encoded once, and its ids go to all rows that have
@@ -195,10 +197,22 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     shared = spark.sparkContext.broadcast(shared_chunks(texts))
+    schema = f"id {kind}, ids array<int>" + (", decoded string" if decode else "")
+
+    def answers():
+        """From ids and encoded texts to a batch of the result."""
+        own, back = coder(path), _decoder(path) if decode else None
+
+        def answer(ids: list, out: list[bytes], kinds: pa.DataType) -> pa.RecordBatch:
+            lists = _id_lists(out, own.kind)
+            columns = {"id": pa.array(ids, kinds), "ids": lists} | ({"decoded": back(lists)} if back else {})
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        return answer
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows without a shared chunk."""
-        own, met = coder(path), shared.value
+        own, met, answer = coder(path), shared.value, answers()
         for batch in batches:
             ids, out, held = [], [], 0
             for i, value in zip(batch.column("id"), batch.column("text")):
@@ -208,9 +222,9 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     out.append(own.encode(text))
                     held += len(text)
                 if held > HANDED_ON:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), _id_lists(out, own.kind)], names=["id", "ids"])
+                    yield answer(ids, out, batch.column("id").type)
                     ids, out, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), _id_lists(out, own.kind)], names=["id", "ids"])
+            yield answer(ids, out, batch.column("id").type)
 
     names = [c.split()[0] for c in PIECES.split(", ")]
 
@@ -259,7 +273,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces sorted by row and place, one text at a time."""
-        own = coder(path)
+        own, answer = coder(path), answers()
         joiner, row, i, ids, out, held = Joiner(own), None, None, [], [], 0
         for batch in batches:
             kinds = batch.column("id").type
@@ -272,10 +286,10 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     joiner, row, i = Joiner(own), r, this
                 joiner.add(head, piece, tail)
                 if held > HANDED_ON:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, kinds), _id_lists(out, own.kind)], names=["id", "ids"])
+                    yield answer(ids, out, kinds)
                     ids, out, held = [], [], 0
         if row is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([*ids, i], kinds), _id_lists([*out, joiner.finish()], own.kind)], names=["id", "ids"])
+            yield answer([*ids, i], [*out, joiner.finish()], kinds)
 
     pieces = written(texts.mapInArrow(in_pieces, PIECES.format(id=kind)), "zstd")
     encoded = pieces.filter("chunk is not null").select("digest", "chunk").distinct().mapInArrow(
@@ -284,8 +298,28 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     columns = ["row", "id", "place", "head", "ids", "tail"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = (pieces.filter("digest is null").select(*columns).unionByName(moved.select(*columns))
-             .repartition(parts, "row").sortWithinPartitions("row", "place").mapInArrow(join_pieces, f"id {kind}, ids array<int>"))
-    return texts.mapInArrow(alone, f"id {kind}, ids array<int>").unionByName(whole)
+             .repartition(parts, "row").sortWithinPartitions("row", "place").mapInArrow(join_pieces, schema))
+    return texts.mapInArrow(alone, schema).unionByName(whole)
+
+
+def _decoder(path: str):
+    """From lists of ids to texts, a batch at a time."""
+    tokenizer = coder(path).tokenizer
+    tokens = pa.array([tokenizer.id_to_token(i) for i in range(max(tokenizer.get_vocab().values()) + 1)], pa.large_string())
+
+    def decode(lists: pa.Array) -> pa.Array:
+        lists = pc.fill_null(lists, []) if lists.null_count else lists
+        sizes = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        flat = lists.flatten()
+        known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
+        words = tokens.take(pc.if_else(known, flat, pa.scalar(None, pa.int32())))
+        if words.null_count:
+            there = words.is_valid().to_numpy(zero_copy_only=False)
+            sizes = np.concatenate(([0], np.cumsum(there)))[sizes]
+            words = words.drop_null()
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(sizes, pa.int64()), words), pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+    return decode
 
 
 def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -300,19 +334,8 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
     schema = StructType([*encoded.select(*kept).schema.fields, StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = coder(path).tokenizer
-        tokens = pa.array([tokenizer.id_to_token(i) for i in range(max(tokenizer.get_vocab().values()) + 1)], pa.large_string())
+        decode = _decoder(path)
         for batch in batches:
-            lists = pc.fill_null(batch.column(ids_col), []) if batch.column(ids_col).null_count else batch.column(ids_col)
-            sizes = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
-            flat = lists.flatten()
-            known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
-            words = tokens.take(pc.if_else(known, flat, pa.scalar(None, pa.int32())))
-            if words.null_count:
-                there = words.is_valid().to_numpy(zero_copy_only=False)
-                sizes = np.concatenate(([0], np.cumsum(there)))[sizes]
-                words = words.drop_null()
-            text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(sizes, pa.int64()), words), pa.scalar(" ", pa.large_string())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), text], names=[*kept, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), decode(batch.column(ids_col))], names=[*kept, "decoded"])
 
     return encoded.select(*kept).mapInArrow(run, schema)

@@ -114,11 +114,11 @@ def id_digests(found: DataFrame) -> DataFrame:
 
 
 def op12_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from groundtally.llm.chunk_reuse import decode_ids, encode_texts
+    from groundtally.llm.chunk_reuse import encode_texts
     from groundtally.llm.tokens import vocabulary_path
 
     path = vocabulary_path("word_bpe_49k.json")
-    return id_digests(decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)).withColumnRenamed("id", "doc_id")
+    return id_digests(encode_texts(table(spark, sf_dir, "documents"), path, decode=True)).withColumnRenamed("id", "doc_id")
 
 
 def tampered_leaf(docs: DataFrame) -> Column:

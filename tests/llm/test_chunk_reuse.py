@@ -73,6 +73,7 @@ def test_query_rows_equal_library(make_docs, library):
     texts += [(3000, texts[-1][1])] * 60 + [(None, texts[-2][1])] * 5
     got = Counter(tuple(r) for r in id_digests(c.decode_ids(c.encode_texts(make_docs(texts), PATH), PATH)).collect())
     assert got == Counter(expected(library, texts))
+    assert got == Counter(tuple(r) for r in id_digests(c.encode_texts(make_docs(texts), PATH, decode=True)).collect())
 
 
 def test_full_slot_table_changes_nothing(make_docs, library, monkeypatch):
