@@ -29,7 +29,7 @@ WINDOW, LEAST_CHUNK, CUT_BITS = 32, 128, 9
 #: Slots of the table that tells chunks met once from others, one bit each: 8 MB whatever the corpus. A fuller table moves more chunks and changes no result.
 SLOTS, SLOTS_A_ROW = 1 << 26, 1 << 15
 #: Words and digests of chunks that a worker remembers, in each generation.
-WORDS_REMEMBERED, CHUNKS_REMEMBERED = 150_000, 100_000
+WORDS_REMEMBERED, CHUNKS_REMEMBERED = 400_000, 100_000
 #: Characters of text after which a task hands its rows on.
 HANDED_ON = 2_000_000
 
