@@ -2,12 +2,12 @@
 
 Equal sets are one set from the start. Of two sets that reach the threshold the first few elements,
 in one global order with frequent elements last, must share one; those prefixes are the index. Its lists are
-worked off in two steps. First every set of a list meets the list's pivot alone, and verified links
-give components. Then a list whose sets are all in one component is skipped whole: their links change
-no answer. In the others, sets outside the pivot's component meet the rest, block by block: blocks
-of one list are skipped by size and position, and for sets that were both compared with the pivot the
-overlap is bounded by what is known of the pivot's. Sketches rule out most of the rest, and only undecided
-pairs are read in full.
+worked off in rounds. In each, a set meets two others at most, the first and the last component's end of
+all its lists, and verified links give components; rounds go on while they link much. A list whose sets are
+all in one component is skipped whole: their links change no answer. In the lists that stay mixed, sets outside the first component meet the rest,
+block by block: blocks of one list are skipped by size and position, and for sets that were compared with
+one and the same pivot the overlap is bounded by what is known of the pivot's. Sketches rule out most of the rest, and
+only undecided pairs are read in full.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from groundtally.llm.common import digest_of, written
 
 WORDS, PER_CENT = 5, 75
-#: How many frequent shingles are told apart in the global order, and how often one must occur in
-#: a chunk to be counted. They change the work, never the result.
-FREQUENT, CHUNK_SHINGLES, CHUNK_COUNT = 1 << 18, 1 << 21, 3
+#: Counters by which the global order tells frequent shingles; a shingle's counter is its hash modulo their number. They change
+#: the work, never the result. They move in blocks.
+FREQUENT, BLOCK, CHUNK_SHINGLES = 1 << 22, 1 << 14, 1 << 20
+#: Rounds of pivots go on while a round brings more than this part of all links so far.
+GAIN = 1 / 20
 SLOTS = 1 << 20
 
 
@@ -106,8 +108,8 @@ def _batches(rows: list[tuple], types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
 
 
-def name_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds from one scan: documents (id, n, set, sketch) and counts of shingles frequent in a chunk (shingle, count).
+def name_sets(docs: DataFrame, words: int, counters: int) -> DataFrame:
+    """Rows of two kinds from one scan: documents (id, n, set, sketch) and blocks of a task's counters (set_name: the block, sketch: packed).
 
     An id may be of any type; it is passed on.
     """
@@ -118,47 +120,72 @@ def name_sets(docs: DataFrame, words: int) -> DataFrame:
         rows: list[tuple] = []
         chunk: list[np.ndarray] = []
         held = 0
+        counts = np.zeros(counters, np.uint32)
 
-        def counted() -> None:
-            shingles, counts = np.unique(np.concatenate(chunk), return_counts=True)
-            often = counts >= CHUNK_COUNT
-            rows.extend((1, None, c, s, None) for s, c in zip(shingles[often].view(np.int64).tolist(), counts[often].tolist()))
+        def count() -> None:
+            slots = (np.concatenate(chunk) % np.uint64(counters)).astype(np.int64)
+            counts[:] += np.bincount(slots, minlength=counters).astype(np.uint32)
 
         for make, name, shingles in _sets(batches, words):
             rows.append((0, name, shingles.size, make.name(shingles), make.sketch(shingles)) if shingles.size else (0, name, 0, None, None))
             chunk.append(shingles)
             held += shingles.size
             if held >= CHUNK_SHINGLES:
-                counted()
+                count()
                 chunk, held = [], 0
             if len(rows) >= 20_000:
                 yield _batches(rows, types)
                 rows.clear()
         if chunk:
-            counted()
+            count()
+        for start in range(0, counters, BLOCK):
+            block = counts[start:start + BLOCK]
+            if block.any():
+                rows.append((1, None, block.size, start // BLOCK, pa.compress(block.tobytes(), "zstd", asbytes=True)))
         yield _batches(rows, types)
 
     return docs.mapInArrow(run, f"kind int, id {kind_of_id.simpleString()}, n long, set_name long, sketch binary")
 
 
+def frequency_classes(blocks: DataFrame, counters: int) -> np.ndarray:
+    """Two classes for each doubling of a counter, 0 where it is at most one. ``counters`` bytes, whatever the corpus."""
+    types = {"block": pa.int64(), "classes": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                counts = np.frombuffer(pa.decompress(packed, 4 * n, "zstd", asbytes=True), np.uint32)
+                sums[block] = sums[block] + counts if block in sums else counts.astype(np.uint64)
+        yield _batches([(b, np.floor(2 * np.log2(np.maximum(c, 1))).astype(np.uint8).tobytes()) for b, c in sums.items()], types)
+
+    classes = np.zeros(counters, np.uint8)
+    parts = min(64, -(-counters // BLOCK))
+    found = blocks.select("set_name", "n", "sketch").repartition(parts, "set_name").mapInArrow(run, "block long, classes binary")
+    for block, packed in found.collect():  # one byte a counter
+        classes[block * BLOCK:block * BLOCK + len(packed)] = np.frombuffer(packed, np.uint8)
+    return classes
+
+
 def least_overlap(a: Column, b: Column, per_cent: int) -> Column:
     """The smallest intersection with which sets of these sizes link, as an integer."""
     return F.ceil(F.lit(per_cent) * (a + b) / F.lit(100 + per_cent))
 
 
-def prefix_postings(docs: DataFrame, words: int, per_cent: int, frequent: np.ndarray, classes: np.ndarray, buckets: int) -> DataFrame:
+def prefix_postings(docs: DataFrame, words: int, per_cent: int, classes: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, common, size, packed): the index prefix of every set, once a task for equal sets, in columns of bytes.
 
     Postings are packed by the bucket they belong to before they move, many to a row. Those of frequent
     tokens are dealt by set, so that no list of them meets in one task; the others by token.
     """
-    order = docs.sparkSession.sparkContext.broadcast((frequent, classes))  # FREQUENT entries at most
+    order = docs.sparkSession.sparkContext.broadcast(classes)  # FREQUENT bytes
+    # eight times what a counter holds in the middle, 256 at least
+    often = max(16, int(np.median(classes)) + 6)
+    counters = classes.size
     types = {"bucket": pa.int32(), "common": pa.bool_(), "size": pa.int32(), "packed": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rank = order.value
-        slots = np.zeros(SLOTS, bool)
-        slots[often & np.uint64(SLOTS - 1)] = True
+        rank = order.value
         seen: set[tuple[int, int]] = set()
         parts: list[tuple] = []
         held = 0
@@ -184,14 +211,9 @@ def prefix_postings(docs: DataFrame, words: int, per_cent: int, frequent: np.nda
             if len(seen) < 1_000_000:
                 seen.add((name, n))
             take = n - (-(-per_cent * n // 100)) + 1
-            at = np.flatnonzero(slots[shingles & np.uint64(SLOTS - 1)])
-            cls = np.zeros(n, np.uint8)
-            if at.size and often.size:
-                found = np.minimum(np.searchsorted(often, shingles[at]), often.size - 1)
-                same = often[found] == shingles[at]
-                cls[at[same]] = rank[found[same]]
-            pick = np.argsort(cls, kind="stable")[:take] if cls.any() else np.arange(take)
-            parts.append((shingles[pick], np.full(take, name, np.int64), np.full(take, n, np.uint32), np.arange(take, dtype=np.uint32), cls[pick] > 0))
+            cls = rank[shingles % np.uint64(counters)]
+            pick = np.argsort(cls, kind="stable")[:take]
+            parts.append((shingles[pick], np.full(take, name, np.int64), np.full(take, n, np.uint32), np.arange(take, dtype=np.uint32), cls[pick] >= often))
             held += take
             if held >= 300_000:
                 yield out()
@@ -326,44 +348,66 @@ def _may_link(x: str, y: str, per_cent: int) -> Column:
     return (100 * F.least(nx, ny) >= per_cent * F.greatest(nx, ny)) & (reach >= least_overlap(nx, ny, per_cent))
 
 
+def _pivot_pairs(labelled: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, na, b, nb): each set b with a member of the first and one of the last component of its lists, two pairs at most for a set."""
+    place = F.struct("root", "set_name", "n", "pos")
+    ends = labelled.groupBy("token").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo.root <> hi.root")
+    starred = labelled.alias("x").join(ends, "token")
+    end = lambda e: F.when((F.col("x.root") != F.col(f"{e}.root")) & _may_link("x", e, per_cent), F.struct(*(F.col(f"{e}.{k}").alias(k) for k in ("root", "set_name", "n"))))
+    chosen = (starred.groupBy(F.col("x.set_name").alias("b"), F.col("x.n").alias("nb")).agg(F.min(end("lo")).alias("lo"), F.max(end("hi")).alias("hi"))
+              .select("b", "nb", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("p")))
+    return chosen.filter("p is not null").select(F.col("p.set_name").alias("a"), F.col("p.n").alias("na"), "b", "nb")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Lists with sets of two components or more, with the first component of each."""
+    ends = labelled.groupBy("token").agg(F.min("root").alias("first_root"), F.max("root").alias("r1")).filter("first_root <> r1").drop("r1")
+    return labelled.join(ends, "token")
+
+
 def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame]:
     """Documents (id, n, set_name) and components (set_name, root) of sets linked to another; ``docs`` has id and text."""
     spark = docs.sparkSession
-    rows = written(name_sets(docs, words))
+    rows = written(name_sets(docs, words, FREQUENT))
     named = rows.filter("kind = 0").select("id", "n", "set_name")
-    top = (rows.filter("kind = 1").groupBy("set_name").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "set_name").limit(FREQUENT).toPandas())
-    frequent = top["set_name"].to_numpy(np.int64).view(np.uint64)
-    by_token = np.argsort(frequent)
-    classes = np.array([int(c).bit_length() for c in top["c"]], np.uint8)
+    classes = frequency_classes(rows.filter("kind = 1"), FREQUENT)
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = written(_shared(prefix_postings(docs, words, per_cent, frequent[by_token], classes[by_token], 4 * partitions), partitions))
-    pivots = lists.groupBy("token").agg(F.min(F.struct("set_name", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    starred = lists.alias("x").join(pivots.select("token", "p.*").alias("y"), "token")
-    pairs = written(starred.filter(F.col("x.set_name") != F.col("y.set_name")).filter(_may_link("x", "y", per_cent))
-                    .select(F.col("y.set_name").alias("a"), F.col("y.n").alias("na"), F.col("x.set_name").alias("b"), F.col("x.n").alias("nb")).distinct())
+    lists = written(_shared(prefix_postings(docs, words, per_cent, classes, 4 * partitions), partitions))
     sketches = rows.filter("kind = 0 and n > 0").groupBy("set_name", F.col("n").cast("int").alias("n")).agg(F.first("sketch").alias("sketch"))
-    capped = written(_plausible(pairs, sketches, per_cent))
-    likely = capped.filter("likely").drop("cap", "likely")
     sides = lambda p: p.select(F.col("a").alias("set_name")).unionByName(p.select(F.col("b").alias("set_name")))
-    first = written(_verified(likely, read_sets(docs, words, sides(likely))))
     links = lambda v: v.filter(F.col("overlap") >= least_overlap(F.col("na"), F.col("nb"), per_cent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = contract(links(first))
-
-    # lists with sets of two components or more
-    labelled = lists.join(roots.withColumnRenamed("node", "set_name"), "set_name", "left").withColumn("root", F.coalesce("root", "set_name"))
-    mixed = labelled.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("set_name", "root")).alias("p")).filter("r0 <> r1")
-    # what is known of each set's overlap with the pivot: exactly (c), or at most (cap)
-    exact = first.select(F.col("a").alias("pivot"), F.col("b").alias("set_name"), F.col("overlap").alias("c"))
-    known = capped.select(F.col("a").alias("pivot"), F.col("b").alias("set_name"), "cap").join(exact, ["pivot", "set_name"], "left")
+    both_ways = lambda p: p.select("a", "b").unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    labelled = lists.withColumn("root", F.col("set_name"))
+    capped = exact = linked = roots = None
+    total = 0
+    while True:
+        pairs = _pivot_pairs(labelled, per_cent)
+        if capped is not None:
+            pairs = pairs.join(both_ways(capped), ["a", "b"], "left_anti")
+        caps = written(_plausible(pairs, sketches, per_cent))
+        likely = caps.filter("likely").drop("cap", "likely")
+        overlaps = written(_verified(likely, read_sets(docs, words, sides(likely))))
+        capped = caps if capped is None else capped.unionByName(caps)
+        exact = overlaps if exact is None else exact.unionByName(overlaps)
+        gained = links(overlaps).count()
+        total += gained
+        if gained or roots is None:
+            linked = links(exact)
+            roots = contract(linked)
+            labelled = _mixed(lists.join(roots.withColumnRenamed("node", "set_name"), "set_name", "left").withColumn("root", F.coalesce("root", "set_name")))
+            labelled = written(labelled)
+        if gained <= GAIN * total:
+            break
+
+    # what is known of each set's overlap with its smallest pivot: exactly (c), or at most (cap)
+    known = (capped.join(exact, ["a", "na", "b", "nb"], "left").groupBy(F.col("b").alias("set_name"))
+             .agg(F.min(F.struct(F.col("a").alias("pivot"), F.coalesce("overlap", "cap").alias("cap"), F.col("overlap").alias("c"))).alias("k")))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / per_cent)).cast("int")
     step = F.floor(F.log2(F.col("pos") + 1.0)).cast("int")
-    opened = (labelled.join(mixed.select("token", F.col("p.set_name").alias("pivot"), F.col("p.root").alias("pivot_root")), "token")
-              .join(known, ["pivot", "set_name"], "left")
-              .withColumn("cap", F.coalesce("c", "cap", "n"))
-              .withColumn("band", band).withColumn("step", step))
-    opened = written(opened.filter(F.col("set_name") != F.col("pivot")))  # every set has met its list's pivot
-    apart = opened.filter("root <> pivot_root")
+    opened = written(labelled.join(known, "set_name", "left").select("*", "k.pivot", "k.cap", "k.c").drop("k").withColumn("band", band).withColumn("step", step))
+    apart = opened.filter("root <> first_root")
     block = lambda d: d.groupBy("token", "band", "step").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("pos").alias("p1"), F.max(F.col("n") - F.col("pos") - 1).alias("rest"))
     x, y = block(apart).alias("x"), block(opened).alias("y")
     c = lambda s, k: F.col(f"{s}.{k}")
@@ -374,13 +418,15 @@ def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     ax = ax.select("x.*", "k.yb", "k.ys").alias("x")
     beside = lambda s: c(s, "n") - F.coalesce(c(s, "c"), F.lit(0))  # noqa: E731  outside the pivot at most
     derived = F.least(c("x", "cap"), c("y", "cap")) + F.least(beside("x"), beside("y"))
-    undecided = (c("x", "root") != c("y", "root")) & _may_link("x", "y", per_cent) & (derived >= least_overlap(c("x", "n"), c("y", "n"), per_cent))
+    bounded = (c("x", "pivot") == c("y", "pivot")) & (derived < least_overlap(c("x", "n"), c("y", "n"), per_cent))
+    once = (c("y", "root") == c("y", "first_root")) | (c("x", "set_name") < c("y", "set_name"))
+    undecided = (c("x", "root") != c("y", "root")) & once & _may_link("x", "y", per_cent) & ~F.coalesce(bounded, F.lit(False))
     rest = ax.join(opened.alias("y"), (c("x", "token") == c("y", "token")) & (c("x", "yb") == c("y", "band")) & (c("x", "ys") == c("y", "step")) & undecided)
     swap = c("x", "set_name") > c("y", "set_name")
     more = rest.select(*(F.when(swap, c(s, k)).otherwise(c(t, k)).alias(o) for o, s, t, k in (("a", "y", "x", "set_name"), ("na", "y", "x", "n"), ("b", "x", "y", "set_name"), ("nb", "x", "y", "n")))).distinct()
-    more = written(_plausible(more.join(pairs, ["a", "na", "b", "nb"], "left_anti"), sketches, per_cent).filter("likely").drop("cap", "likely"))
+    more = written(_plausible(more.join(both_ways(capped), ["a", "b"], "left_anti"), sketches, per_cent).filter("likely").drop("cap", "likely"))
     second = written(_verified(more, read_sets(docs, words, sides(more))))
-    return named, contract(links(first).unionByName(links(second)))
+    return named, contract(linked.unionByName(links(second)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
