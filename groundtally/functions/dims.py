@@ -75,6 +75,11 @@ def surface_forms() -> tuple[tuple[str, str, bool, bool], ...]:
     return tuple((f, *table[f]) for f in ordered)
 
 
+def form_patterns() -> tuple[tuple[str, str], ...]:
+    """(form, pattern of its whole words with any gaps), longest form first."""
+    return tuple((f, r"\b" + r"[,\s]+".join(re.escape(w) for w in f.split()) + r"\b") for f, *_ in surface_forms())
+
+
 def mention_pattern(mode: str = "whole_word") -> str:
     """One alternation over every surface form, longest first."""
     if mode == "whole_word":

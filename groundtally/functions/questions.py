@@ -96,7 +96,13 @@ def contained_classes(text: Column) -> Column:
 
 
 def mask_classes(text: Column) -> Column:
-    return F.regexp_replace(text, "(?i)" + dims.mention_pattern(), " _CLASS_ ")
+    """Blanks the first free occurrence of every form, longest form first; what a longer form took is free no more.
+
+    Only forms that the text holds are folded over, so a row pays for few patterns.
+    """
+    rows = ", ".join(f"named_struct('form', {dims._sql(f)}, 'first', {dims._sql('(?is)^(.*?)' + p)})" for f, p in dims.form_patterns())
+    held = let(F.regexp_replace(F.lower(text), r"[,\s]+", " "), lambda low: F.filter(F.expr(f"array({rows})"), lambda s: F.contains(low, s["form"])))
+    return F.aggregate(held, text, lambda masked, s: F.regexp_replace(masked, s["first"], F.lit("$1 _CLASS_ ")))
 
 
 # ------------------------------------------------------------------------------ quantities

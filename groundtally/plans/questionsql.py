@@ -28,6 +28,15 @@ def raw_mentions(col, pattern=PAT):
     return f"LIST_TRANSFORM(REGEXP_EXTRACT_ALL(LOWER({col}), {q(pattern)}), lambda x: {FORM_MAP}[REGEXP_REPLACE(x, '[,\\s]+', ' ', 'g')])"
 
 
+_FIRSTS = "[" + ", ".join("{'f': " + q(f) + ", 'p': " + q("(?i)" + p) + "}" for f, p in dims.form_patterns()) + "]"
+
+
+def masked(col):
+    """Every form that the text holds in turn, longest first: its first occurrence is blanked."""
+    held = f"LIST_FILTER({_FIRSTS}, lambda s: CONTAINS(REGEXP_REPLACE(LOWER({col}), '[,\\s]+', ' ', 'g'), s.f))"
+    return f"LIST_REDUCE(LIST_PREPEND({col}, LIST_TRANSFORM({held}, lambda s: s.p)), lambda acc, p: REGEXP_REPLACE(acc, p, ' _CLASS_ '))"
+
+
 def ordered(col):
     return f"LIST_FILTER({col}, lambda x, i: LIST_POSITION({col}, x) = i)"
 
@@ -98,7 +107,7 @@ SPEC = [
     f"s1 AS (SELECT *, {SEG} AS seg FROM s0)",
     f"s2 AS (SELECT *, {split_options('seg')}, {raw_mentions('stem')} AS m_stem, {raw_mentions('input')} AS m_all, "
     f"{raw_mentions(grp('input', V.REF_TAG, 1))} AS m_ref, {grp('input', V.REF_TAG, 1)} AS ref, "
-    f"REGEXP_REPLACE(stem, {q('(?i)' + PAT)}, ' _CLASS_ ', 'g') AS cue FROM s1)",
+    f"{masked('stem')} AS cue FROM s1)",
     f"s3 AS (SELECT *, LEN(letters) = 4 AS is_mcq, {ordered('m_stem')} AS classes, {ordered('m_all')} AS all_classes, {ordered('m_ref')} AS ref_classes FROM s2)",
     f"s4 AS (SELECT *, {INTENT} AS h_intent, {RULE} AS h_rule, CASE WHEN LEN(ref_classes) > 0 THEN ref_classes ELSE all_classes END AS ref_pick FROM s3)",
     "s5 AS (SELECT *, CASE WHEN h_intent IN ('adjacency', 'relative_position') THEN 2 ELSE 1 END AS need FROM s4)",

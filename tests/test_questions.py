@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import inspect
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from groundtally.functions import dims
 from groundtally.functions import questions as Q
 from groundtally.operators import classify
 from groundtally.plans import answers, questions
@@ -116,3 +119,38 @@ def test_registered_classifiers_leave_the_stop_to_the_tolerance(spark, monkeypat
         with pytest.raises(InterruptedError):
             query(spark, SF)
     assert asked == [least] * 3 and least >= 5000  # the reference's limit
+
+
+def test_masking_takes_the_first_free_occurrence_of_each_form(spark):
+    """Against plain Python on random strings of forms, parts of forms and fillers."""
+    rng = random.Random(11)
+    forms = [f for f, *_ in dims.surface_forms()]
+    parts = sorted({w for f in forms for w in f.split()})
+    patterns = [re.compile(r"(?<![\w])" + r"[,\s]+".join(re.escape(w) for w in f.split()) + r"(?![\w])", re.I) for f in forms]
+
+    def plain(text):
+        taken, spans = [False] * len(text), []
+        for pattern in patterns:
+            for m in pattern.finditer(text):
+                if not any(taken[m.start():m.end()]):
+                    taken[m.start():m.end()] = [True] * (m.end() - m.start())
+                    spans.append(m.span())
+                    break
+        out, end = [], 0
+        for a, b in sorted(spans):
+            out += [text[end:a], " _CLASS_ "]
+            end = b
+        return "".join(out) + text[end:]
+
+    def one():
+        pool = rng.sample(forms, 3)
+        words = [rng.choice([rng.choice(pool), rng.choice(pool), rng.choice(parts), rng.choice(["is", "covered", "season", "(x)", "9%"])]) for _ in range(rng.randint(0, 9))]
+        text = "".join(w + rng.choice([" ", ", ", "/", "  "]) for w in words)
+        return "".join(c.upper() if rng.random() < 0.1 else c for c in text)
+
+    texts = [one() for _ in range(20_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(8).select("id", Q.mask_classes(F.col("text")).alias("cue")).collect()
+    assert len(rows) == len(texts)
+    wrong = [(texts[r.id], r.cue, plain(texts[r.id])) for r in rows if r.cue != plain(texts[r.id])]
+    assert not wrong, wrong[:3]
+    assert sum(t.count(" _CLASS_ ") > 1 for t in map(plain, texts)) > 1000
