@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from groundtally.functions import fixed_values as V
 from groundtally.plans.sqlviews import ANNOTATIONS, PATCHES, PIXELS, TAX, chain
 from groundtally.session import ensure_checkpoint_dir
+from groundtally.sources import files as D
 from groundtally.sources import fixture as fx
 from groundtally.sources import tables as T
 
@@ -82,23 +83,29 @@ def a10(spark, sf):
     return T.pending_ingest(incoming, p.filter(F.col("country") == "BUILDING"))
 
 
-SHARDS = 16
+#: Bytes of html in a file, about, and the least number of files; bytes of a range.
+FILE_BYTES, LEAST_FILES, PAGE_RANGE = 4 << 20, 8, 1 << 16
 
 
 def a11(spark, sf):
-    """Pages go to one text file per shard; the files are read back and held against a manifest with planted faults."""
-    pages = fx.table(spark, sf, "pages").select((F.col("page_id") % SHARDS).cast("int").alias("shard"), "page_id", F.coalesce("html", F.lit("")).alias("html"))
+    """Pages go to text files of some MB; the files are read back by ranges and held against a manifest with planted faults.
+
+    The manifest's digests are made of the table's rows as they pass, in the order in which they are written.
+    """
+    pages = fx.table(spark, sf, "pages").select(F.coalesce("page_id", F.lit(0)).alias("page_id"), F.coalesce("html", F.lit("")).alias("html"))
+    total = pages.agg((F.max("page_id") + 1).alias("ids"), F.sum(F.octet_length("html")).alias("bytes")).select(
+        F.ceil(F.col("ids") / F.greatest(F.lit(LEAST_FILES), F.ceil(F.col("bytes") / FILE_BYTES))).cast("long").alias("run"))
+    shard = F.floor(F.col("page_id") / F.col("run")).cast("long")
+    dealt = pages.crossJoin(F.broadcast(total)).withColumn("shard", shard).select("shard", "page_id", F.col("html").alias("line"))  # one row of totals
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "page_id", "line")
     path = scratch(spark, "pages")
-    pages.repartition(SHARDS, "shard").sortWithinPartitions("shard", "page_id").select("shard", "html").write.partitionBy("shard").text(path)
-    contents = T.file_contents(spark, path)
-    line = F.concat("html", F.lit("\n"))
-    per = pages.groupBy("shard").agg(F.sum(F.octet_length(line)).cast("long").alias("size"),
-                                     F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", line.alias("t")))), lambda x: x["t"]), "")).alias("digest"))
-    named = per.withColumn("name", F.concat(F.lit("shard="), F.col("shard").cast("string")))
-    faulty = named.select("name", F.when(F.col("shard") == 2, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
-                          F.when(F.col("shard") == 3, F.md5("name")).otherwise(F.col("digest")).alias("digest"), "shard").filter(F.col("shard") != 5)
-    lost = faulty.filter(F.col("shard") == 0).select(F.lit("shard=lost").alias("name"), "size", "digest")
-    return T.verify_contents(contents, faulty.drop("shard").unionByName(lost))
+    dealt.select("shard", "line").write.partitionBy("shard").text(path)
+    per = D.stream_digests(dealt.select(F.concat(F.lit("shard="), F.col("shard").cast("string")).alias("name"), "line"), range_bytes=PAGE_RANGE)
+    number = F.substring_index("name", "=", -1).cast("long") % 8
+    faulty = per.select("name", F.when(number == 2, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+                        F.when(number == 3, F.md5("name")).otherwise(F.col("digest")).alias("digest")).filter(number != 5)
+    lost = spark.range(1).select(F.lit("shard=lost").alias("name"), F.lit(1).cast("long").alias("size"), F.md5(F.lit("lost")).alias("digest"))
+    return D.verify_digests(D.file_digests(spark, path, range_bytes=PAGE_RANGE), faulty.unionByName(lost))
 
 
 def tile_folds(spark, sf):
@@ -165,8 +172,13 @@ ORACLES = {
     "A10_resumable_ingest": chain(PATCHES) + "SELECT patch_id, CASE WHEN country <> 'MACHINERY' THEN tile END AS tile, CASE WHEN country = 'MACHINERY' THEN 'no_tile' "
         "WHEN country = 'BUILDING' THEN 'stored' ELSE 'new' END AS status FROM (SELECT CASE WHEN country = 'MACHINERY' THEN 'X_' || patch_id || '_x' "
         "ELSE patch_id END AS patch_id, tile, country FROM patches)",
-    "A11_integrity_check": f"SELECT 'shard=' || s AS name, CASE s WHEN 2 THEN 'size_mismatch' WHEN 3 THEN 'digest_mismatch' WHEN 5 THEN 'unlisted' ELSE 'ok' END AS status FROM "
-        f"(SELECT DISTINCT page_id % {SHARDS} AS s FROM pages) UNION ALL SELECT 'shard=lost', 'missing'",
+    "A11_integrity_check": f"WITH t AS (SELECT CAST(CEIL((MAX(page_id) + 1) / GREATEST({LEAST_FILES}, CEIL(SUM(STRLEN(COALESCE(html, ''))) / {FILE_BYTES}))) AS BIGINT) AS run FROM pages), "
+        "s AS (SELECT page_id // run AS shard, HEX(ENCODE(STRING_AGG(COALESCE(html, '') || CHR(10), '' ORDER BY page_id))) AS h FROM pages, t GROUP BY shard), "
+        f"r AS (SELECT shard, LEN(h) // 2 AS size, UNNEST(RANGE(0, LEN(h), {2 * PAGE_RANGE})) AS pos, h FROM s), "
+        f"d AS (SELECT shard, size, pos, MD5(UNHEX(SUBSTR(h, pos + 1, {2 * PAGE_RANGE}))) AS leaf FROM r), "
+        "f AS (SELECT shard, size, COUNT(*) AS n_ranges, CASE COUNT(*) WHEN 1 THEN MIN(leaf) ELSE MD5(STRING_AGG(leaf, '' ORDER BY pos)) END AS digest FROM d GROUP BY shard, size) "
+        "SELECT 'shard=' || shard AS name, size, n_ranges, digest, CASE shard % 8 WHEN 2 THEN 'size_mismatch' WHEN 3 THEN 'digest_mismatch' WHEN 5 THEN 'unlisted' ELSE 'ok' END AS status FROM f "
+        "UNION ALL SELECT 'shard=lost', NULL, NULL, NULL, 'missing'",
     "A12_split_manifest": chain(PATCHES, "f AS (SELECT patch_id, tile, CAST(SUBSTR(tile, 2, 2) AS INT) % 5 AS fold FROM patches)") +
         "SELECT 's2_tile' AS strategy, 5 AS k, 1337 AS seed, (SELECT COUNT(DISTINCT tile) FROM f) AS block_count, COUNT(*) AS n_patches, "
         "(SELECT STRING_AGG(n::VARCHAR, ',' ORDER BY fold) FROM (SELECT fold, COUNT(*) AS n FROM f GROUP BY fold)) AS fold_sizes, '' AS error FROM f "

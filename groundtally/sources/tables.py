@@ -84,27 +84,6 @@ def pending_ingest(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         F.when(tile == "", F.lit("no_tile")).when(F.col("_seen"), F.lit("stored")).otherwise(F.lit("new")).alias("status"))
 
 
-def file_contents(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content) of every file below ``path``; each file must fit one record (2 GB)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    parts = F.split("path", "/")
-    last = F.element_at(parts, -1)
-    folder = F.element_at(parts, -2)  # a partition folder names the one file in it
-    return files.select(F.when(last.startswith("part-") & folder.contains("="), folder).otherwise(last).alias("name"), "content")
-
-
-def verify_contents(contents: DataFrame, manifest: DataFrame, algorithm: str = "md5") -> DataFrame:
-    """Size and digest of (name, content) against (name, size, digest): ok or the first mismatch."""
-    if algorithm not in ("md5", "sha256"):
-        raise ValueError(f"unsupported digest {algorithm}")
-    digest = F.md5("content") if algorithm == "md5" else F.sha2("content", 256)
-    found = contents.select("name", F.octet_length("content").cast("long").alias("found_size"), digest.alias("found"))
-    return manifest.join(found, "name", "full").select(
-        "name", F.when(F.col("found_size").isNull(), "missing").when(F.col("size").isNull(), "unlisted")
-        .when(F.col("size") != F.col("found_size"), "size_mismatch")
-        .when(F.lower("digest") != F.col("found"), "digest_mismatch").otherwise("ok").alias("status"))
-
-
 def manifest_summary(folds: DataFrame, strategy: str, k: int, seed: int) -> DataFrame:
     """(patch_id, block, fold) -> one JSON summary row; the assignment itself stays a table."""
     sizes = folds.groupBy("fold").agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from groundtally.functions import text
 from groundtally.operators import bands, quality, splits
-from groundtally.sources import tables
+from groundtally.sources import files, tables
 
 
 def grid(spark, tiles=("T30ABC",), n=3):
@@ -117,9 +118,37 @@ def test_class_maps_prune_tiles(spark, tmp_path, raster):
 def test_integrity_of_files(spark, tmp_path):
     (tmp_path / "good.bin").write_bytes(b"abc")
     (tmp_path / "bad.bin").write_bytes(b"abd")
-    man = spark.createDataFrame([("good.bin", 3, "900150983cd24fb0d6963f7d28e17f72"), ("bad.bin", 3, "900150983cd24fb0d6963f7d28e17f72"), ("gone.bin", 1, "x")], "name string, size long, digest string")
-    got = {r.name: r.status for r in tables.verify_contents(tables.file_contents(spark, str(tmp_path)), man).collect()}
-    assert got == {"good.bin": "ok", "bad.bin": "digest_mismatch", "gone.bin": "missing"}
+    (tmp_path / "long er.bin").write_bytes(b"abcd")
+    (tmp_path / "more.bin").write_bytes(b"x")
+    (tmp_path / "empty.bin").write_bytes(b"")
+    plain = "900150983cd24fb0d6963f7d28e17f72"
+    man = spark.createDataFrame([("good.bin", 3, plain.upper()), ("bad.bin", 3, plain), ("long er.bin", 3, plain), ("gone.bin", 1, "x")], "name string, size long, digest string")
+    got = {r.name: r.status for r in files.verify_digests(files.file_digests(spark, str(tmp_path)), man).collect()}
+    assert got == {"good.bin": "ok", "bad.bin": "digest_mismatch", "long er.bin": "size_mismatch", "gone.bin": "missing", "more.bin": "unlisted"}
+    with pytest.raises(ValueError):
+        files.file_digests(spark, str(tmp_path), "crc")
+
+
+def test_trees_of_digests_equal_plain_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FAN", 3)
+    rng, lines = random.Random(2), {}
+    for name, n in (("one", 1), ("some", 9), ("many", 60)):
+        lines[name] = ["".join(rng.choice("abé\n") for _ in range(rng.randint(0, 9))) for _ in range(n)]
+        (tmp_path / name).write_text("".join(x + "\n" for x in lines[name]))
+
+    def plain(data):
+        nodes = [hashlib.sha256(data[i:i + 7]).hexdigest() for i in range(0, max(len(data), 1), 7)]
+        n = len(nodes)
+        while len(nodes) > 1:
+            runs = [nodes[i:i + 3] for i in range(0, len(nodes), 3)]
+            nodes = [r[0] if len(r) == 1 else hashlib.sha256("".join(r).encode()).hexdigest() for r in runs]
+        return len(data), n, nodes[0]
+
+    want = {name: plain((tmp_path / name).read_bytes()) for name in lines}
+    assert {r.name: (r.size, r.n_ranges, r.digest) for r in files.file_digests(spark, str(tmp_path), "sha256", 7).collect()} == want
+    rows = spark.createDataFrame([(n, i, x) for n, own in lines.items() for i, x in enumerate(own)], "name string, i int, line string")
+    rows = rows.repartition(2, "name").sortWithinPartitions("name", "i")
+    assert {r.name: (r.size, r.n_ranges, r.digest) for r in files.stream_digests(rows, "sha256", 7).collect()} == want
 
 
 def test_redaction(spark):
