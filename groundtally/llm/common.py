@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from groundtally.session import ensure_checkpoint_dir
 
+#: Bytes of a part of a batch that Python works on at once.
+PART_BYTES = 8 << 20
 CAPITALS, SMALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,11 +43,21 @@ def digest_of(text: Column) -> Column:
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
 
+def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of ``rows`` rows, halved while they hold more than :data:`PART_BYTES`."""
+    for start in range(0, batch.num_rows, rows):
+        part = batch.slice(start, rows)
+        if part.num_rows > 1 and part.nbytes > PART_BYTES:
+            yield from _parts(part, (part.num_rows + 1) // 2)
+        else:
+            yield part
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """Arrow-batched map of columns to columns; ``make`` builds the mapper once per task.
 
-    The mapper gets a dict of lists and returns one; a batch is cut so that no part of it holds
-    more than some MB of text, since one row may be very long.
+    The mapper gets a dict of lists and returns one; a batch is cut into parts of 512 rows or 8 MB, whichever
+    comes first, since rows may be very long. A longer row is a part of its own.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -57,8 +69,9 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            size = max(1, batch.nbytes // max(1, batch.num_rows))
+            step = max(1, min(512, PART_BYTES // size))
+            for part in _parts(batch, step):
                 out = mapper({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -14,13 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundtally.llm.common import written
 from groundtally.llm.tokens import encoder, vocabulary_path
 
-CAPACITY, PIECES_A_PARTITION, ROUNDS = 2048, 100_000, 3
+CAPACITY, PIECES_A_PARTITION = 2048, 100_000
 PIECE_SCHEMA = "id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = f"{PIECE_SCHEMA}, sequence_id long, offset long, open boolean, bins long, bound long"
 
@@ -138,14 +138,15 @@ def _filled(sequence: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.bincount(place, weights=lengths).astype(np.int64)[place]
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_partition: int = PIECES_A_PARTITION, rounds: int = ROUNDS,
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_partition: int = PIECES_A_PARTITION,
                 least_room: int | None = None) -> DataFrame:
     """Pieces with sequence_id and offset, and ``bins`` and ``bound`` of the partition that packed them last.
 
     Full pieces are sequences of their own. Sequences with ``least_room`` free (a 32nd by default)
-    in a partition over its bound are opened and sent, whole, to other partitions; there are at most
-    ``rounds`` rounds. A partition holds about ``pieces_a_partition`` pieces, whatever the corpus. An
-    empty table gives no rows.
+    in a partition over its bound are opened and sent, whole, to other partitions, until a round saves
+    no sequence or what is open fits one partition. Pieces are dealt by row, so a partition holds about
+    ``pieces_a_partition`` of them, whatever the corpus and however many are equal. Ties are packed in the order of
+    id, piece and digest; pieces without an id are pieces like others. An empty table gives no rows.
     """
     least_room = max(1, capacity // 32) if least_room is None else least_room
     pieces = written(pieces)
@@ -154,17 +155,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_partition:
             .select("*", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
                     F.lit(False).alias("open"), one.alias("bins"), one.alias("bound")))
     loose = pieces.filter(F.col("length") < capacity)
-    deal = [F.xxhash64("id", "piece", "start", "ids_crc32")]
-    for round_no in range(rounds):
-        count = loose.count()
-        if not count:
-            break
+    deal: Column = F.monotonically_increasing_id()
+    round_no, before = 0, None
+    while count := loose.count():
         parts = math.ceil(count / pieces_a_partition)
-        dealt = loose.repartition(parts, *deal).sortWithinPartitions(F.desc("length"), "id", "piece", "ids_crc32")
+        dealt = (loose.withColumn("deal", F.xxhash64(deal, F.lit(round_no))).repartition(parts, "deal").drop("deal")
+                 .sortWithinPartitions(F.desc("length"), "id", "piece", "ids_crc32"))
         packed = written(dealt.mapInArrow(_pack(capacity, round_no, least_room), PACKED_SCHEMA))
-        last = parts == 1 or round_no == rounds - 1
-        done = done.unionByName(packed if last else packed.filter("not open"))
-        if last:
+        sequences = packed.filter("offset = 0").count()
+        if parts == 1 or sequences == before:
+            done = done.unionByName(packed)
             break
-        loose, deal = packed.filter("open").drop("open", "bins", "bound"), [F.xxhash64("sequence_id", F.lit(round_no))]
+        done = done.unionByName(packed.filter("not open"))
+        loose, deal = packed.filter("open").drop("open", "bins", "bound"), F.col("sequence_id")
+        before = loose.filter("offset = 0").count()
+        round_no += 1
     return done.drop("open")
