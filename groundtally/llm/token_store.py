@@ -23,17 +23,19 @@ from groundtally.session import ensure_checkpoint_dir
 
 SHARD_TOKENS = 1 << 20
 MAX_SYMBOL = 1 << 16
+#: Pairs replaced in a round at most; others wait for the next one.
+ROUND_PAIRS = 4096
 
 SHARD_SCHEMA = ("part int, shard int, n_tokens long, first_rule int, rules binary, rule_lengths binary, symbols binary, "
                 "doc_ids array<long>, doc_tokens binary, doc_symbols binary")
 
 
-def _choose(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+def _choose(codes: np.ndarray, counts: np.ndarray, most: int, bits: int) -> np.ndarray:
     """Pairs to replace, most frequent first, no symbol on both sides; sorted codes."""
     role: dict[int, int] = {}
     chosen = []
     for code in codes[np.lexsort((codes, -counts))].tolist():
-        left, right = code >> 16, code & 0xFFFF
+        left, right = code >> bits, code & ((1 << bits) - 1)
         if left == right:
             if left in role:
                 continue
@@ -45,37 +47,38 @@ def _choose(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
         chosen.append(code)
         if len(chosen) == most:
             break
-    return np.array(sorted(chosen), np.uint32)
+    return np.array(sorted(chosen), codes.dtype)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, least_count: int = 64, rounds: int = 3, least_gain: float = 0.03):
+def compress(ids: np.ndarray, ends: np.ndarray, least_count: int = 64):
     """(first_rule, rules, rule lengths, symbols, ends of documents among the symbols).
 
-    ``ends`` marks the last id of every document; no pair reaches over it. Stops after ``rounds``,
-    when no pair is met ``least_count`` times, or when a round saves less than ``least_gain``. Ids
-    from 65,536 on leave the shard without rules.
+    ``ends`` marks the last id of every document; no pair reaches over it. Goes on until no pair is met
+    ``least_count`` times or no symbol is free: symbols have 16 bits where the ids leave room in them, otherwise 32.
     """
     first = int(ids.max()) + 1 if ids.size else 0
+    bits, kind = (16, np.uint32) if first < MAX_SYMBOL else (32, np.uint64)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     symbols = ids.astype(np.uint32)
-    for _ in range(rounds):
-        free = MAX_SYMBOL - first - len(rules)
+    while True:
+        free = (1 << bits) - first - len(rules)
         if free <= 0 or symbols.size < 2:
             break
-        codes = (symbols[:-1] << np.uint32(16)) | symbols[1:]
+        codes = (symbols[:-1].astype(kind) << kind(bits)) | symbols[1:]
         inside = np.sort(codes[~ends[:-1]])
         if not inside.size:
             break
         starts = np.flatnonzero(np.concatenate(([True], inside[1:] != inside[:-1])))
         counts = np.diff(np.append(starts, inside.size))
         often = counts >= least_count
-        chosen = _choose(inside[starts][often], counts[often], min(free, 4096))
+        chosen = _choose(inside[starts][often], counts[often], min(free, ROUND_PAIRS), bits)
         if not chosen.size:
             break
         # a table by left and right symbol, each numbered among the chosen ones, 0 for all others
-        lefts, left_no = np.unique(chosen >> 16, return_inverse=True)
-        rights, right_no = np.unique(chosen & 0xFFFF, return_inverse=True)
-        number = np.zeros((2, MAX_SYMBOL), np.uint32)
+        pairs = np.stack([chosen >> kind(bits), chosen & kind((1 << bits) - 1)], axis=1).astype(np.uint32)
+        lefts, left_no = np.unique(pairs[:, 0], return_inverse=True)
+        rights, right_no = np.unique(pairs[:, 1], return_inverse=True)
+        number = np.zeros((2, first + len(rules)), np.uint32)
         number[0, lefts], number[1, rights] = np.arange(1, lefts.size + 1), np.arange(1, rights.size + 1)
         pair_no = np.zeros((lefts.size + 1, rights.size + 1), np.int16)
         pair_no[left_no + 1, right_no + 1] = np.arange(1, chosen.size + 1)
@@ -85,7 +88,6 @@ def compress(ids: np.ndarray, ends: np.ndarray, least_count: int = 64, rounds: i
         run = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))  # runs of one pair aa: every other place
         even = (np.arange(at.size) - np.repeat(run, np.diff(np.append(run, at.size)))) % 2 == 0
         at, rank = at[even], rank[even]
-        pairs = np.stack([chosen >> 16, chosen & 0xFFFF], axis=1)
         size_of = np.concatenate([np.ones(first, np.uint32), lengths])
         lengths = np.concatenate([lengths, size_of[pairs[:, 0]] + size_of[pairs[:, 1]]])
         symbols[at] = first + len(rules) + rank
@@ -93,10 +95,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least_count: int = 64, rounds: i
         ends[at] = ends[at + 1]
         stay = np.ones(symbols.size, bool)
         stay[at + 1] = False
-        before = symbols.size
         symbols, ends = symbols[stay], ends[stay]
-        if before - symbols.size < least_gain * before:
-            break
     return first, rules, lengths, symbols, ends
 
 
@@ -150,9 +149,9 @@ def _shards(path: str, end_id: int, shard_tokens: int):
             tokens = np.array([len(p) // 4 for p in pieces], np.int64)
             ends = np.zeros(ids.size, bool)
             ends[np.cumsum(tokens) - 1] = True
-            first, rules, lengths, symbols, ends = compress(ids, ends) if ids.max() < MAX_SYMBOL else (int(ids.max()) + 1, np.zeros((0, 2)), np.zeros(0), ids, ends)
+            first, rules, lengths, symbols, ends = compress(ids, ends)
             last = np.flatnonzero(ends)
-            row = {"part": part, "shard": shard, "n_tokens": int(ids.size), "first_rule": first, "rules": rules.astype("<u2").tobytes(),
+            row = {"part": part, "shard": shard, "n_tokens": int(ids.size), "first_rule": first, "rules": rules.astype("<u2" if rules.size and rules.max() < MAX_SYMBOL else "<u4").tobytes(),
                    "rule_lengths": lengths.astype("<u4").tobytes(), "symbols": symbols.astype("<u2" if symbols.max() < MAX_SYMBOL else "<u4").tobytes(),
                    "doc_ids": names, "doc_tokens": tokens.astype("<u4").tobytes(), "doc_symbols": np.diff(last, prepend=-1).astype("<u4").tobytes()}
             return pa.RecordBatch.from_pylist([row], schema=schema)
@@ -176,12 +175,14 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Encode every text, end it with ``end_id``, and write compressed shards in ascending id order to ``path``.
 
     Null texts are empty and hold the end id alone; null ids come first; rows that repeat an id
-    follow each other in the order of their texts. A shard closes after the document that fills it, so
+    follow each other by the first 64 characters of their texts, in as many ranges as they fill. A shard closes after the document that fills it, so
     a very long text makes a long shard but is never cut. An empty table makes an empty store.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(_shards(vocabulary or vocabulary_path(), end_id, shard_tokens), SHARD_SCHEMA).write.parquet(path)
+    keys = ["id", "head", "salt"]
+    keyed = rows.withColumn("head", F.substring("text", 1, 64)).withColumn("salt", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions("id", "head", "text", "salt")
+    ordered.select("id", "text").mapInArrow(_shards(vocabulary or vocabulary_path(), end_id, shard_tokens), SHARD_SCHEMA).write.parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -198,7 +199,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def _shard_arrays(row: dict):
     wide = "<u2" if len(row["symbols"]) == 2 * int(np.frombuffer(row["doc_symbols"], "<u4").sum()) else "<u4"
-    return (row["first_rule"], np.frombuffer(row["rules"], "<u2").reshape(-1, 2), np.frombuffer(row["rule_lengths"], "<u4"), np.frombuffer(row["symbols"], wide).astype(np.uint32))
+    wide_rules = "<u2" if len(row["rules"]) == len(row["rule_lengths"]) else "<u4"  # two halves a rule, four bytes a length
+    return (row["first_rule"], np.frombuffer(row["rules"], wide_rules).reshape(-1, 2).astype(np.uint32), np.frombuffer(row["rule_lengths"], "<u4"), np.frombuffer(row["symbols"], wide).astype(np.uint32))
 
 
 def decode_store(shards: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
@@ -41,10 +42,14 @@ def test_grammar_expands_to_what_was_compressed(seed):
     ids[500:900] = 3  # a long run of one pair
     ends = rng.random(4000) < 0.01
     ends[-1] = True
-    first, rules, lengths, symbols, after = token_store.compress(ids, ends.copy(), least_count=3, rounds=8, least_gain=0.0)
+    first, rules, lengths, symbols, after = token_store.compress(ids, ends.copy(), least_count=3)
     assert (token_store.expand(first, rules, lengths, symbols) == ids).all() and symbols.size < ids.size
     assert after.sum() == ends.sum()
     assert [token_store.expand(first, rules, lengths, np.array([first + i])).size for i in range(len(rules))] == lengths.tolist()
+    inside = ~after[:-1]
+    assert np.unique((symbols[:-1].astype(np.int64) << 32 | symbols[1:])[inside], return_counts=True)[1].max(initial=0) < 6  # runs aaa count twice
+    wide = token_store.compress(ids + np.uint32(1 << 20), ends.copy(), least_count=3)
+    assert (token_store.expand(*wide[:4]) == ids + (1 << 20)).all() and wide[3].size == symbols.size
     for a, b in ((0, 1), (17, 2500), (3999, 4000), (450, 950)):
         assert (token_store.expand_range(first, rules, lengths, symbols, a, b) == ids[a:b]).all()
 
@@ -91,10 +96,28 @@ def test_encode_and_decode_frames(messy, make_docs):
     assert bt.code_digests(make_docs([]), path, public_tokenizers.PATTERN).count() == 0
 
 
-@pytest.mark.parametrize("rounds,per", [(1, 5), (3, 4), (3, 1000)])
-def test_packing_places_every_piece_once(messy, library, rounds, per):
+def test_equal_pieces_are_dealt_evenly(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+                                    F.lit(300).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    packed = packing.pack_pieces(rows, capacity=2048, pieces_a_partition=300).collect()
+    assert len(packed) == 3000 and 500 <= len({r.sequence_id for r in packed}) <= 510  # a partition rounds up once
+    bins = {r.bins for r in packed}
+    assert max(bins) < 2 * 50, bins  # a partition of a tenth of the pieces fills 50 sequences
+
+
+def test_a_store_orders_lost_ids_in_several_ranges(spark, tmp_path):
+    docs = spark.range(400).select(F.when(F.col("id") % 2 > 0, F.col("id")).alias("doc_id"), F.lit("same words here").alias("text"))
+    token_store.write_store(docs.repartition(4), str(tmp_path / "s"), shard_tokens=100)
+    rows = token_store.decode_store(token_store.read_store(spark, str(tmp_path / "s"))).orderBy("start").collect()
+    assert [r.id for r in rows] == [None] * 200 + list(range(1, 400, 2))
+    parts = spark.read.parquet(str(tmp_path / "s")).select("part", F.explode("doc_ids").alias("id")).filter("id is null").select("part").distinct().count()
+    assert parts > 1
+
+
+@pytest.mark.parametrize("per", [4, 5, 1000])
+def test_packing_places_every_piece_once(messy, library, per):
     pieces = packing.cut_pieces(messy, capacity=128)
-    packed = packing.pack_pieces(pieces, capacity=128, pieces_a_partition=per, rounds=rounds).collect()
+    packed = packing.pack_pieces(pieces, capacity=128, pieces_a_partition=per).collect()
     by_seq, tokens = {}, 0
     for r in packed:
         by_seq.setdefault(r.sequence_id, []).append(r)
