@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundtally.functions import fixed_values as V
+from groundtally.session import cut_lineage
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -255,6 +256,18 @@ def rouge_l(pairs: DataFrame, *keys: str) -> DataFrame:
     return t.groupBy(*keys).agg(*agg) if keys else t.agg(*agg)
 
 
+def score_captions(captions: DataFrame, annotations: DataFrame, split: str = "validation") -> DataFrame:
+    """One row: BLEU-4 with its parts, ROUGE-L and the verdict of made (patch_id, caption) against the split's released captions.
+
+    Released captions of patches without a made one are left out, as are null ones; a patch with several meets each.
+    Without any pair the scores are zero, and ROUGE-L is null.
+    """
+    released = annotations.filter((F.col("type") == "captioning") & (F.col("split") == split)).select("id", "patch_id", F.col("output").alias("ref")).dropna()
+    pairs = cut_lineage(released.join(captions.select("patch_id", F.col("caption").alias("hyp")), "patch_id").select("id", "hyp", "ref"))
+    rouge = rouge_l(pairs).select(F.lit(1).alias("one"), F.col("n").alias("n_captions"), "rouge_l")
+    return corpus_bleu(pairs).withColumn("one", F.lit(1)).join(rouge, "one").drop("one").withColumn("verdict", bleu_verdict(F.col("bleu4")))
+
+
 def bleu_verdict(bleu: Column) -> Column:
     return F.when(bleu >= 35, "templates suffice").when(bleu >= 10, "rewrite style").otherwise("drop symbolic captions")
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from groundtally.functions import fixed_values as V
 from groundtally.functions import questions as Q
+from groundtally.operators import position
 from groundtally.operators import scoring as S
 from groundtally.operators.quality import task_intents
 from groundtally.plans import answers as PA
+from groundtally.plans import regions as PR
 from groundtally.plans.answersql import BASE
 from groundtally.plans.questionsql import SPEC
 from groundtally.plans.sqlviews import ANNOTATIONS, SCORED, chain, q
@@ -103,6 +105,12 @@ def g22(spark, sf):
     return S.rouge_l(exchanges(spark, sf), "turn")
 
 
+def g22_captions(spark, sf):
+    made = position.captions(PR.facts(spark, sf), PR.scene_meta(spark, sf))
+    return S.score_captions(made, fx.open_annotations(spark, sf)).select(
+        "n_captions", *[F.round(c, 9).alias(c) if c not in ("hyp_len", "ref_len") else F.col(c) for c in BLEU], "rouge_l", "verdict")
+
+
 def g23(spark, sf):
     d = S.coverage_precision(read(spark, sf)).filter("type <> 'MACRO'")
     return d.select("type", "category", S.coverage_verdict(F.col("coverage")).alias("coverage_verdict"), S.bleu_verdict(100 * F.col("precision")).alias("band"))
@@ -121,7 +129,7 @@ def g24(spark, sf):
 QUERIES = {
     "G1_task_score": g1, "G2_top_reasons": g2, "G3_bootstrap_ci": g3, "G4_macro_gap": g4, "G5_per_class_accuracy": g5, "G12_mcnemar": g12,
     "G15_coverage_precision": g15, "G16_confusion": g16, "G17_label_f1": g17, "G17_macro_f1": g17_macro, "G18_leakage_split": g18, "G19_examples": g19,
-    "G20_abstention_gap": g20, "G21_corpus_bleu": g21, "G22_rouge_l": g22, "G23_verdicts": g23, "G24_metric_delta": g24,
+    "G20_abstention_gap": g20, "G21_corpus_bleu": g21, "G22_rouge_l": g22, "G22_caption_scores": g22_captions, "G23_verdicts": g23, "G24_metric_delta": g24,
 }
 
 SCORE = ("COUNT(*) AS n, COUNT(*) FILTER (NOT abstained) AS n_attempted, COUNT(*) FILTER (correct) AS n_correct, COUNT(*) FILTER (abstained) AS n_abstained, "
@@ -148,6 +156,25 @@ def _grams(col, name):
     return (f"{name} AS (SELECT id, n, g, COUNT(*) AS c FROM (SELECT id, n, UNNEST(LIST_TRANSFORM(RANGE(1, LEN({col}) - n + 2), lambda i: {g})) AS g FROM ex, RANGE(1, 5) t(n)) GROUP BY ALL)")
 
 
+CAPTION_EX = ("ex AS MATERIALIZED (SELECT r.id, 0 AS turn, REGEXP_EXTRACT_ALL(LOWER(c.caption), '[a-z0-9]+') AS h, REGEXP_EXTRACT_ALL(LOWER(r.output), '[a-z0-9]+') AS r "
+              "FROM ann r JOIN cap c USING (patch_id) WHERE r.type = 'captioning' AND r.split = 'validation')")
+BLEU_PARTS = (
+    _grams("h", "gh"), _grams("r", "gr"),
+    "m AS (SELECT n, SUM(LEAST(gh.c, COALESCE(gr.c, 0)))::DOUBLE / SUM(gh.c) AS p FROM gh LEFT JOIN gr USING (id, n, g) GROUP BY n)",
+    "l AS (SELECT CAST(SUM(LEN(h)) AS BIGINT) AS hyp_len, CAST(SUM(LEN(r)) AS BIGINT) AS ref_len FROM ex)",
+    "a AS (SELECT l.*, COALESCE(MAX(p) FILTER (n = 1), 0) AS p1, COALESCE(MAX(p) FILTER (n = 2), 0) AS p2, COALESCE(MAX(p) FILTER (n = 3), 0) AS p3, COALESCE(MAX(p) FILTER (n = 4), 0) AS p4, "
+    "CASE WHEN hyp_len > ref_len THEN 1 WHEN hyp_len = 0 THEN 0 ELSE EXP(1 - ref_len::DOUBLE / hyp_len) END AS bp FROM m, l GROUP BY ALL)")
+BLEU_ROW = (
+    "hyp_len, ref_len, ROUND(p1, 9) AS p1, ROUND(p2, 9) AS p2, ROUND(p3, 9) AS p3, ROUND(p4, 9) AS p4, ROUND(bp, 9) AS brevity_penalty, "
+    "ROUND(CASE WHEN LEAST(p1, p2, p3, p4) <= 0 THEN 0 ELSE 100 * bp * EXP((LN(p1) + LN(p2) + LN(p3) + LN(p4)) / 4) END, 9) AS bleu4")
+LCS_PARTS = (
+    "dp(id, i, line) AS (SELECT id, 0, LIST_TRANSFORM(RANGE(LEN(r)), lambda j: 0) FROM ex UNION ALL SELECT id, i, LIST_TRANSFORM(RANGE(1, LEN(cand) + 1), lambda j: LIST_MAX(cand[1:j])) FROM ("
+    "SELECT d.id, d.i + 1 AS i, LIST_TRANSFORM(RANGE(1, LEN(d.line) + 1), lambda j: CASE WHEN e.r[j] = e.h[d.i + 1] THEN COALESCE(d.line[j - 1], 0) + 1 ELSE d.line[j] END) AS cand "
+    "FROM dp d JOIN ex e ON e.id = d.id WHERE d.i < LEN(e.h)))",
+    "lc AS (SELECT e.id, e.turn, LEN(e.h) AS m, LEN(e.r) AS n, COALESCE(d.line[LEN(e.r)], 0) AS lcs FROM ex e JOIN dp d ON d.id = e.id AND d.i = LEN(e.h))")
+ROUGE = "ROUND(100 * AVG(CASE WHEN lcs = 0 THEN 0 ELSE 2 * (lcs::DOUBLE / m) * (lcs::DOUBLE / n) / (lcs::DOUBLE / m + lcs::DOUBLE / n) END), 6)"
+
+
 ORACLES = {
     "G1_task_score": chain(SCORED) + f"SELECT task, {SCORE} FROM scored GROUP BY task",
     "G2_top_reasons": chain(SCORED) + "SELECT task, reason, n, rank FROM (SELECT task, reason, COUNT(*) AS n, CAST(ROW_NUMBER() OVER (PARTITION BY task ORDER BY COUNT(*) DESC, reason) AS INT) AS rank "
@@ -179,18 +206,11 @@ ORACLES = {
         f"sp AS (SELECT n.task, n.reason AS reason, need IS NOT NULL AS fixable, COALESCE(s.reason IS NULL AND need IS NOT NULL AND {_HAS}, FALSE) AS supplied FROM nd n LEFT JOIN "
         "(SELECT id, class_a, class_b, comparator, stated_unit, options, reason FROM spec) s USING (id))") +
         "SELECT task, reason, COUNT(*) AS abstained, COUNT(*) FILTER (supplied) AS supplied, COUNT(*) FILTER (NOT fixable) AS unfixable, COUNT(*) FILTER (supplied)::DOUBLE / COUNT(*) AS fix_rate FROM sp GROUP BY ALL",
-    "G21_corpus_bleu": chain(EX, _grams("h", "gh"), _grams("r", "gr"),
-        "m AS (SELECT n, SUM(LEAST(gh.c, COALESCE(gr.c, 0)))::DOUBLE / SUM(gh.c) AS p FROM gh LEFT JOIN gr USING (id, n, g) GROUP BY n)",
-        "l AS (SELECT CAST(SUM(LEN(h)) AS BIGINT) AS hyp_len, CAST(SUM(LEN(r)) AS BIGINT) AS ref_len FROM ex)",
-        "a AS (SELECT l.*, COALESCE(MAX(p) FILTER (n = 1), 0) AS p1, COALESCE(MAX(p) FILTER (n = 2), 0) AS p2, COALESCE(MAX(p) FILTER (n = 3), 0) AS p3, COALESCE(MAX(p) FILTER (n = 4), 0) AS p4, "
-        "CASE WHEN hyp_len > ref_len THEN 1 WHEN hyp_len = 0 THEN 0 ELSE EXP(1 - ref_len::DOUBLE / hyp_len) END AS bp FROM m, l GROUP BY ALL)") +
-        "SELECT hyp_len, ref_len, ROUND(p1, 9) AS p1, ROUND(p2, 9) AS p2, ROUND(p3, 9) AS p3, ROUND(p4, 9) AS p4, ROUND(bp, 9) AS brevity_penalty, "
-        "ROUND(CASE WHEN LEAST(p1, p2, p3, p4) <= 0 THEN 0 ELSE 100 * bp * EXP((LN(p1) + LN(p2) + LN(p3) + LN(p4)) / 4) END, 9) AS bleu4 FROM a",
-    "G22_rouge_l": chain(EX, "dp(id, i, line) AS (SELECT id, 0, LIST_TRANSFORM(RANGE(LEN(r)), lambda j: 0) FROM ex UNION ALL SELECT id, i, LIST_TRANSFORM(RANGE(1, LEN(cand) + 1), lambda j: LIST_MAX(cand[1:j])) FROM ("
-        "SELECT d.id, d.i + 1 AS i, LIST_TRANSFORM(RANGE(1, LEN(d.line) + 1), lambda j: CASE WHEN e.r[j] = e.h[d.i + 1] THEN COALESCE(d.line[j - 1], 0) + 1 ELSE d.line[j] END) AS cand "
-        "FROM dp d JOIN ex e ON e.id = d.id WHERE d.i < LEN(e.h)))",
-        "lc AS (SELECT e.id, e.turn, LEN(e.h) AS m, LEN(e.r) AS n, COALESCE(d.line[LEN(e.r)], 0) AS lcs FROM ex e JOIN dp d ON d.id = e.id AND d.i = LEN(e.h))") +
-        "SELECT turn, COUNT(*) AS n, CAST(SUM(lcs) AS BIGINT) AS lcs_total, ROUND(100 * AVG(CASE WHEN lcs = 0 THEN 0 ELSE 2 * (lcs::DOUBLE / m) * (lcs::DOUBLE / n) / (lcs::DOUBLE / m + lcs::DOUBLE / n) END), 6) AS rouge_l FROM lc GROUP BY turn",
+    "G21_corpus_bleu": chain(EX, *BLEU_PARTS) + f"SELECT {BLEU_ROW} FROM a",
+    "G22_rouge_l": chain(EX, *LCS_PARTS) + f"SELECT turn, COUNT(*) AS n, CAST(SUM(lcs) AS BIGINT) AS lcs_total, {ROUGE} AS rouge_l FROM lc GROUP BY turn",
+    "G22_caption_scores": chain(*PR.REG, PR.fact_cte(), PR.C19, PR.NAMED, ANNOTATIONS, PR.META, f"cap AS ({PR.CAPTION_SQL})", CAPTION_EX, *BLEU_PARTS, *LCS_PARTS) +
+        f"SELECT (SELECT COUNT(*) FROM lc) AS n_captions, {BLEU_ROW}, (SELECT {ROUGE} FROM lc) AS rouge_l, "
+        "CASE WHEN bleu4 >= 35 THEN 'templates suffice' WHEN bleu4 >= 10 THEN 'rewrite style' ELSE 'drop symbolic captions' END AS verdict FROM a",
     "G23_verdicts": chain(ANNOTATIONS, *SPEC, READ, COVER) + "SELECT type, category, CASE WHEN coverage < 0.5 THEN 'below floor' ELSE 'ok' END AS coverage_verdict, "
         "CASE WHEN 100 * precision >= 35 THEN 'templates suffice' WHEN 100 * precision >= 10 THEN 'rewrite style' ELSE 'drop symbolic captions' END AS band FROM cover",
     "G24_metric_delta": "WITH b AS (SELECT l_returnflag || '|' || l_linenumber AS task, COUNT(*) FILTER (l_discount < 0.05)::DOUBLE / COUNT(*) AS v FROM lineitem GROUP BY 1), "
