@@ -124,7 +124,7 @@ def spectral_index(bands: DataFrame, kind: str) -> DataFrame:
 
 
 def checked_grids(bands: DataFrame, target: DataFrame | None = None) -> DataFrame:
-    """Bands whose scenes are sound: each band that a scene has covers the scene's whole grid, once.
+    """Bands, all of whose scenes are sound: each band that a scene has covers the scene's whole grid, once. One fault refuses the table.
 
     ``target`` gives (scene, out_h, out_w); without it the largest extent of the scene's bands is its grid.
     """
@@ -135,8 +135,8 @@ def checked_grids(bands: DataFrame, target: DataFrame | None = None) -> DataFram
         sizes = target.select("scene", "out_h", "out_w")
     bad = (F.col("h") != F.col("out_h")) | (F.col("w") != F.col("out_w")) | (F.col("n") != F.col("out_h").cast("long") * F.col("out_w"))
     told = F.concat(F.lit("band "), F.col("band"), F.lit(" does not cover the grid of scene "), F.col("scene").cast("string"))
-    sound = per.join(sizes, "scene").groupBy("scene").agg(F.max(F.when(bad, told)).alias("fault"))
-    joined = bands.join(sound, "scene")
+    fault = per.join(sizes, "scene").agg(F.max(F.when(bad, told)).alias("fault"))  # one row: pixels aren't dealt by scene for it
+    joined = bands.join(F.broadcast(fault))
     return joined.filter(F.when(F.col("fault").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("fault")).cast("boolean"))).drop("fault")
 
 
