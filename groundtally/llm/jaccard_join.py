@@ -2,10 +2,11 @@
 
 Equal sets are one set from the start. Of two sets that reach the threshold the first few elements,
 in one global order with frequent elements last, must share one; those prefixes are the index. Its lists are
-worked off in rounds. In each, a set meets two others at most, the first and the last component's end of
-all its lists, and verified links give components; rounds go on while they link much. A list whose sets are
-all in one component is skipped whole: their links change no answer. In the lists that stay mixed, sets outside the first component meet the rest,
-block by block: blocks of one list are skipped by size and position, and for sets that were compared with
+worked off in rounds. In each, a few sets of every list, drawn anew, are its pivots, and a set meets a few others at most, the
+pivots it shares most lists with; verified links give components; rounds go on while they link much. A list whose sets are
+all in one component is skipped whole: their links change no answer. In the lists that stay mixed, sets outside the largest component meet the rest,
+block by block: two sets are brought together only where nothing before the shared element need be shared, as in the list of the first
+one they share; blocks of one list are skipped by that bound and by size, and for sets that were compared with
 one and the same pivot the overlap is bounded by what is known of the pivot's. Sketches rule out most of the rest, and
 only undecided pairs are read in full.
 """
@@ -13,7 +14,7 @@ only undecided pairs are read in full.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ WORDS, PER_CENT = 5, 75
 FREQUENT, BLOCK, CHUNK_SHINGLES = 1 << 22, 1 << 14, 1 << 20
 #: Rounds of pivots go on while a round brings more than this part of all links so far.
 GAIN = 1 / 20
+#: Pivots of a list, and pairs of a set, in the first, second, ... round.
+PIVOTS, MEETS = (4, 16, 64), (2, 4, 8)
 SLOTS = 1 << 20
 
 
@@ -224,8 +227,28 @@ def prefix_postings(docs: DataFrame, words: int, per_cent: int, classes: np.ndar
     return docs.mapInArrow(run, "bucket int, common boolean, size int, packed binary")
 
 
-def _shared(postings: DataFrame, partitions: int) -> DataFrame:
-    """(token, set_name, n, pos) of tokens in two sets or more, each once; frequent tokens are known to be."""
+def _possible(token: np.ndarray, n: np.ndarray, pos: np.ndarray, per_cent: int) -> np.ndarray:
+    """Which postings, sorted by token, may be of the first element shared with some set of their list, by size and position.
+
+    A partner has the least size of the list or more; in a list of two it is known.
+    """
+    if not token.size:
+        return np.zeros(0, bool)
+    begins = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    sizes = np.diff(np.append(begins, token.size))
+    n, rest = n.astype(np.int64), n.astype(np.int64) - pos
+    fits = (100 + per_cent) * rest >= per_cent * (n + np.maximum(np.repeat(np.minimum.reduceat(n, begins), sizes), -(-per_cent * n // 100)))
+    a = begins[sizes == 2]
+    b = a + 1
+    fits[a] = fits[b] = (100 * np.minimum(n[a], n[b]) >= per_cent * np.maximum(n[a], n[b])) & ((100 + per_cent) * np.minimum(rest[a], rest[b]) >= per_cent * (n[a] + n[b]))
+    return fits
+
+
+def _shared(postings: DataFrame, partitions: int, per_cent: int) -> DataFrame:
+    """(token, set_name, n, pos) of tokens in two sets or more, each once; frequent tokens are known to be.
+
+    Of other tokens, postings that can't be where a link is met first are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[bool, list] = {False: [], True: []}
@@ -246,6 +269,8 @@ def _shared(postings: DataFrame, partitions: int) -> DataFrame:
             first[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1]) | (n[1:] != n[:-1])
             token, name, n, pos = token[first], name[first], n[first], pos[first]
             if not common:
+                fits = _possible(token, n, pos, per_cent)
+                token, name, n, pos = token[fits], name[fits], n[fits], pos[fits]
                 same = token[1:] == token[:-1]
                 many = np.concatenate(([False], same)) | np.concatenate((same, [False])) if token.size else np.zeros(0, bool)
                 token, name, n, pos = token[many], name[many], n[many], pos[many]
@@ -341,28 +366,42 @@ def contract(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def _may_link(x: str, y: str, per_cent: int) -> Column:
-    """Size and position: what could still be shared before, at and after this token reaches the least overlap."""
-    nx, ny, px, py = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
-    reach = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
-    return (100 * F.least(nx, ny) >= per_cent * F.greatest(nx, ny)) & (reach >= least_overlap(nx, ny, per_cent))
+def _may_link(x: Mapping[str, Column] | Column, y: Mapping[str, Column] | Column, per_cent: int, first: bool = False) -> Column:
+    """Size and position: whether this token, what comes after it and what comes before reach the least overlap.
 
+    With ``first`` without what comes before: nothing of that is shared at the first token that two linked sets share, so every
+    link is met in the list of its first shared token.
+    """
+    nx, ny, px, py = (s[c] for c in ("n", "pos") for s in (x, y))
+    before = F.lit(0) if first else F.least(px, py)
+    return (100 * F.least(nx, ny) >= per_cent * F.greatest(nx, ny)) & (before + F.least(nx - px, ny - py) >= least_overlap(nx, ny, per_cent))
 
-def _pivot_pairs(labelled: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, na, b, nb): each set b with a member of the first and one of the last component of its lists, two pairs at most for a set."""
-    place = F.struct("root", "set_name", "n", "pos")
-    ends = labelled.groupBy("token").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo.root <> hi.root")
-    starred = labelled.alias("x").join(ends, "token")
-    end = lambda e: F.when((F.col("x.root") != F.col(f"{e}.root")) & _may_link("x", e, per_cent), F.struct(*(F.col(f"{e}.{k}").alias(k) for k in ("root", "set_name", "n"))))
-    chosen = (starred.groupBy(F.col("x.set_name").alias("b"), F.col("x.n").alias("nb")).agg(F.min(end("lo")).alias("lo"), F.max(end("hi")).alias("hi"))
-              .select("b", "nb", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("p")))
-    return chosen.filter("p is not null").select(F.col("p.set_name").alias("a"), F.col("p.n").alias("na"), "b", "nb")
+
+def _pivot_pairs(labelled: DataFrame, per_cent: int, round_no: int, compared: DataFrame | None) -> DataFrame:
+    """Pairs (a, na, b, nb): sets b with pivots of their lists that are in other components.
+
+    A list has :data:`PIVOTS` pivots at most, a set :data:`MEETS` pairs, the more the later the round. The pivots are drawn by
+    hash of the round. Pairs of ``compared`` (a, b) are passed over; of the others those that share most lists are taken. From
+    the second round on, a list's largest component isn't led to the others, as they are led to it.
+    """
+    pivots, meets = (few[min(round_no, len(few) - 1)] for few in (PIVOTS, MEETS))
+    place = F.struct(F.xxhash64("set_name", F.lit(round_no)).alias("key"), "root", "set_name", "n", "pos")
+    drawn = labelled.groupBy("token", F.pmod("set_name", F.lit(pivots)).alias("part")).agg(F.min(place).alias("p"))
+    drawn = drawn.groupBy("token").agg(F.collect_list("p").alias("drawn"))
+    led = labelled if compared is None else labelled.filter("root <> first_root")
+    other = lambda p: (p["root"] != F.col("root")) & _may_link(F.struct("n", "pos"), p, per_cent)
+    met = led.join(drawn, "token").select(F.col("set_name").alias("b"), F.col("n").alias("nb"), F.explode(F.filter("drawn", other)).alias("p"))
+    found = met.groupBy("b", "nb", F.col("p.set_name").alias("a"), F.col("p.n").alias("na"), F.col("p.key").alias("key")).agg(F.count(F.lit(1)).alias("lists"))
+    if compared is not None:
+        found = found.join(compared, ["a", "b"], "left_anti")
+    best = found.groupBy("b", "nb").agg(F.slice(F.sort_array(F.collect_list(F.struct("lists", "key", "a", "na")), asc=False), 1, meets).alias("best"))
+    return best.select("b", "nb", F.explode("best").alias("p")).select("p.a", "p.na", "b", "nb")
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
-    """Lists with sets of two components or more, with the first component of each."""
-    ends = labelled.groupBy("token").agg(F.min("root").alias("first_root"), F.max("root").alias("r1")).filter("first_root <> r1").drop("r1")
-    return labelled.join(ends, "token")
+    """Lists with sets of two components or more, with the component of each that has most sets in all as ``first_root``."""
+    ends = labelled.groupBy("token").agg(F.max(F.struct("sets", "root")).alias("largest"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+    return labelled.drop("sets").join(ends.select("token", F.col("largest.root").alias("first_root")), "token")
 
 
 def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame]:
@@ -373,7 +412,7 @@ def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     classes = frequency_classes(rows.filter("kind = 1"), FREQUENT)
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = written(_shared(prefix_postings(docs, words, per_cent, classes, 4 * partitions), partitions))
+    lists = written(_shared(prefix_postings(docs, words, per_cent, classes, 4 * partitions), partitions, per_cent))
     sketches = rows.filter("kind = 0 and n > 0").groupBy("set_name", F.col("n").cast("int").alias("n")).agg(F.first("sketch").alias("sketch"))
     sides = lambda p: p.select(F.col("a").alias("set_name")).unionByName(p.select(F.col("b").alias("set_name")))
     links = lambda v: v.filter(F.col("overlap") >= least_overlap(F.col("na"), F.col("nb"), per_cent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -381,11 +420,10 @@ def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
 
     labelled = lists.withColumn("root", F.col("set_name"))
     capped = exact = linked = roots = None
-    total = 0
+    total = round_no = 0
     while True:
-        pairs = _pivot_pairs(labelled, per_cent)
-        if capped is not None:
-            pairs = pairs.join(both_ways(capped), ["a", "b"], "left_anti")
+        pairs = _pivot_pairs(labelled, per_cent, round_no, None if capped is None else both_ways(capped))
+        round_no += 1
         caps = written(_plausible(pairs, sketches, per_cent))
         likely = caps.filter("likely").drop("cap", "likely")
         overlaps = written(_verified(likely, read_sets(docs, words, sides(likely))))
@@ -396,7 +434,9 @@ def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
         if gained or roots is None:
             linked = links(exact)
             roots = contract(linked)
-            labelled = _mixed(lists.join(roots.withColumnRenamed("node", "set_name"), "set_name", "left").withColumn("root", F.coalesce("root", "set_name")))
+            sized = roots.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("sets")), "root").withColumnRenamed("node", "set_name")
+            known_roots = lists.join(sized, "set_name", "left").withColumn("root", F.coalesce("root", "set_name")).withColumn("sets", F.coalesce("sets", F.lit(1)))
+            labelled = _mixed(known_roots)
             labelled = written(labelled)
         if gained <= GAIN * total:
             break
@@ -408,10 +448,10 @@ def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     step = F.floor(F.log2(F.col("pos") + 1.0)).cast("int")
     opened = written(labelled.join(known, "set_name", "left").select("*", "k.pivot", "k.cap", "k.c").drop("k").withColumn("band", band).withColumn("step", step))
     apart = opened.filter("root <> first_root")
-    block = lambda d: d.groupBy("token", "band", "step").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("pos").alias("p1"), F.max(F.col("n") - F.col("pos") - 1).alias("rest"))
+    block = lambda d: d.groupBy("token", "band", "step").agg(F.min("n").alias("n0"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     x, y = block(apart).alias("x"), block(opened).alias("y")
     c = lambda s, k: F.col(f"{s}.{k}")
-    near = (F.abs(c("x", "band") - c("y", "band")) <= 1) & (F.least(c("x", "p1"), c("y", "p1")) + 1 + F.least(c("x", "rest"), c("y", "rest")) >= least_overlap(c("x", "n0"), c("y", "n0"), per_cent))
+    near = (F.abs(c("x", "band") - c("y", "band")) <= 1) & (F.least(c("x", "rest"), c("y", "rest")) >= least_overlap(c("x", "n0"), c("y", "n0"), per_cent))
     blocks = (x.join(y, (c("x", "token") == c("y", "token")) & near)
               .select(c("x", "token").alias("token"), c("x", "band").alias("xb"), c("x", "step").alias("xs"), c("y", "band").alias("yb"), c("y", "step").alias("ys")))
     ax = apart.alias("x").join(blocks.alias("k"), (c("x", "token") == c("k", "token")) & (c("x", "band") == c("k", "xb")) & (c("x", "step") == c("k", "xs")))
@@ -420,7 +460,7 @@ def similar_sets(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     derived = F.least(c("x", "cap"), c("y", "cap")) + F.least(beside("x"), beside("y"))
     bounded = (c("x", "pivot") == c("y", "pivot")) & (derived < least_overlap(c("x", "n"), c("y", "n"), per_cent))
     once = (c("y", "root") == c("y", "first_root")) | (c("x", "set_name") < c("y", "set_name"))
-    undecided = (c("x", "root") != c("y", "root")) & once & _may_link("x", "y", per_cent) & ~F.coalesce(bounded, F.lit(False))
+    undecided = (c("x", "root") != c("y", "root")) & once & _may_link({k: c("x", k) for k in ("n", "pos")}, {k: c("y", k) for k in ("n", "pos")}, per_cent, first=True) & ~F.coalesce(bounded, F.lit(False))
     rest = ax.join(opened.alias("y"), (c("x", "token") == c("y", "token")) & (c("x", "yb") == c("y", "band")) & (c("x", "ys") == c("y", "step")) & undecided)
     swap = c("x", "set_name") > c("y", "set_name")
     more = rest.select(*(F.when(swap, c(s, k)).otherwise(c(t, k)).alias(o) for o, s, t, k in (("a", "y", "x", "set_name"), ("na", "y", "x", "n"), ("b", "x", "y", "set_name"), ("nb", "x", "y", "n")))).distinct()

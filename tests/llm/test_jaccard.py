@@ -95,3 +95,16 @@ def test_hashes_tell_sets_apart():
     assert make("a b").size == 1 and make("a b").tolist() != make("b a").tolist() and make(" \n").size == 0
     text = " ".join(f"w{i % 900}" for i in range(3000))
     assert make(text).size == len(shingles(text))
+
+
+def test_pairs_compared_grow_with_the_sets(make_docs, monkeypatch):
+    """A passage makes up most of many texts that aren't linked."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(30)]
+    texts = [(i, " ".join([word() for _ in range(5)] + passage + [word() for _ in range(5)])) for i in range(150)]
+    compared = []
+    plausible = j._plausible
+    monkeypatch.setattr(j, "_plausible", lambda pairs, *a: compared.append(pairs.count()) or plausible(pairs, *a))
+    assert key(j.jaccard_components(make_docs(texts)).collect()) == key(brute(texts))
+    assert sum(compared) < 4 * len(texts), compared
