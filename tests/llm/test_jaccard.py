@@ -102,7 +102,7 @@ def test_pairs_compared_grow_with_the_sets(make_docs, monkeypatch):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
     passage = [word() for _ in range(30)]
-    texts = [(i, " ".join([word() for _ in range(5)] + passage + [word() for _ in range(5)])) for i in range(150)]
+    texts = [(i, " ".join([word() for _ in range(3)] + passage + [word() for _ in range(3)])) for i in range(150)]
     compared = []
     plausible = j._plausible
     monkeypatch.setattr(j, "_plausible", lambda pairs, *a: compared.append(pairs.count()) or plausible(pairs, *a))
