@@ -35,35 +35,43 @@ def db_conversion(df: DataFrame, *keys: str) -> DataFrame:
 def resample(bands: DataFrame, src: DataFrame, target: DataFrame) -> DataFrame:
     """Bilinear resampling on pixel centres with clipped edges.
 
-    ``src`` and ``target`` give (scene, h, w) and (scene, out_h, out_w). Each source pixel spawns the
-    target pixels it contains, every target pixel asks for its four corners, and one equi-join
-    fetches them: work grows with the pixels, and no grid is crossed with another.
+    ``src`` and ``target`` give (scene, h, w) and (scene, out_h, out_w). Each source pixel is dealt to
+    the four cells between pixels that it is a corner of, and a cell with its corners makes the target
+    pixels whose centres lie in it: work grows with the pixels, and no grid is crossed with another.
+    Places are whole numbers of 64 bits. A cell that lacks a corner makes none.
     """
-    size = src.join(target, "scene")
-    cell = bands.join(size, "scene")
-
-    def inside(i, n, out):
-        lo = F.ceil(F.col(i) * F.col(out) / F.col(n))
-        hi = F.ceil((F.col(i) + 1) * F.col(out) / F.col(n)) - 1
-        return F.when(hi >= lo, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
-
-    grid = cell.select("scene", "band", "h", "w", "out_h", "out_w", F.explode(inside("row", "h", "out_h")).alias("t_row"), "col").select(
-        "*", F.explode(inside("col", "w", "out_w")).alias("t_col"))
-
-    def centre(t, n, out):
-        c = (F.col(t) + 0.5) * F.col(n) / F.col(out) - 0.5
-        return F.greatest(F.lit(0.0), F.least(c, (F.col(n) - 1).cast("double")))
-
-    grid = grid.withColumns({"_y": centre("t_row", "h", "out_h"), "_x": centre("t_col", "w", "out_w")})
-    y0, x0 = F.floor("_y"), F.floor("_x")
-    dy, dx = F.col("_y") - y0, F.col("_x") - x0
-    y1, x1 = F.least(y0 + 1, F.col("h") - 1), F.least(x0 + 1, F.col("w") - 1)
-    corner = F.array(*[F.struct(r.cast("int").alias("row"), c.cast("int").alias("col"), wt.alias("wt")) for r, c, wt in (
-        (y0, x0, (1 - dy) * (1 - dx)), (y0, x1, (1 - dy) * dx), (y1, x0, dy * (1 - dx)), (y1, x1, dy * dx))])
-    asks = grid.select("scene", "band", "t_row", "t_col", F.explode(corner).alias("k")).select(
-        "scene", "band", "t_row", "t_col", "k.row", "k.col", "k.wt").filter("wt > 0")
-    return asks.join(bands, ["scene", "band", "row", "col"]).groupBy("scene", "band", F.col("t_row").alias("row"), F.col("t_col").alias("col")).agg(
-        F.sum(F.col("wt") * F.col("value")).alias("value"))
+    corners = F.inline(F.array(*[F.struct((F.col("row") - r).alias("y0"), (F.col("col") - c).alias("x0"), F.lit(1 << (2 * r + c)).alias("at")) for r in (0, 1) for c in (0, 1)]))
+    dealt = bands.select("scene", "band", "row", "col", "value").select("scene", "band", "value", corners).filter("y0 >= 0 AND x0 >= 0")
+    cells = dealt.groupBy("scene", "band", "y0", "x0").agg(
+        F.bit_or("at").alias("met"), *[F.max(F.when(F.col("at") == 1 << k, F.col("value"))).alias(f"v{k}") for k in range(4)])
+    size = src.select("scene", *[F.col(c).cast("long").alias(c) for c in ("h", "w")]).join(
+        target.select("scene", *[F.col(c).cast("long").alias(c) for c in ("out_h", "out_w")]), "scene")
+    cells = cells.join(size, "scene").filter("y0 < h AND x0 < w")
+    last_y, last_x = F.col("y0") == F.col("h") - 1, F.col("x0") == F.col("w") - 1  # corners past the edge are clipped to it
+    needed = F.when(last_y, 3).otherwise(15).bitwiseAND(F.when(last_x, 5).otherwise(15))
+    v1 = F.when(last_x, F.col("v0")).otherwise(F.col("v1"))
+    v2 = F.when(last_y, F.col("v0")).otherwise(F.col("v2"))
+    v3 = F.when(last_y, v1).when(last_x, F.col("v2")).otherwise(F.col("v3"))
+
+    def bounds(i, n, out, last):
+        """First and last target t whose centre ((2t + 1) n - out) / 2 out, clipped to the grid, lies in cell i."""
+        i, n, out = F.col(i).cast("long"), F.col(n), F.col(out)
+        lo, after = (F.floor(((2 * i + k) * out + n - 1) / (2 * n)) for k in (1, 3))
+        return F.when(i == 0, F.lit(0)).otherwise(lo).cast("int"), F.when(last, out - 1).otherwise(after - 1).cast("int")
+
+    (t0, t1), (s0, s1) = bounds("y0", "h", "out_h", last_y), bounds("x0", "w", "out_w", last_x)
+    grid = cells.filter(F.col("met").bitwiseAND(needed) == needed).select(
+        "scene", "band", "y0", "x0", "h", "w", "out_h", "out_w", "v0", v1.alias("v1"), v2.alias("v2"), v3.alias("v3"), t0.alias("t0"), t1.alias("t1"), s0.alias("s0"), s1.alias("s1"))
+    grid = grid.filter("t1 >= t0 AND s1 >= s0").withColumn("row", F.explode_outer(F.sequence("t0", "t1"))).withColumn("col", F.explode_outer(F.sequence("s0", "s1")))
+
+    def part(t, i, n, out):
+        """How far the centre lies from the cell's first corner towards its last."""
+        i, t, n, out = F.col(i).cast("long"), F.col(t).cast("long"), F.col(n), F.col(out)
+        return F.when(i == n - 1, F.lit(0.0)).otherwise(F.greatest((2 * t + 1) * n - (2 * i + 1) * out, F.lit(0)) / (2 * out))
+
+    grid = grid.withColumns({"dy": part("row", "y0", "h", "out_h"), "dx": part("col", "x0", "w", "out_w")})
+    top, bottom = (F.col(a) * (1 - F.col("dx")) + F.col(b) * F.col("dx") for a, b in (("v0", "v1"), ("v2", "v3")))
+    return grid.select("scene", "band", "row", "col", (top * (1 - F.col("dy")) + bottom * F.col("dy")).alias("value"))
 
 
 def norm_stats(bands: DataFrame) -> DataFrame:
@@ -142,7 +150,10 @@ def checked_grids(bands: DataFrame, target: DataFrame | None = None) -> DataFram
 
 def stack_channels(bands: DataFrame, target: DataFrame | None = None) -> DataFrame:
     """Twelve values per pixel in the frozen order; a band that a scene lacks is zero-filled, one of another shape refused."""
-    bands = checked_grids(bands, target)
+    return _stacked(checked_grids(bands, target))
+
+
+def _stacked(bands: DataFrame) -> DataFrame:
     cols = [F.coalesce(F.max(F.when(F.col("band") == b, F.col("value"))), F.lit(0.0)).alias(b) for b in CHANNELS]
     return bands.groupBy("scene", "row", "col").agg(*cols).select("scene", "row", "col", F.array(*CHANNELS).alias("channels"))
 
@@ -151,5 +162,6 @@ def preprocess(bands: DataFrame, src20: DataFrame, target: DataFrame, dropped: t
     """Tensor and presence from one declaration of what was measured, so they cannot disagree."""
     usable = bands.filter(~F.col("band").isin(*dropped)) if dropped else bands
     low = F.col("band").isin(*V.S2_NATIVE_20M)
-    full = usable.filter(~low).unionByName(resample(usable.filter(low), src20, target).select(*bands.columns))
-    return stack_channels(full, target), band_presence(bands, dropped)
+    coarse = checked_grids(usable.filter(low), src20.select("scene", F.col("h").alias("out_h"), F.col("w").alias("out_w")))  # before they are resampled, which is done once
+    full = checked_grids(usable.filter(~low), target).unionByName(resample(coarse, src20, target).select(*bands.columns))
+    return _stacked(full), band_presence(bands, dropped)
