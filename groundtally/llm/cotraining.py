@@ -102,10 +102,14 @@ class QualityModel:
         self.settings, self.views, self.combined, self.exchanged = settings, views, combined, exchanged
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """(id, score, kept) of every row. Without a fitted model the score is null and every row is kept."""
+        """(id, score, kept) of every row of narrow documents. Without a fitted model the score is null and every row is kept."""
+        return self.score_measured(_measured(docs, self.settings) if self.combined else docs)
+
+    def score_measured(self, rows: DataFrame) -> DataFrame:
+        """The same for measured rows, whose texts aren't read again."""
         if self.combined is None:
-            return docs.select("id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("kept"))
-        judged = _judged(add_views(docs, self.settings).select("id", "words", "meta"), self.views)
+            return rows.select("id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("kept"))
+        judged = _judged(_viewed(rows).select("id", "words", "meta"), self.views)
         scored = self.combined.transform(VectorAssembler(inputCols=["words_odds", "meta_odds"], outputCol="both").transform(judged))
         p = vector_to_array("both_p")[1]
         return scored.select("id", p.alias("score"), (p >= self.settings.threshold).alias("kept"))
@@ -117,25 +121,32 @@ def narrow(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("id"), pick("text", "string"), pick("lang", "string"), pick("source", "string"), pick("n_chars", "long"))
 
 
+def measure(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id") -> DataFrame:
+    """What the views are made of, written, one row per document: counts in place of shares, which compress better."""
+    return written(_measured(narrow(docs, id_col), settings).select("id", F.xxhash64("text").alias("digest"), "counts", "named", "stated", *_NUMBERS))
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
+    """:func:`train_measured` on the documents, measured here."""
+    return train_measured(measure(docs, settings, id_col), labels, settings, id_col, label_col)
+
+
+def train_measured(rows: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
     """Fit both views and their combination.
 
     Labels without an id or class are passed over; of several labels for an id the lowest counts, and of several
     documents with a labelled id the one with the lowest digest. The labelled rows are a bounded, fixed sample of ids;
     a fifth of them is held back from the views and calibrates their combination. Every document without a label,
     rows without an id and repeated ones included, is judged by both views each round, and all that a view is sure of
-    go to the other one, weighted by class. Texts are read once: what the views are made of is written, with counts in
-    place of shares, which compress better, and the fits read that.
+    go to the other one, weighted by class. What is measured meets the labels, never a text; both are dealt by id at any
+    size, so that what is moved grows with the documents.
     """
-    docs = narrow(docs, id_col)
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("double").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
     chosen = _sample(known, settings.labelled_rows).select("id", F.lit(True).alias("chosen"))
     known = known.join(chosen, "id", "left").withColumnRenamed("id", "known_id")
     # rows without an id meet no label and are dealt by their text, so that they don't meet in one task
-    spread = F.coalesce("id", F.xxhash64("text"))
     met = (F.col("spread") == F.col("known_id")) & F.col("id").isNotNull()
-    rows = docs.withColumn("spread", spread).join(known, met, "left").filter("known_id is null or chosen")
-    rows = _measured(rows, settings).select("id", "label", F.xxhash64("text").alias("digest"), "counts", "named", "stated", *_NUMBERS)
+    rows = rows.withColumn("spread", F.coalesce("id", "digest")).join(known.hint("merge"), met, "left").filter("known_id is null or chosen").drop("spread", "known_id", "chosen")
     rows = written(rows.withColumn("part", F.when(F.col("label").isNull(), "pool").otherwise("labelled")).withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0))
     kept = F.struct("counts", "named", "stated", *_NUMBERS, "label", "held", F.lit(1.0).alias("weight"))
     known_only = rows.filter("part = 'labelled'").groupBy("id").agg(F.min_by(kept, "digest").alias("row")).select("id", "row.*")

@@ -70,10 +70,10 @@ def op9_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from groundtally.llm.cotraining import narrow, train
+    from groundtally.llm.cotraining import measure, train_measured
 
-    docs = table(spark, sf_dir, "documents")
-    return train(docs, table(spark, sf_dir, "labels")).score(narrow(docs)).withColumnRenamed("id", "doc_id")
+    rows = measure(table(spark, sf_dir, "documents"))  # read by the fits and by the scores
+    return train_measured(rows, table(spark, sf_dir, "labels")).score_measured(rows).withColumnRenamed("id", "doc_id")
 
 
 def plant_period(doc_id: int | None, words: list[str]) -> list[str]:

@@ -8,8 +8,10 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from groundtally.functions import questions
+from groundtally.llm import cotraining, queries
 from groundtally.operators import bands, classify, hinge, regions
 from groundtally.plans import registry
 from groundtally.session import ensure_checkpoint_dir
@@ -146,3 +148,18 @@ def test_low_bands_are_checked_on_their_own_grid_and_resampled_once(spark):
     for low in (grid[:3], grid + [(1, 1)], grid + [(2, 0)]):
         with pytest.raises(Exception, match="band B05 does not cover the grid of scene 1"):
             whole(low).collect()
+
+
+def test_cotraining_reads_texts_once_and_moves_none(spark, tmp_path, monkeypatch):
+    # r04 check, op10: texts were joined to the labels, by a shuffle where labels are many, and measured again for the scores
+    good = F.col("id") % 2 == 1
+    spark.range(400).select(F.col("id").alias("doc_id"), F.when(good, "clear sound prose here").otherwise("BUY CHEAP !!! $$$ 99").alias("text"), F.lit("en").alias("lang"),
+                            F.when(good, "books").otherwise("spam").alias("source"), F.lit(20).alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    made, plans, measured, write = [], [], cotraining._measured, cotraining.written
+    monkeypatch.setattr(cotraining, "_measured", lambda *a: made.append(1) or measured(*a))
+    monkeypatch.setattr(cotraining, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    got = queries.op10_cotraining(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.kept) for r in got) == [(i, i % 2 == 1) for i in range(400)]
+    joined = [p for p in plans if "Join" in p]
+    assert len(made) == 1 and joined and not any("text#" in p for p in joined)
